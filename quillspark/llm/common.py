@@ -33,6 +33,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ranges into which rows are cut by id, at most; their bounds are all that the driver sees.
+MOST_PARTS = 8192
+
+
+def by_ranges(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with key (the long column `name`, null as the smallest long) and part: the number of
+    the range of keys it lies in. Ranges hold about as many rows each; there are four for each
+    shuffle partition. The bounds come from one pass over the keys alone.
+    """
+    rows = rows.withColumn("key", F.coalesce(name, F.lit(-(1 << 63))))
+    parts = min(MOST_PARTS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    bounds = sorted(set(cuts or []))
+    if not bounds:
+        return rows.withColumn("part", F.lit(0))
+    at, steps = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
+    # a binary search: how many bounds are at most the key
+    part = F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(at, low + s - 1) <= F.col("key")), low + s).otherwise(low))
+    return rows.withColumn("part", part)
+
+
 def hex64(fingerprint: Column) -> Column:
     """A 64-bit number as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -15,11 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, hex64
+from quillspark.llm.common import by_ranges, cut, hex64
 
-#: Ranges into which documents are cut by id, at most; their bounds are all that the driver sees.
-MOST_PARTS = 8192
-_LOW = -(1 << 63)
 _LANES = 0x0000000100000001
 
 
@@ -52,21 +49,6 @@ def fingerprint(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return t.groupBy(*keys).agg(*_votes()).select(*keys, _fingerprint().alias("fp"))
 
 
-def _bounds(docs: DataFrame) -> list[int]:
-    """Ids that cut `docs` (key) into ranges of about as many rows."""
-    parts = min(MOST_PARTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def _part(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most `key`, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    at, steps = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(at, low + s - 1) <= key), low + s).otherwise(low))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, at, ghost, doc_id, text, next): each row of `docs` (doc_id, text) with the text of the
     next by ascending doc_id, after the last the first.
@@ -74,9 +56,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut into ranges; each range gets a copy (ghost) of the first row of the next range, so
     that a window within the range finds every successor and texts are shuffled once.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(_LOW)))
-    bounds = _bounds(rows.select("key"))
-    rows = rows.withColumn("part", _part(F.col("key"), bounds))
+    rows = by_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
     heads = rows.groupBy("part").agg(F.min("key").alias("key"))  # one row a range
     by = W.orderBy("part")
     heads = heads.select("part", F.coalesce(F.lead("key").over(by), F.first("key").over(by)).alias("head"))
