@@ -59,6 +59,11 @@ def hex64(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
+def fold(doc_id: Column, of: int) -> Column:
+    """crc32 of the id as text, mod `of`; a null id: `of`, so in no held-out fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(of))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of `links` (a long, b long): one row (node, component) for each
     linked node, the component being its smallest node.
