@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprints, mixing, quality, simhash_dedup, token_files, toxicity
+from quillspark.llm import fingerprints, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
 from quillspark.llm.common import table
 
 
@@ -31,3 +32,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "removed_words", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have neither fetch times nor a list, so both follow from a rule: page p was fetched
+    on day p mod 365 of 2024; a domain of the pages whose length is a multiple of 3 is listed on day
+    7 * length mod 100, taken off 60 days later and listed again after 150 more. Parent domains count."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    names = pages.select(F.explode(url_filter.domains(url_filter.host(F.col("url")))).alias("domain")).filter("domain is not null").distinct().filter(F.length("domain") % 3 == 0)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (7 * F.length("domain") % 100).cast("int"))
+    steps = F.array(*[F.struct(F.date_add(day, n).alias("day"), F.lit(on).alias("listed")) for n, on in ((0, True), (60, False), (210, True))])
+    entries = names.select("domain", F.explode(steps).alias("e")).select("domain", "e.day", "e.listed")
+    return url_filter.filter_urls(pages, entries).select("page_id", "host", "fetched", "blocked", "domain", "since")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm import oracle
 from quillspark.llm import queries as q
 
 
@@ -10,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, sql in vars(oracle).items() if name.startswith("op")}
