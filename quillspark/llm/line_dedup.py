@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Lines that several documents have link each later holder to the earliest one; such pairs are aligned
+A line that several documents have links each later holder to the earliest one; such pairs are aligned
 by patience diff, rare lines first, and aligned blocks that are long enough go from the later document.
+Long lines are cut at sentence ends, so that a passage is found inside a longer line as well.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,6 +21,24 @@ from quillspark.llm.common import cut
 
 #: Documents that hold a rare line, at most.
 RARE = 64
+#: Words after which a sentence's end ends a line.
+LINE_WORDS = 5
+_ENDS = re.compile(r"(?<=[.!?])(?= )|(?<=\n)")
+
+
+def cut_lines(text: str | None) -> list[tuple[str, int]]:
+    """(line, words) of a whole text; the lines, joined, are the text. A line ends after a line feed,
+    and before the blank after a sentence's end once it has LINE_WORDS words."""
+    out, held, words = [], "", 0
+    for piece in _ENDS.split(text or ""):
+        held += piece
+        words += len(piece.split())
+        if words >= LINE_WORDS or piece.endswith("\n"):
+            out.append((held, words))
+            held, words = "", 0
+    if held:
+        out.append((held, words))
+    return out
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -72,41 +92,43 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) ->
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, h, nth, words): each line that isn't blank; nth: how often the document had it before."""
+    """(doc_id, place, h, words): each line that isn't blank. h is a hash of the line, without white
+    space at its ends, and of how often the document had it before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            ids, places, hs, nth, words = [], [], [], [], []
+            ids, places, hs, words = [], [], [], []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 had: dict[int, int] = {}
-                for k, line in enumerate((text or "").split("\n")):
-                    n = len(line.split())
+                for k, (line, n) in enumerate(cut_lines(text)):
                     if n:
                         h = digest(line.strip().encode("utf-8", "surrogatepass"))
+                        nth = had.get(h, 0)
+                        had[h] = nth + 1
                         ids.append(doc_id)
                         places.append(k)
-                        hs.append(h)
+                        hs.append(digest(f"{h} {nth}") if nth else h)
                         words.append(n)
-                        nth.append(had.get(h, 0))
-                        had[h] = nth[-1] + 1
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "place": places, "h": np.array(hs, np.uint64).view(np.int64), "nth": nth, "words": words})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "place": np.array(places, np.int32), "h": np.array(hs, np.uint64).view(np.int64), "words": np.array(words, np.int32)})
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, place int, h long, nth int, words int")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, place int, h long, words int")
 
 
 def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
     """(doc_id, places array<int>, words): the lines of each document that lie in blocks of `least`
     words or more which an earlier document (smaller doc_id) has as well.
 
-    A line, counted by how often its document had it before, pairs each later holder with its
-    earliest one alone: a line that very many documents share makes as many pairs, not their square.
+    A line pairs each later holder with its earliest one alone: a line that very many documents
+    share makes as many pairs, not their square.
     """
     own = cut(lines(docs))
-    first = own.groupBy("h", "nth").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = cut(first.select("h", "nth", F.col("f.doc_id").alias("early"), F.col("f.place").alias("early_place"), (F.col("n") <= RARE).alias("rare")))
-    shared = own.join(first, ["h", "nth"]).filter("doc_id > early")
-    grouped = shared.groupBy("doc_id", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "words")).alias("pairs"))
+    first = own.groupBy("h").agg(F.min("doc_id").alias("early"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first.select("h", "early", (F.col("n") <= RARE).alias("rare")))
+    shared = cut(own.join(first, "h"))
+    early = shared.filter("doc_id = early").groupBy("h").agg(F.min("place").alias("early_place"))
+    pairs = shared.filter("doc_id > early").join(early, "h")
+    grouped = pairs.groupBy("doc_id", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "words")).alias("pairs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -126,24 +148,24 @@ def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
-    """`docs` (doc_id, text, more) with text without the repeated lines, n_lines, removed (their
-    places, from 0, ascending) and removed_words.
+    """`docs` (doc_id, text, more) with text without the repeated lines, removed (their places among
+    the text's lines, from 0, ascending) and removed_words.
 
-    Lines end at line feeds and are compared without white space at their ends; blank lines stay.
     The earliest document keeps what it shares, and blocks of fewer than `least` words stay
-    everywhere. A null text stays null, with no lines; a row with a null doc_id stays as it is.
-    Rows with the same doc_id count as one document and don't lose lines to each other. Columns
-    named like the new ones give way. An empty table gives no rows.
+    everywhere. A null or empty text stays; a row with a null doc_id stays as it is. Rows with the
+    same doc_id count as one document and don't lose lines to each other. Columns named like the
+    new ones give way. An empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "removed", "removed_words")
+    docs = docs.drop("removed", "removed_words")
     gone = cut(repeated(docs, least)).select(F.col("doc_id").alias("gone_id"), "places", "words")
-    rows = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
-    own = F.split("text", "\n")
-    kept = F.array_join(F.filter(own, lambda _, k: ~F.array_contains(F.col("places"), k)), "\n")
-    return rows.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(own), F.lit(0)).alias("n_lines"),
-        F.coalesce("places", F.array().cast("array<int>")).alias("removed"),
-        F.coalesce("words", F.lit(0)).alias("removed_words"),
-    )
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, places: pd.Series) -> pd.Series:
+        def one(text: str, gone: np.ndarray) -> str:
+            gone = set(gone.tolist())
+            return "".join(line for k, (line, _) in enumerate(cut_lines(text)) if k not in gone)
+
+        return pd.Series([t if t is None or p is None else one(t, p) for t, p in zip(texts, places, strict=True)], dtype=object)
+
+    rows = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").withColumn("text", without("text", "places"))
+    return rows.select(*docs.columns, F.coalesce("places", F.array().cast("array<int>")).alias("removed"), F.coalesce("words", F.lit(0)).alias("removed_words"))

@@ -36,7 +36,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "removed_words", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "removed_words", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
