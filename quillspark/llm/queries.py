@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprints, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
+from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
 from quillspark.llm.common import table
 
 
@@ -49,3 +49,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.array(*[F.struct(F.date_add(day, n).alias("day"), F.lit(on).alias("listed")) for n, on in ((0, True), (60, False), (210, True))])
     entries = names.select("domain", F.explode(steps).alias("e")).select("domain", "e.day", "e.listed")
     return url_filter.filter_urls(pages, entries).select("page_id", "host", "fetched", "blocked", "domain", "since")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import by_ranges, shared_dir
 
 #: Ids after which a shard is closed; a shard holds whole documents.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 BLOCK = 512
 _SHARD = "part int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -123,18 +124,23 @@ class WaveletMatrix:
         return cls(row["n_ids"], row["zeros"], [np.frombuffer(p, np.uint8) for p in row["planes"]], [np.frombuffer(r, "<u4") for r in row["ranks"]])
 
 
+# Pairs and single characters after which a text isn't words with one blank or line end between them
+_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct word once.
 
-    Byte-level BPE never merges over the start of a word, so a text whose white space is single
-    blanks and line ends is cut before each of these, and the ids of words already seen are taken
-    from a table. Any other text goes to the library whole. Special tokens' strings in a text are
-    ordinary text. The table stops growing at `kept` words.
+    Byte-level BPE never merges over the start of a word, nor between a word's last letter and the
+    punctuation after it, so a text whose white space is single blanks and line ends is cut before each of
+    these, and the ids of words already seen are taken from a table. Any other text goes to the
+    library whole. Special tokens' strings in a text are ordinary text. The table stops growing
+    at `kept` words.
     """
 
     LONGEST, STEP = 40, 1024
 
-    def __init__(self, path: str, end: int = 0, kept: int = 1_000_000):
+    def __init__(self, path: str, end: int = 0, kept: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -142,23 +148,34 @@ class Encoder:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kept = kept
         #: places in the tables below; the end of a text is a word of its own
-        self.index = {"\0": 0}
+        self.index = {"\1": 0}
         self.ids, self.used = np.full(1 << 12, end, np.uint32), 1
-        self.spans, self.words = np.ones((1 << 10, 2), np.int64), 1  # first id and number of ids of each word
+        self.spans = np.ones((1 << 10, 2), np.int64)  # first id and number of ids of each word
+        self.words = 1
         self.spans[0] = 0, 1
 
-    def _cut(self, text: str) -> list[str]:
-        words = text.split()
-        gaps = len(words) - 1
-        if gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "\0" not in text:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return [text]
-
-    def _add(self, words: list[str]) -> None:
-        """Appends the words' ids to the tables."""
-        found = [e.ids for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+    @staticmethod
+    def _regular(text: str) -> bool:
+        return not (any(x in text for x in _IRREGULAR) or "\1" in text or text[:1].isspace() or text[-1:].isspace())
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+
+    def _add(self, words: list[str | tuple[str]]) -> None:
+        """Appends the words' ids to the tables. A word and the full stop or comma after it are cut."""
+        bare = [w[:-1] if w[-1] in (".", ",") and w[-2:-1].isalpha() else w for w in words if isinstance(w, str)]
+        new = [w for w in dict.fromkeys(bare) if w not in self.index]
+        ids_of = dict(zip(new, self._library(new), strict=True))
+        marks = {c: self._library([c])[0] for c in ".,"}
+        for w in set(bare) - ids_of.keys():
+            first, n = self.spans[self.index[w]]
+            ids_of[w] = self.ids[first : first + n].tolist()
+        whole = [w for w in words if not isinstance(w, str)]
+        ids_of.update(zip(whole, self._library([w[0] for w in whole]), strict=True))
+        words = list(dict.fromkeys([*words, *new]))
+        found = [ids_of[w] if w in ids_of else ids_of[w[:-1]] + marks[w[-1]] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         self.ids = _room(self.ids, self.used + len(flat))
         self.ids[self.used : self.used + len(flat)] = flat
         self.spans = _room(self.spans, self.words + len(words))
@@ -169,31 +186,46 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and each text's number of ids."""
-        words, sizes = [], []
+        words, held = [], []
+
+        def cut() -> None:
+            words.extend("\0\1\0".join([*held, ""]).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[:-1])
+            held.clear()
+
         for text in texts:
-            before = len(words)
-            if text:
-                words += self._cut(text)
-            words.append("\0")
-            sizes.append(len(words) - before)
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            if not text:
+                if held:
+                    cut()
+                words.append("\1")
+            elif self._regular(text):
+                held.append(text)
+            else:
+                if held:
+                    cut()
+                words += [(text,), "\1"]  # no word, so it can't be taken for one
+        if held:
+            cut()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
-        used, known = self.used, self.words
+        used, known, size = self.used, self.words, len(self.index)
         if missing:
-            self._add(list({words[i] for i in missing}))
+            new = list(dict.fromkeys(words[i] for i in missing))
+            self._add(new)
             at[missing] = [self.index[words[i]] for i in missing]
         first, n = self.spans[at].T
         out = self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         if missing:  # what is too long or too much goes again
-            if self.words > self.kept:
-                for word in {words[i] for i in missing}:
-                    del self.index[word]
+            if size > self.kept:
+                while len(self.index) > size:
+                    self.index.popitem()
                 self.used, self.words = used, known
             else:
-                for word in {words[i] for i in missing if len(words[i]) > self.LONGEST}:
-                    del self.index[word]
-        return out, np.add.reduceat(n, np.cumsum([0, *sizes[:-1]])) if sizes else np.zeros(0, np.int64)
+                for word in new:
+                    if not isinstance(word, str) or len(word) > self.LONGEST:
+                        del self.index[word]
+        ends = np.flatnonzero(at == 0)
+        total = np.cumsum(n)[ends]
+        return out, np.diff(total, prepend=0)
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
