@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,13 +160,17 @@ def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
     docs = docs.drop("removed", "removed_words")
     gone = cut(repeated(docs, least)).select(F.col("doc_id").alias("gone_id"), "places", "words")
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, places: pd.Series) -> pd.Series:
-        def one(text: str, gone: np.ndarray) -> str:
-            gone = set(gone.tolist())
-            return "".join(line for k, (line, _) in enumerate(cut_lines(text)) if k not in gone)
-
-        return pd.Series([t if t is None or p is None else one(t, p) for t, p in zip(texts, places, strict=True)], dtype=object)
-
-    rows = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").withColumn("text", without("text", "places"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, places = b.schema.get_field_index("text"), b.column("places").to_pylist()
+            texts = b.column("text").to_pylist()
+            for i, gone in enumerate(places):
+                if gone and texts[i] is not None:
+                    gone = set(gone)
+                    texts[i] = "".join(line for k, (line, _) in enumerate(cut_lines(texts[i])) if k not in gone)
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    rows = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    # whole rows go through Python: a UDF column would keep them on disk meanwhile
+    rows = rows.mapInArrow(run, rows.schema)
     return rows.select(*docs.columns, F.coalesce("places", F.array().cast("array<int>")).alias("removed"), F.coalesce("words", F.lit(0)).alias("removed_words"))

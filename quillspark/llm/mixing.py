@@ -140,3 +140,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
         rows.join(g, F.col("source").eqNullSafe(F.col("s")))
         .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
+    """`docs`, each row as often as the mix takes it; the rows of an id that occurs several times share
+    what the mix takes of them evenly, the first by the hash of their texts coming first."""
+    taken = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter("all > 0")
+    counts = cut(taken).select(F.col("doc_id").alias("taken_id"), F.col("all").alias("taken_copies"), F.col("rows").alias("taken_rows"))
+    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    copies = F.floor(F.col("taken_copies") / F.col("taken_rows")) + (nth <= F.col("taken_copies") % F.col("taken_rows")).cast("long")
+    rows = rows.withColumn("taken_copies", copies).filter("taken_copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select(*docs.columns)

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.common import fold
 
@@ -188,11 +190,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: in
     null id isn't held out. An empty table gives no rows. Columns named like the new ones give way.
     """
     net = fit(docs, labels, rows)
-    docs = docs.drop("held_out", "score", "predicted")
-    names = docs.columns
+    docs = docs.drop("held_out", "score", "predicted").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(net.scores(texts.tolist()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = net.scores(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.select(*names, (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # whole rows go through Python: a UDF column would keep them on disk meanwhile
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,6 +7,7 @@ those with a 1, so that rank on the planes gives access, counts and the places o
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -138,9 +139,9 @@ class Encoder:
     at `kept` words.
     """
 
-    LONGEST, STEP = 40, 1024
+    LONGEST, STEP = 40, 2048
 
-    def __init__(self, path: str, end: int = 0, kept: int = 700_000):
+    def __init__(self, path: str, end: int = 0, kept: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -237,7 +238,8 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _encoder(path: str, end: int) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, in one thread as Spark gives each task one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, end) not in _encoders:
         _encoders[path, end] = Encoder(path, end)
     return _encoders[path, end]
