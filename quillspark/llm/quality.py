@@ -104,9 +104,11 @@ class Network:
         z = self.head(np.hstack([top, total / np.maximum(count, 1), filled / np.maximum(count, 1)]))[0]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -500, 500)))
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004, seed: int = 5) -> None:
-        """Adam on the log loss; each of `docs` is an array of chunks, each class weighs as much as it is common."""
+    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 14, least: int = 1500, batch: int = 48, rate: float = 0.004, seed: int = 5) -> None:
+        """Adam on the log loss, for `epochs` or the `least` steps if these are more; each of `docs` is
+        an array of chunks, each class weighs as much as it is common."""
         r, step = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-least // max(1, len(docs) // batch)))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
             for some in np.array_split(r.permutation(len(docs)), max(1, len(docs) // batch)):
