@@ -43,9 +43,12 @@ class WaveletMatrix:
             per = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
             planes.append(plane)
             ranks.append((np.cumsum(per) - per).astype(np.uint32))
-            low = x[~one]
+            low = np.flatnonzero(~one)
             zeros.append(len(low))
-            x = np.concatenate([low, x[one]])
+            y = np.empty_like(x)
+            np.take(x, low, out=y[: len(low)], mode="clip")
+            np.take(x, np.flatnonzero(one), out=y[len(low) :], mode="clip")
+            x = y
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -114,8 +117,8 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(x)
-            back[~one] = x[: self.zeros[level]]
-            back[one] = x[self.zeros[level] :] | x.dtype.type(1 << (bits - 1 - level))
+            back[np.flatnonzero(~one)] = x[: self.zeros[level]]
+            back[np.flatnonzero(one)] = x[self.zeros[level] :] | x.dtype.type(1 << (bits - 1 - level))
             x = back
         return x
 
@@ -129,6 +132,11 @@ class WaveletMatrix:
 _IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
 
+# A byte-level vocabulary writes each byte as a letter: printable ones as themselves, the others from 256 on
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct word once.
 
@@ -160,7 +168,20 @@ class Encoder:
         return not (any(x in text for x in _IRREGULAR) or "\1" in text or text[:1].isspace() or text[-1:].isspace())
 
     def _library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+        """Ids of each of `words`. Letters alone, with a blank before them or not, are one piece to the
+        library's own splitting, and go to its BPE model directly."""
+        tokenize, out = self.tokenizer.model.tokenize, [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if (w[1:] if w[0] == " " else w).isalpha():
+                out[i] = [k.id for k in tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     def _add(self, words: list[str | tuple[str]]) -> None:
         """Appends the words' ids to the tables. A word and the full stop or comma after it are cut."""
