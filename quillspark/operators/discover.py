@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import normalized, squared_l2, strength
+from quillspark.operators.search import blocks
 
 #: Scored notes and spread that a z needs.
 LEAST = 12
@@ -24,6 +25,18 @@ def shortlist_size(limit: int) -> int:
     return max(200, 20 * limit)
 
 
+def best_pairs(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(anchor, path, d2): how near each other note comes to each of `anchors` (anchor), by their best
+    pair of chunks. A stated set of anchors, in blocks, against all vectors."""
+    own = vectors.select(F.col("note_path").alias("anchor"), F.col("vector").alias("av")).join(anchors, "anchor", "left_semi")
+    out = None
+    for some in blocks(own, "anchor"):
+        pairs = vectors.crossJoin(F.broadcast(some)).filter("anchor <> note_path")
+        best = pairs.groupBy("anchor", F.col("note_path").alias("path")).agg(F.min(squared_l2(F.col("vector"), F.col("av"))).alias("d2"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def similar(vectors: DataFrame, middle: DataFrame, linked: DataFrame, anchors: DataFrame, limit: int, grade: bool = True) -> DataFrame:
     """(anchor, path, seq, d2, score, z, band, rank): for each of `anchors` (anchor), the `limit`
     nearest notes by their best pair of chunks.
@@ -33,11 +46,13 @@ def similar(vectors: DataFrame, middle: DataFrame, linked: DataFrame, anchors: D
     distance below the mean of all that were compared, in standard deviations of the sample.
     """
     a = anchors.join(middle.select(F.col("note_path").alias("anchor"), F.col("centroid").alias("own")), "anchor")
-    pairs = middle.crossJoin(F.broadcast(a)) if anchors.count() <= 1024 else middle.crossJoin(a)
     both = linked.select("a", "b").union(linked.select("b", "a")).union(anchors.select("anchor", "anchor")).toDF("anchor", "note_path").distinct()
-    coarse = pairs.select("anchor", "note_path", squared_l2(F.col("centroid"), F.col("own")).alias("c2")).join(both, ["anchor", "note_path"], "left_anti")
     near = W.partitionBy("anchor").orderBy("c2", "note_path")
-    short = coarse.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= shortlist_size(limit)).select("anchor", "note_path")
+    short = None
+    for some in blocks(a, "anchor"):
+        coarse = middle.crossJoin(F.broadcast(some)).select("anchor", "note_path", squared_l2(F.col("centroid"), F.col("own")).alias("c2")).join(both, ["anchor", "note_path"], "left_anti")
+        first = coarse.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= shortlist_size(limit)).select("anchor", "note_path")
+        short = first if short is None else short.unionByName(first)
     own = vectors.select(F.col("note_path").alias("anchor"), F.col("vector").alias("av")).join(anchors, "anchor", "left_semi")
     exact = short.join(vectors, "note_path").join(own, "anchor").select("anchor", "note_path", F.struct(squared_l2(F.col("vector"), F.col("av")).alias("d2"), "seq").alias("p"))
     best = exact.groupBy("anchor", "note_path").agg(F.min("p").alias("p")).select("anchor", F.col("note_path").alias("path"), "p.seq", "p.d2")

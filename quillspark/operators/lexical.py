@@ -33,11 +33,11 @@ def bm25(postings: DataFrame, stats: DataFrame, words: DataFrame, k1: float = 1.
     A word's weight is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive; a word
     that a query has twice counts twice. Only the queries' words leave the postings.
     """
-    total = stats.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    total = stats.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     wanted = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     own = postings.join(wanted.select("term").distinct(), "term", "left_semi")
     n = own.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = n.crossJoin(F.broadcast(total)).select("term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
     rows = own.join(weight, "term").join(stats, KEYS)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

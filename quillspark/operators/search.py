@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,13 @@ def passage_pool(limit: int) -> int:
     return pool(limit + 2)
 
 
+def blocks(queries: DataFrame, key: str, most: int = QUERY_ROWS) -> Iterator[DataFrame]:
+    """A stated query set in blocks of about `most` rows, each small enough to broadcast."""
+    n = -(-queries.count() // most)
+    for block in range(max(1, n)):
+        yield queries.filter(F.pmod(F.xxhash64(key), n) == block) if n > 1 else queries
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, note_path, seq, d2, rank from 0): the k exact nearest of vectors (note_path, seq,
     vector) to each query (query_id, query_vector); ties by path and place.
@@ -36,13 +45,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The queries are a stated set: up to QUERY_ROWS of them are broadcast, more go in blocks, each
     against all vectors, and every task keeps k rows a query before the shuffle.
     """
-    n = queries.count()
-    blocks = -(-n // QUERY_ROWS)
-    queries = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks)) if blocks > 1 else queries.withColumn("_block", F.lit(0))
     order = W.partitionBy("query_id").orderBy("d2", *KEYS)
     out = None
-    for block in range(max(1, blocks)):
-        own = queries.filter(F.col("_block") == block).drop("_block")
+    for own in blocks(queries, "query_id"):
         pairs = vectors.crossJoin(F.broadcast(own)).select("query_id", *KEYS, squared_l2(F.col("vector"), F.col("query_vector")).alias("d2"))
         best = pairs.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
         out = best if out is None else out.unionByName(best)
