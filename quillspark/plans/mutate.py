@@ -125,8 +125,8 @@ def move_folder(files: DataFrame, edges: DataFrame, old: str, new: str) -> tuple
     inbound = edges.filter(hit).select(F.col("src_path").alias("path")).distinct()
     safe = new.replace("\\", "\\\\").replace("$", "\\$")
     text = F.regexp_replace(F.col("content").cast("string"), f"(\\[\\[\\s*|\\]\\(\\s*)\\Q{old}/\\E", f"$1{safe}/")
-    rows = files.join(inbound.withColumn("in", F.lit(True)), "path", "left")
-    rows = rows.withColumn("content", F.when("in", text.cast("binary")).otherwise(F.col("content")))
+    rows = files.join(inbound.withColumn("inside", F.lit(True)), "path", "left")
+    rows = rows.withColumn("content", F.when(F.col("inside"), text.cast("binary")).otherwise(F.col("content")))
     path = F.when(p.under(F.col("path"), old), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path"))
     return rows.withColumn("path", path).select(*files.columns), inbound
 

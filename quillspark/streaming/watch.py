@@ -21,7 +21,9 @@ def bursts(changes: DataFrame, ts: str = "ts", quiet: str = "300 milliseconds",
     burst comes out once the watermark, `late` behind the newest change, has passed its end."""
     if changes.isStreaming:
         changes = changes.withWatermark(ts, late)
-    own = changes.groupBy(*(by or []), F.session_window(ts, quiet)).agg(F.count("*").alias("changes"))
+    if not by:  # a stream's sessions need a key
+        changes = changes.withColumn("_all", F.lit(0))
+    own = changes.groupBy(*(by or ["_all"]), F.session_window(ts, quiet)).agg(F.count("*").alias("changes"))
     return own.select(*(by or []), F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "changes")
 
 
