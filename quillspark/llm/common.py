@@ -54,6 +54,16 @@ def by_ranges(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("part", part)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores after it as no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def hex64(fingerprint: Column) -> Column:
     """A 64-bit number as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import cut, fresh
 
 #: Documents that hold a rare line, at most.
 RARE = 64
@@ -158,19 +158,19 @@ def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
     new ones give way. An empty table gives no rows.
     """
     docs = docs.drop("removed", "removed_words")
-    gone = cut(repeated(docs, least)).select(F.col("doc_id").alias("gone_id"), "places", "words")
+    doc, places, words = fresh(docs, "gone_id", "gone_places", "gone_words")
+    gone = cut(repeated(docs, least)).toDF(doc, places, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, places = b.schema.get_field_index("text"), b.column("places").to_pylist()
-            texts = b.column("text").to_pylist()
-            for i, gone in enumerate(places):
+            at, texts = b.schema.get_field_index("text"), b.column("text").to_pylist()
+            for i, gone in enumerate(b.column(places).to_pylist()):
                 if gone and texts[i] is not None:
                     gone = set(gone)
                     texts[i] = "".join(line for k, (line, _) in enumerate(cut_lines(texts[i])) if k not in gone)
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    rows = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    rows = docs.join(gone, docs["doc_id"] == gone[doc], "left")
     # whole rows go through Python: a UDF column would keep them on disk meanwhile
     rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(*docs.columns, F.coalesce("places", F.array().cast("array<int>")).alias("removed"), F.coalesce("words", F.lit(0)).alias("removed_words"))
+    return rows.select(*docs.columns, F.coalesce(places, F.array().cast("array<int>")).alias("removed"), F.coalesce(words, F.lit(0)).alias("removed_words"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, cut
+from quillspark.llm.common import WORD, cut, fresh
 
 #: Words that the dynamic program fits at most.
 WINDOW = 1 << 14
@@ -146,9 +146,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float =
     """`docs`, each row as often as the mix takes it; the rows of an id that occurs several times share
     what the mix takes of them evenly, the first by the hash of their texts coming first."""
     taken = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).filter("all > 0")
-    counts = cut(taken).select(F.col("doc_id").alias("taken_id"), F.col("all").alias("taken_copies"), F.col("rows").alias("taken_rows"))
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    doc, copies, count, copy = fresh(docs, "taken_id", "taken_copies", "taken_rows", "taken_copy")
+    counts = cut(taken).toDF(doc, copies, count)
+    rows = docs.join(counts, docs["doc_id"].eqNullSafe(counts[doc]))
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    copies = F.floor(F.col("taken_copies") / F.col("taken_rows")) + (nth <= F.col("taken_copies") % F.col("taken_rows")).cast("long")
-    rows = rows.withColumn("taken_copies", copies).filter("taken_copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select(*docs.columns)
+    share = F.floor(F.col(copies) / F.col(count)) + (nth <= F.col(copies) % F.col(count)).cast("long")
+    rows = rows.withColumn(copies, share).filter(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

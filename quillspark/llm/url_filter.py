@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import fresh
+
 
 def host(url: Column) -> Column:
     """The host of a URL in lower case, without user, port and a last dot; null if there is none."""
@@ -50,6 +52,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = intervals(entries).select(F.col("domain"), "since", "until")
     hit = keys.join(active, (F.col("key") == F.col("domain")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hit.groupBy("host", "fetched").agg(F.min_by(F.struct("domain", "since"), "depth").alias("b"))
-    best = best.select(F.col("host").alias("h"), F.col("fetched").alias("f"), "b")
-    found = rows.join(best, (F.col("host") == F.col("h")) & (F.col("fetched") == F.col("f")), "left")
-    return found.select(*captures.columns, "host", F.col("b").isNotNull().alias("blocked"), F.col("b.domain").alias("domain"), F.col("b.since").alias("since"))
+    h, f, b = fresh(rows, "best_host", "best_fetched", "best")
+    best = best.toDF(h, f, b)
+    found = rows.join(best, (rows["host"] == best[h]) & (rows["fetched"] == best[f]), "left")
+    return found.select(*captures.columns, "host", F.col(b).isNotNull().alias("blocked"), F.col(b)["domain"].alias("domain"), F.col(b)["since"].alias("since"))
