@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take for a total of `budget` words, or as near below
-    it as the window allows. `counts` documents there are of each of the distinct `lengths`."""
+    """How many documents of each length to take for a total of `budget` words, or as near to it as the
+    window allows. `counts` documents there are of each of the distinct `lengths`."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     if total <= budget:
@@ -78,20 +78,24 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             take[i] -= n
             left += n * int(lengths[i])
     goal = min(left, window)
+    most = 2 * goal + 1  # a sum above the goal may be nearer than any below it
     items = []
     for i in order[::-1]:
         free, part = int(counts[i] - take[i]), 1
-        while free > 0 and 0 < lengths[i] * part <= goal:
+        while free > 0 and 0 < lengths[i] * part <= most:
             n = min(part, free)
             items.append((int(i), n))
             free, part = free - n, part * 2
-    reach, mask, seen = 1, (1 << (goal + 1)) - 1, []
+    reach, mask, seen = 1, (1 << (most + 1)) - 1, []
     for i, n in items:
         seen.append(reach)
         reach |= (reach << (n * int(lengths[i]))) & mask
         if reach >> goal & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = reach >> (goal + 1)
+    above = goal + (over & -over).bit_length() if over else 1 << 62
+    at = above if above - goal < goal - below else below
     for (i, n), was in zip(items[: len(seen)][::-1], seen[::-1], strict=True):
         if not was >> at & 1:
             take[i] += n
@@ -99,12 +103,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
     return take
 
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(rows: pd.DataFrame, most: float = 3.0) -> pd.DataFrame:
+    """Adds epochs and pick. Where single documents come no nearer than 0.2 %, some may come again, up to
+    `most` times in all."""
     size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
     rows = rows.sort_values("size", ignore_index=True)
     epochs = int(target // size) if size else 0
     rest = int(round(target - epochs * size)) if size else 0
-    return rows.assign(epochs=epochs, pick=fit(rows["size"].to_numpy(), rows["n"].to_numpy(), rest))[["source", "size", "n", "epochs", "pick"]]
+    lengths, counts = rows["size"].to_numpy(), rows["n"].to_numpy()
+    pick = fit(lengths, counts, rest)
+    away = lambda p: abs(int((p * lengths).sum()) - rest)
+    for times in range(2, int(most) - epochs + 1):
+        if away(pick) > 0.002 * target:
+            pick = min(pick, fit(lengths, times * counts, rest), key=away)
+    return rows.assign(epochs=epochs, pick=pick)[["source", "size", "n", "epochs", "pick"]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
@@ -122,9 +134,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
         lengths.join(g, F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .groupBy(F.coalesce("source", F.lit("")), F.isnull("source"))
-        .applyInPandas(lambda rows: _fit_source(rows), "source string, size long, n long, epochs long, pick long")
+        .applyInPandas(lambda rows: _fit_source(rows, most), "source string, size long, n long, epochs long, pick long")
     )
-    p = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "epochs", "pick")
+    whole = F.floor(F.col("pick") / F.col("n"))
+    p = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", (F.col("epochs") + whole).alias("epochs"), (F.col("pick") - whole * F.col("n")).alias("pick"))
     rows = sizes.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     rows = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
     rows = rows.withColumn("salt", F.pmod("draw", 1 + F.floor(F.col("n") / SALT_ROWS)))
