@@ -104,19 +104,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
 
 
 def _fit_source(rows: pd.DataFrame, most: float = 3.0) -> pd.DataFrame:
-    """Adds epochs and pick. Where single documents come no nearer than 0.2 %, some may come again, up to
-    `most` times in all."""
+    """Adds epochs and pick. Where single documents come no nearer than 0.2 %, documents may come again
+    while others don't, up to `most` times in all."""
     size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
     rows = rows.sort_values("size", ignore_index=True)
     epochs = int(target // size) if size else 0
     rest = int(round(target - epochs * size)) if size else 0
     lengths, counts = rows["size"].to_numpy(), rows["n"].to_numpy()
-    pick = fit(lengths, counts, rest)
-    away = lambda p: abs(int((p * lengths).sum()) - rest)
-    for times in range(2, int(most) - epochs + 1):
-        if away(pick) > 0.002 * target:
-            pick = min(pick, fit(lengths, times * counts, rest), key=away)
-    return rows.assign(epochs=epochs, pick=pick)[["source", "size", "n", "epochs", "pick"]]
+    best, pick = epochs, fit(lengths, counts, rest)
+    away = lambda base, p: abs(int((p * lengths).sum()) - rest - (epochs - base) * size)
+    for base in range(epochs, -1, -1):
+        for times in range(2, int(most) - base + 1):
+            if away(best, pick) > 0.002 * target:
+                again = fit(lengths, times * counts, rest + (epochs - base) * size)
+                best, pick = min((best, pick), (base, again), key=lambda x: away(*x))
+    return rows.assign(epochs=best, pick=pick)[["source", "size", "n", "epochs", "pick"]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
