@@ -176,9 +176,13 @@ def scores(model: tuple[Lexicon, np.ndarray, float], texts: list[str | None]) ->
     return 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weights[place], len(texts)), -500, 500)))
 
 
-def sample(docs: DataFrame, rows: int, size: int) -> list[str]:
-    """Texts of the first `rows` rows of `docs` by the hash of their ids, up to `size` bytes in all."""
-    slim = docs.select("doc_id", F.octet_length("text").alias("n")).filter("n is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+def sample(docs: DataFrame, rows: int, size: int, of: DataFrame | None = None) -> list[str]:
+    """Texts of the first `rows` rows of `docs` by the hash of their ids, up to `size` bytes in all; of
+    the ids in `of` alone, if there is one. Ids and sizes are picked first; only picked texts move."""
+    slim = docs.filter("text is not null").select("doc_id", F.octet_length("text").alias("n"))
+    if of is not None:
+        slim = slim.join(of, "doc_id", "left_semi")
+    slim = slim.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     ids, total = [], 0
     for r in slim:
         total += r["n"]
@@ -205,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6
     prior = own.agg(F.avg("toxic")).first()[0] or 0.0
     free = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     marked = own.filter("toxic = 1").select("doc_id")
-    toxic = sample(free.join(marked, "doc_id", "left_semi"), rows, size)
+    toxic = sample(free, rows, size, marked)
     # unlabelled text is drawn from all documents, so that the prior holds for it
     model = fit(toxic, sample(free, 3 * rows, 3 * size), prior)
 
