@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from array import array
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,57 +155,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kept = kept
-        #: places in the tables below; the end of a text is a word of its own
+        #: a word's place in the tables of first ids and numbers of ids; the end of a text is a word of its own
         self.index = {"\1": 0}
-        self.ids, self.used = np.full(1 << 12, end, np.uint32), 1
-        self.spans = np.ones((1 << 10, 2), np.int64)  # first id and number of ids of each word
-        self.words = 1
-        self.spans[0] = 0, 1
+        self.ids, self.first, self.size = array("I", [end]), array("q", [0]), array("q", [1])
 
     @staticmethod
     def _regular(text: str) -> bool:
         return not (any(x in text for x in _IRREGULAR) or "\1" in text or text[:1].isspace() or text[-1:].isspace())
 
-    def _library(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of `words`. Letters alone, with a blank before them or not, are one piece to the
-        library's own splitting, and go to its BPE model directly."""
-        tokenize, out = self.tokenizer.model.tokenize, [None] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            if (w[1:] if w[0] == " " else w).isalpha():
-                out[i] = [k.id for k in tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-            else:
-                rest.append(i)
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-        return out
-
-    def _add(self, words: list[str | tuple[str]]) -> None:
-        """Appends the words' ids to the tables. A word and the full stop or comma after it are cut."""
-        bare = [w[:-1] if w[-1] in (".", ",") and w[-2:-1].isalpha() else w for w in words if isinstance(w, str)]
-        new = [w for w in dict.fromkeys(bare) if w not in self.index]
-        ids_of = dict(zip(new, self._library(new), strict=True))
-        marks = {c: self._library([c])[0] for c in ".,"}
-        for w in set(bare) - ids_of.keys():
-            first, n = self.spans[self.index[w]]
-            ids_of[w] = self.ids[first : first + n].tolist()
-        whole = [w for w in words if not isinstance(w, str)]
-        ids_of.update(zip(whole, self._library([w[0] for w in whole]), strict=True))
-        words = list(dict.fromkeys([*words, *new]))
-        found = [ids_of[w] if w in ids_of else ids_of[w[:-1]] + marks[w[-1]] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.ids = _room(self.ids, self.used + len(flat))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.spans = _room(self.spans, self.words + len(words))
-        self.spans[self.words : self.words + len(words), 0] = self.used + np.cumsum(sizes) - sizes
-        self.spans[self.words : self.words + len(words), 1] = sizes
-        self.index.update(zip(words, range(self.words, self.words + len(words)), strict=True))
-        self.used, self.words = self.used + len(flat), self.words + len(words)
+    def _add(self, word: str | tuple[str]) -> int:
+        """The place of a word that isn't in the table yet.
+
+        A full stop or comma after a letter is a piece of its own, so the word before it is looked up.
+        Letters alone, with a blank before them or not, are one piece to the library's own splitting,
+        and go to its BPE model directly.
+        """
+        if isinstance(word, str) and word[-1] in ".," and word[-2:-1].isalpha():
+            own = self.index.get(word[:-1])
+            own = self._add(word[:-1]) if own is None else own
+            mark = self.index.get(word[-1])
+            mark = self._add(word[-1]) if mark is None else mark
+            ids = self.ids[self.first[own] : self.first[own] + self.size[own]] + self.ids[self.first[mark] : self.first[mark] + self.size[mark]]
+        elif isinstance(word, str) and (word[1:] if word[0] == " " else word).isalpha():
+            ids = [k.id for k in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(word if isinstance(word, str) else word[0], add_special_tokens=False).ids
+        place = self.index[word] = len(self.first)
+        self.first.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        return place
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and each text's number of ids."""
@@ -215,44 +198,36 @@ class Encoder:
             held.clear()
 
         for text in texts:
-            if not text:
-                if held:
-                    cut()
-                words.append("\1")
-            elif self._regular(text):
+            if text and self._regular(text):
                 held.append(text)
-            else:
-                if held:
-                    cut()
-                words += [(text,), "\1"]  # no word, so it can't be taken for one
+                continue
+            if held:
+                cut()
+            words += [(text,), "\1"] if text else ["\1"]  # no word, so it can't be taken for one
         if held:
             cut()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        used, known, size = self.used, self.words, len(self.index)
-        if missing:
-            new = list(dict.fromkeys(words[i] for i in missing))
-            self._add(new)
-            at[missing] = [self.index[words[i]] for i in missing]
-        first, n = self.spans[at].T
-        out = self.ids[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        if missing:  # what is too long or too much goes again
-            if size > self.kept:
-                while len(self.index) > size:
-                    self.index.popitem()
-                self.used, self.words = used, known
-            else:
-                for word in new:
-                    if not isinstance(word, str) or len(word) > self.LONGEST:
-                        del self.index[word]
-        ends = np.flatnonzero(at == 0)
-        total = np.cumsum(n)[ends]
-        return out, np.diff(total, prepend=0)
-
-
-def _room(x: np.ndarray, n: int) -> np.ndarray:
-    """`x` with room for n rows at least."""
-    return x if n <= len(x) else np.concatenate([x, np.zeros((max(n, 2 * len(x)) - len(x), *x.shape[1:]), x.dtype)])
+        had, rows, get = len(self.index), len(self.first), self.index.get
+        for i in np.flatnonzero(at < 0).tolist():
+            place = get(words[i])
+            at[i] = self._add(words[i]) if place is None else place
+        ids, first, size = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.first, np.int64), (self.size, np.int64)))
+        start, n = first[at], size[at]
+        out = ids[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        del ids, first, size  # the tables can't grow while they are looked at
+        if len(self.index) > had:
+            self._forget(had, rows)
+        return out, np.diff(np.cumsum(n)[at == 0], prepend=0)
+
+    def _forget(self, had: int, rows: int) -> None:
+        """Drops all that came after the first `had` words if the table is full, else whole texts and very long words."""
+        if had > self.kept:
+            while len(self.index) > had:
+                self.index.popitem()
+            del self.ids[self.first[rows] :], self.first[rows:], self.size[rows:]
+        else:
+            for word in [w for w in islice(reversed(self.index), len(self.index) - had) if not isinstance(w, str) or len(w) > self.LONGEST]:
+                del self.index[word]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
