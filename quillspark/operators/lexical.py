@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as t
 
 KEYS = ["note_path", "seq"]
+#: Distinct terms of a query set that are broadcast at most.
+TERMS = 65_536
 
 
 def index(chunks: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +29,17 @@ def query_words(queries: DataFrame, stem: bool = False) -> DataFrame:
     return t.stemmed(words) if stem else words
 
 
+def _few(words: DataFrame) -> bool:
+    """Whether a query set's words are so few that they may be broadcast."""
+    return words.limit(TERMS + 1).count() <= TERMS
+
+
+def of_terms(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """The postings of the words' terms. A few terms meet the postings where these lie; more are joined by a shuffle."""
+    terms = words.select("term").distinct()
+    return postings.join(F.broadcast(terms) if _few(terms) else terms, "term", "left_semi")
+
+
 def bm25(postings: DataFrame, stats: DataFrame, words: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, note_path, seq, score), the larger the better, of chunks that have any query word.
 
@@ -35,14 +48,16 @@ def bm25(postings: DataFrame, stats: DataFrame, words: DataFrame, k1: float = 1.
     """
     total = stats.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     wanted = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    own = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    few = _few(wanted)
+    own = of_terms(postings, wanted)
     n = own.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weight = n.crossJoin(F.broadcast(total)).select("term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    rows = own.join(weight, "term").join(stats, KEYS)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = rows.select("term", *KEYS, part.alias("part")).join(wanted, "term")
-    return scored.groupBy("query_id", *KEYS).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
+    weight = wanted.join(n, "term").crossJoin(F.broadcast(total)).select("term", "query_id", (F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)).alias("w"))
+    # a chunk's part of a term is the same for all queries, so it is worked out before they multiply the rows
+    length = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    rows = own.join(stats, KEYS).crossJoin(F.broadcast(total.select("avgdl"))).select("term", *KEYS, (F.col("tf") * (k1 + 1) / length).alias("part"))
+    scored = rows.join(F.broadcast(weight) if few else weight, "term")
+    return scored.groupBy("query_id", *KEYS).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:
@@ -57,7 +72,7 @@ def evidence(postings: DataFrame, stats: DataFrame, words: DataFrame) -> DataFra
     share of the query's weight that any chunk has; null where the weights are nothing."""
     total = stats.agg(F.count("*").alias("chunk_total"))
     once = words.groupBy("query_id", "term").agg(F.min("pos").alias("pos"))
-    df = postings.join(once.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = of_terms(postings, once).groupBy("term").agg(F.count("*").alias("df"))
     rows = once.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(total))
     rows = rows.withColumn("idf", F.log((F.col("chunk_total") + 1) / (F.col("df") + 1)))
     own = W.partitionBy("query_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as t
 from quillspark.operators import discover, graph, lexical, search
 from quillspark.plans import tables as x
+from quillspark.sources.store import stored
 
 R = lambda c, n=9: F.round(c, n).alias(c)
 
@@ -36,7 +37,9 @@ middle AS (SELECT note_path, list_transform(c, lambda v: v / sqrt(list_sum(list_
 
 
 def _index(spark, sf_dir):
-    return lexical.index(x.chunks(spark, sf_dir))
+    """The index is a table before it is asked, as in a vault."""
+    postings, stats = lexical.index(x.chunks(spark, sf_dir))
+    return stored(postings), stored(stats)
 
 
 def _hybrid(spark, sf_dir, limit=10):
