@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import by_ranges, shared_dir
 
 #: Ids after which a shard is closed; a shard holds whole documents.
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 20
 BLOCK = 512
 _SHARD = "part int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -129,10 +129,6 @@ class WaveletMatrix:
         return cls(row["n_ids"], row["zeros"], [np.frombuffer(p, np.uint8) for p in row["planes"]], [np.frombuffer(r, "<u4") for r in row["ranks"]])
 
 
-# Pairs and single characters after which a text isn't words with one blank or line end between them
-_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *"\0\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
-
-
 # A byte-level vocabulary writes each byte as a letter: printable ones as themselves, the others from 256 on
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -164,7 +160,10 @@ class Encoder:
 
     @staticmethod
     def _regular(text: str) -> bool:
-        return not (any(x in text for x in _IRREGULAR) or "\1" in text or text[:1].isspace() or text[-1:].isspace())
+        """Whether all white space is single blanks and line ends between words, and nothing is a control character."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return text.replace("\n", " ").isprintable()  # of white space, the blank alone is printable
 
     def _add(self, word: str | tuple[str]) -> int:
         """The place of a word that isn't in the table yet.
@@ -213,7 +212,11 @@ class Encoder:
             at[i] = self._add(words[i]) if place is None else place
         ids, first, size = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.first, np.int64), (self.size, np.int64)))
         start, n = first[at], size[at]
-        out = ids[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        total = int(n.sum())
+        small = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        place = np.repeat((start - np.cumsum(n) + n).astype(small), n)
+        place += np.arange(total, dtype=small)
+        out = ids.take(place)
         del ids, first, size  # the tables can't grow while they are looked at
         if len(self.index) > had:
             self._forget(had, rows)
