@@ -107,7 +107,7 @@ def scan(docs: DataFrame, rare: int = 6, votes: int = 2, share: float = 0.6) ->
     flat = own.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("at")))).select("row", F.col("word"), "at")
     # IDF over all documents; the words are those of the templates, so these tables are of fixed size
     each = flat.groupBy("row", "word").agg(F.count("*").alias("n"))
-    idf = each.groupBy("word").agg(F.count("*").alias("df")).crossJoin(own.agg(F.count("*").alias("all"))).select("word", F.log((F.col("all") + 1) / (F.col("df") + 1)).alias("idf"))
+    idf = each.groupBy("word").agg(F.count("*").alias("df")).select("word", F.log((F.lit(own.count()) + 1) / (F.col("df") + 1)).alias("idf"))
     best = F.row_number().over(W.partitionBy("row").orderBy(F.desc("idf"), "word"))
     top = each.join(F.broadcast(idf), "word").withColumn("k", best).filter(F.col("k") <= rare).groupBy("row").agg(F.collect_set("word").alias("top"))
     index = F.broadcast(spark.createDataFrame(entries, "word string, template int, place int, key boolean"))
