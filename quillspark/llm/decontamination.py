@@ -2,10 +2,11 @@
 
 Texts are compared as lower-case words with single blanks. An item within k edits of a window
 leaves at least two of its k + 2 pieces intact, near their places; only the item-sized windows
-around such pieces can match and are embedded. The CGK random walk reads a string with a pointer
-that moves on by a random bit for each step and byte, so a few edits change few of the walk's
-symbols; samples of symbols from several walks are the keys of which a window and an item must share
-one to be compared.
+around such pieces can match. From each of these pieces, wherever in the item it stands, a segment of
+the window and of the item is embedded. The CGK random walk reads a string with a pointer that moves
+on by a random bit for each step and byte, so a few edits change few of the walk's symbols; samples
+of symbols from several walks are the keys. A window and an item are compared if a segment of one has
+a key of the other's.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def embed_keys(rows: np.ndarray, steps: int = STEPS) -> np.ndarray:
 
 
 def _width(size: int) -> int:
-    """Bytes of an item that its walk sees: the largest power of two up to 64 that it has."""
+    """Bytes of a segment that a walk sees: the largest power of two up to 64 in the `size` there are."""
     return min(64, 1 << (size.bit_length() - 1))
 
 
@@ -118,15 +119,14 @@ class Pieces:
         self.owner, self.place = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
         self.flag = np.zeros(1 << 20, bool)
         self.flag[self._slot(self.grams)] = True
-        self.widths = sorted({_width(int(s)) for s in self.sizes})
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
         return ((grams * _MIX) >> np.uint64(44)).astype(np.int64)
 
-    def starts(self, data: bytes) -> np.ndarray:
-        """(place, number of the item) for word starts around which two pieces of an item stand near
-        their places: no other item-sized window of `data` can be within the item's edits."""
+    def near(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number among all pieces) of the pieces in `data` that have another piece of their item
+        near its place: no item-sized window without such pieces can be within the item's edits."""
         x = np.frombuffer(data, np.uint8)
         hits = []
         for off in range(PIECE):
@@ -138,13 +138,14 @@ class Pieces:
                 good = self.grams[k] == g[at]
                 hits.append(np.stack([at[good] * PIECE + off, k[good]]))
         if not hits or not sum(h.shape[1] for h in hits):
-            return np.zeros((0, 2), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, k = np.concatenate(hits, axis=1)
         n = self.count[k]
         post = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        owner, place, diagonal = self.owner[post], self.place[post], np.repeat(at, n) - self.place[post]
-        order = np.lexsort((place, diagonal, owner))
-        owner, place, diagonal = owner[order], place[order], diagonal[order]
+        at = np.repeat(at, n)
+        order = np.lexsort((self.place[post], at - self.place[post], self.owner[post]))
+        at, post = at[order], post[order]
+        owner, place, diagonal = self.owner[post], self.place[post], at - self.place[post]
         # another piece of the item on a diagonal within its edits: a neighbour in this order, but for the same piece again
         near = np.zeros(len(owner), bool)
         step, open_ = 1, np.arange(len(owner))
@@ -157,7 +158,12 @@ class Pieces:
             near[open_[two]] = near[other[two]] = True
             open_ = open_[~two]  # the same piece again: look further
             step += 1
-        owner, diagonal = owner[near], diagonal[near]
+        return at[near], post[near]
+
+    def starts(self, data: bytes) -> np.ndarray:
+        """(place, number of the item) for the word starts at which an item with such pieces can begin."""
+        at, post = self.near(data)
+        owner, diagonal, x = self.owner[post], at - self.place[post], np.frombuffer(data, np.uint8)
         words = np.concatenate([[0], np.flatnonzero((x[:-1] == 32) | (x[:-1] == 10)) + 1]) if len(x) else np.zeros(0, np.int64)
         low, high = np.searchsorted(words, diagonal - self.edits[owner]), np.searchsorted(words, diagonal + self.edits[owner], "right")
         n = high - low
@@ -170,32 +176,64 @@ class Finder:
 
     def __init__(self, items: list[bytes], rate: float):
         self.items, self.pieces = items, Pieces(items, rate)
-        self.width = np.array([_width(len(i)) for i in items], np.int64)
-        self.keys = np.zeros((len(items), WALKS * SAMPLES), np.uint64)
-        for w in set(self.width.tolist()):
-            own = np.flatnonzero(self.width == w)
-            self.keys[own] = embed_keys(_padded([items[n] for n in own], w), 2 * w)
+        before, after = self.pieces.place + PIECE, self.pieces.sizes[self.pieces.owner] - self.pieces.place
+        #: a piece's segment goes to the side where its item has more bytes; backward it is read from its end
+        self.back = before > after
+        self.width = np.array([_width(n) for n in np.maximum(before, after).tolist()], np.int64)
+        self.keys = np.zeros((len(before), WALKS * SAMPLES), np.uint64)  # of pieces that a text had
+        self.known = np.zeros(len(before), bool)
+
+    def _embed(self, strings: list[bytes], width: int) -> np.ndarray:
+        return np.concatenate([embed_keys(_padded(strings[i : i + 8192], width), 2 * width) for i in range(0, len(strings), 8192)])
+
+    def _alike(self, data: bytes, at: np.ndarray, post: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the segments from pieces at places `at`, between `low` and `high`, share a key with their items'."""
+        out = np.zeros(len(at), bool)
+        for w in np.unique(self.width[post]).tolist():
+            for back in (False, True):
+                own = np.flatnonzero((self.width[post] == w) & (self.back[post] == back))
+                if not len(own):
+                    continue
+                segment = lambda text, p, a, e: text[max(a, p + PIECE - w) : p + PIECE][::-1] if back else text[p : min(p + w, e)]  # noqa: B023, E731
+                new = np.unique(post[own])
+                new = new[~self.known[new]]
+                if len(new):
+                    parts = zip(self.pieces.owner[new].tolist(), self.pieces.place[new].tolist(), strict=True)
+                    self.keys[new] = self._embed([segment(self.items[n], p, 0, len(self.items[n])) for n, p in parts], w)
+                    self.known[new] = True
+                places, first, nth = np.unique(at[own], return_index=True, return_inverse=True)
+                parts = zip(places.tolist(), low[own][first].tolist(), high[own][first].tolist(), strict=True)
+                keys = self._embed([segment(data, p, a, e) for p, a, e in parts], w)
+                for i in range(0, len(own), 8192):
+                    some = own[i : i + 8192]
+                    out[some] = (keys[nth[i : i + 8192]] == self.keys[post[some]]).any(1)
+        return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(number of the text, number of the item, edits) of all matches, with the fewest edits each."""
         data = b"\n".join(texts) + b"\n"
         begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        places, owner = self.pieces.starts(data).T
-        doc = np.searchsorted(begins, places, "right") - 1
-        ends = begins[doc] + np.array([len(t) for t in texts], np.int64)[doc]
+        at, post = self.pieces.near(data)
+        doc = np.searchsorted(begins, at, "right") - 1
+        low, high = begins[doc], begins[doc] + np.array([len(t) for t in texts], np.int64)[doc]
+        own = np.flatnonzero(self._alike(data, at, post, low, high))
+        owner = self.pieces.owner[post[own]]
+        start, most, size = at[own] - self.pieces.place[post[own]], self.pieces.edits[owner], self.pieces.sizes[owner]
+        low, high = np.maximum(low[own], start - most), np.minimum(high[own], start + size + most)
+        order = np.lexsort((low, owner, doc[own]))
         best: dict[tuple[int, int], int] = {}
-        for w in set(self.width[owner].tolist()):
-            own = np.flatnonzero(self.width[owner] == w)
-            at, back = np.unique(places[own], return_inverse=True)
-            last = ends[own][np.unique(back, return_index=True)[1]]
-            keys = np.concatenate([embed_keys(_padded([data[s : min(s + w, e)] for s, e in zip(at[i : i + 8192], last[i : i + 8192], strict=True)], w), 2 * w) for i in range(0, len(at), 8192)])
-            own = own[(keys[back] == self.keys[owner[own]]).any(1)]
-            for s, e, n, d in zip(places[own].tolist(), ends[own].tolist(), owner[own].tolist(), doc[own].tolist(), strict=True):
-                item, most = self.items[n], int(self.pieces.edits[n])
-                if best.get((d, n), most + 1):
-                    edits = 0 if data.startswith(item, s) else distance(item, data[max(int(begins[d]), s - most) : min(s + len(item) + 2 * most, e)])
-                    if edits <= most:
-                        best[d, n] = min(edits, best.get((d, n), edits))
+        windows: list[list[int]] = []  # windows of an item that overlap are compared as one
+        for d, n, s, e in zip(doc[own][order].tolist(), owner[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
+            if windows and windows[-1][:2] == [d, n] and s <= windows[-1][3]:
+                windows[-1][3] = max(windows[-1][3], e)
+            else:
+                windows.append([d, n, s, e])
+        for d, n, s, e in windows:
+            item, most = self.items[n], int(self.pieces.edits[n])
+            if best.get((d, n), most + 1):
+                edits = 0 if data.find(item, s, e) >= 0 else distance(item, data[s:e])
+                if edits <= most:
+                    best[d, n] = min(edits, best.get((d, n), edits))
         return [(d, n, edits) for (d, n), edits in best.items()]
 
 

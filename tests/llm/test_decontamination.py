@@ -96,3 +96,21 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(n, f"a {t} b") for n, t in items], "doc_id long, text string")
     found = d.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((x["doc_id"], x["item_id"], x["edits"]) for x in found) == [(n, n, 0) for n in range(6)]
+
+
+def test_recall_where_edits_are_packed():
+    """Edits that stand together at the head, in the middle or at the tail lose no item, nor do edits of words without blanks."""
+    r = random.Random(21)
+    for blank in (" ", ""):
+        items = [d.plain(words(r, 60).replace(" ", blank))[:233] for _ in range(60)]
+        finder = d.Finder(items, 0.1)
+        for where in (range(64), range(84, 148), range(169, 233), range(233)):
+            texts = []
+            for item in items:
+                inside = bytearray(item)
+                for k in r.sample(where, 20):
+                    inside[k] = r.choice(b"uvwxyz")
+                texts.append(d.plain(words(r, 20)) + blank.encode() + bytes(inside) + blank.encode() + d.plain(words(r, 20)))
+            found = {(a, b): edits for a, b, edits in finder.find(texts)}
+            assert sum((n, n) in found for n in range(60)) >= 59, (blank, where)
+            assert all(edits == naive(items[b], texts[a]) for (a, b), edits in list(found.items())[:5])
