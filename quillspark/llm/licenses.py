@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words.
 
-The words of licence texts are indexed with their places. Each file's licence words with the highest
-IDF over the corpus are looked up; places where several of them stand in a template's relative
-positions are candidates, and a candidate counts if the template's key phrase stands in its place too.
+The words of licence texts, function words left out, are indexed with their places. All of a file's
+indexed words are looked up; places where several of them stand in a template's relative positions
+are candidates, and a candidate counts if the template's key phrase stands in its place too.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
@@ -90,13 +89,13 @@ def hits(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "row long, doc_id long, n_words long, words array<string>, places array<long>")
 
 
-def scan(docs: DataFrame, rare: int = 6, votes: int = 2, share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, votes: int = 2, share: float = 0.6) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
 
     The base phrases count at all their places, first_word and last_word being the smallest and the
-    largest of these (null without any). A template counts where `votes` of the file's `rare` words
-    of highest IDF, its whole key phrase and `share` of its words stand in their relative places.
+    largest of these (null without any). A template counts where `votes` of its words, its whole key
+    phrase and `share` of its words stand in their relative places, whatever else the file has.
     labels has both kinds, distinct, sorted and joined with commas; score is the largest share of a
     template's words, half of it for a base phrase alone, else 0. A null text is empty. Repeated
     rows stay; an empty table gives no rows.
@@ -105,20 +104,14 @@ def scan(docs: DataFrame, rare: int = 6, votes: int = 2, share: float = 0.6) ->
     templates, entries = postings()
     own = cut(hits(docs))
     flat = own.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("at")))).select("row", F.col("word"), "at")
-    # IDF over all documents; the words are those of the templates, so these tables are of fixed size
-    each = flat.groupBy("row", "word").agg(F.count("*").alias("n"))
-    idf = each.groupBy("word").agg(F.count("*").alias("df")).select("word", F.log((F.lit(own.count()) + 1) / (F.col("df") + 1)).alias("idf"))
-    best = F.row_number().over(W.partitionBy("row").orderBy(F.desc("idf"), "word"))
-    top = each.join(F.broadcast(idf), "word").withColumn("k", best).filter(F.col("k") <= rare).groupBy("row").agg(F.collect_set("word").alias("top"))
     index = F.broadcast(spark.createDataFrame(entries, "word string, template int, place int, key boolean"))
     known = F.broadcast(spark.createDataFrame(templates, "template int, label string, base boolean, size int, keys int"))
     votes_of = (
         flat.join(index, "word")
-        .join(top, "row")
         .groupBy("row", "template", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.count("*").alias("n"), F.count_if("key").alias("k"), F.count_if(F.array_contains("top", F.col("word"))).alias("r"))
+        .agg(F.count("*").alias("n"), F.count_if("key").alias("k"))
         .join(known, "template")
-        .filter((F.col("k") == F.col("keys")) & (F.col("base") | ((F.col("r") >= votes) & (F.col("n") >= share * F.col("size")))))
+        .filter((F.col("k") == F.col("keys")) & (F.col("base") | ((F.col("n") >= votes) & (F.col("n") >= share * F.col("size")))))
     )
     found = votes_of.groupBy("row").agg(
         F.count_if("base").alias("n_base"),

@@ -32,3 +32,14 @@ def test_scan_against_brute_force(spark, sf):
         assert r["labels"] == ",".join(sorted(set(filter(None, r["labels"].split(",")))))
     label = lambda k: rows[10_000 + k]["labels"]
     assert (label(0), label(8), label(9), label(10), label(11)) == ("mit", "gpl", "apache-2.0", "cc-by,cc-by-nc", "")
+
+
+def test_no_notice_is_lost_among_other_licence_words(spark):
+    """A notice counts however common it is and however many rarer licence words its file has."""
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."
+    other = "Plain words of a long text. " * 500
+    docs = [(1, f"{grant} Licensed under CC BY-NC 4.0."), (2, f"{other} binary hereby waived possible fee redistribution {other} Released under the MIT License. {other}")]
+    docs.append((3, f"{grant} {other} Licensed under the Apache License, Version 2.0. {other} Licensed under CC BY-NC 4.0. {other} binary waived possible fee"))
+    docs += [(n, "Licensed under CC BY-NC 4.0. Released under the MIT License.") for n in range(10, 60)]
+    rows = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (rows[1], rows[2], rows[3]) == ("cc-by,cc-by-nc,mit", "mit", "apache-2.0,cc-by,cc-by-nc,mit")
