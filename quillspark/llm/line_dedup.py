@@ -2,6 +2,7 @@
 
 A line that several documents have links each later holder to the earliest one; such pairs are aligned
 by patience diff, rare lines first, and aligned blocks that are long enough go from the later document.
+One alignment keeps one order, so blocks that the two documents have in another order are added to it.
 Long lines are cut at sentence ends, so that a passage is found inside a longer line as well.
 """
 
@@ -92,6 +93,14 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) ->
     return out
 
 
+def common_blocks(pairs: list[tuple[int, int, bool]], words: dict[int, int], least: int) -> list[int]:
+    """Places in the later document, ascending, that lie in blocks of at least `least` words which the
+    documents have in common, in whatever order: what the alignment has, and each run of common lines
+    that follow each other in both documents but that the alignment leaves or cuts for another's order."""
+    apart = sorted({(a, b) for a, b, _ in pairs}, key=lambda x: (x[1] - x[0], x[0]))
+    return sorted({*blocks(align(pairs), words, least), *blocks(apart, words, least)})
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, place, h, words): each line that isn't blank. h is a hash of the line, without white
     space at its ends, and of how often the document had it before."""
@@ -137,7 +146,7 @@ def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
             for doc_id, pairs in zip(b["doc_id"], b["pairs"], strict=True):
                 rows = [(int(p["place"]), int(p["early_place"]), bool(p["rare"])) for p in pairs]
                 n = {int(p["place"]): int(p["words"]) for p in pairs}
-                gone = blocks(align(rows), n, least)
+                gone = common_blocks(rows, n, least)
                 if gone:
                     ids.append(doc_id)
                     places.append(gone)

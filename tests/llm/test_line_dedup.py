@@ -79,3 +79,27 @@ def test_same_line_many_times(spark):
     got = {x["doc_id"]: x for x in ld.line_dedup(docs).collect()}
     assert got[1]["removed"] == [] and got[2]["removed"] == [0, 1, 2] and got[2]["text"] == "\n".join([line] * 2)
     assert ld.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_common_blocks_in_any_order(spark):
+    """Passages that two documents have in another order go from the later one, all of them."""
+    r = random.Random(8)
+    a, b, c, x, y = (sentences(r, n) for n in (3, 3, 4, 2, 2))
+    docs = [(1, " ".join([*a, *x, *b, *c])), (2, " ".join([*c, *b, *y, *a]))]
+    got = {d["doc_id"]: d for d in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1]["removed"] == [] and got[2]["removed"] == [0, 1, 2, 3, 4, 5, 6, 9, 10, 11]
+    assert got[2]["text"].strip() == " ".join(y)
+
+
+def test_common_blocks_against_all_runs():
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randint(0, 14)
+        later, early = r.sample(range(18), n), r.sample(range(18), n)
+        pairs = [(a, b, r.random() < 0.5) for a, b in zip(later, early, strict=True)]
+        words, held, want = {k: r.randint(1, 6) for k in range(18)}, {(a, b) for a, b, _ in pairs}, set()
+        for a, b in held:
+            run = [k for k in range(18) if (a + k, b + k) in held and all((a + i, b + i) in held for i in range(k))]
+            if sum(words[a + k] for k in run) >= 8:
+                want |= {a + k for k in run}
+        assert ld.common_blocks(pairs, words, 8) == sorted(want)
