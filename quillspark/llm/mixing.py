@@ -3,7 +3,7 @@
 Sizes are counted exactly, a water level gives each source its target, whole repeats of a
 source fill most of it, and what remains is filled exactly: a proportional number of documents
 of each length, corrected by a bounded-knapsack dynamic program over the last few thousand
-words. Which documents of a length are taken follows from a seed, so reruns agree.
+words. Where that misses, a program over the whole budget chooses the long documents. Which documents of a length are taken follows from a seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from quillspark.llm.common import WORD, cut, fresh
 
 #: Words that the dynamic program fits at most.
 WINDOW = 1 << 14
+#: Bits that a program over a whole budget holds; it counts in units of so many words that it needs no more.
+BITS = 1 << 29
 #: Documents of one source and length that are ranked in one group at most, on average.
 SALT_ROWS = 4096
 
@@ -48,10 +50,67 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return s.select("source", "source_size", F.greatest(F.lit(0.0), F.least(F.col("cap"), F.col("w") * F.col("level"))).alias("target"))
 
 
+def _items(lengths: np.ndarray, free: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(index, documents): powers of two and a rest of which any number up to `free` is a sum, shortest first."""
+    items = []
+    for i in np.argsort(-lengths, kind="stable")[::-1]:
+        left, part = int(free[i]), 1
+        while left > 0 and 0 < lengths[i] * part <= most:
+            n = min(part, left)
+            items.append((int(i), n))
+            left, part = left - n, part * 2
+    return items
+
+
+def _program(lengths: np.ndarray, free: np.ndarray, goal: int) -> np.ndarray:
+    """How many of the `free` documents of each length come nearest to `goal` together."""
+    take = np.zeros_like(free)
+    most = 2 * goal + 1  # a sum above the goal may be nearer than any below it
+    items = _items(lengths, free, most)
+    reach, mask, seen = 1, (1 << (most + 1)) - 1, []
+    for i, n in items:
+        seen.append(reach)
+        reach |= (reach << (n * int(lengths[i]))) & mask
+        if reach >> goal & 1:
+            break
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = reach >> (goal + 1)
+    above = goal + (over & -over).bit_length() if over else 1 << 62
+    at = above if above - goal < goal - below else below
+    for (i, n), was in zip(items[: len(seen)][::-1], seen[::-1], strict=True):
+        if not was >> at & 1:
+            take[i] += n
+            at -= n * int(lengths[i])
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take for a total of `budget` words, or as near to it as the
-    window allows. `counts` documents there are of each of the distinct `lengths`."""
+    window and the units allow. `counts` documents there are of each of the distinct `lengths`."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    away = lambda take: abs(int((take * lengths).sum()) - budget)
+    take = _fit_window(lengths, counts, budget, window)
+    if budget <= 0 or int((lengths * counts).sum()) <= budget or not away(take):
+        return take
+    return min(take, _fit_whole(lengths, counts, budget, window), key=away)
+
+
+def _fit_whole(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """The nearest sum of all documents where BITS allow; else long documents are chosen in units of
+    several words, for what the short ones leave to them, and the short ones are fitted to the rest."""
+    units = lambda some: -(-2 * budget * max(1, len(_items(lengths, some, 2 * budget + 1))) // BITS)
+    if units(counts) <= 1:
+        return _program(lengths, counts, budget)
+    long = lengths > window // 2
+    free = np.where(long, counts, 0)
+    unit, short = units(free), int((lengths * (counts - free)).sum())
+    goal = budget - int(short * (budget / int((lengths * counts).sum())))
+    take = _program(np.rint(lengths / unit).astype(np.int64), free, int(round(goal / unit)))
+    return take + _fit_window(lengths, counts - free, budget - int((lengths * take).sum()), window)
+
+
+def _fit_window(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """A proportional number of each length, then the longest that fit, then a program over the last `window` words."""
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
@@ -77,30 +136,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             n = min(int(take[i]), (window // 2 - left) // int(lengths[i]) + 1)
             take[i] -= n
             left += n * int(lengths[i])
-    goal = min(left, window)
-    most = 2 * goal + 1  # a sum above the goal may be nearer than any below it
-    items = []
-    for i in order[::-1]:
-        free, part = int(counts[i] - take[i]), 1
-        while free > 0 and 0 < lengths[i] * part <= most:
-            n = min(part, free)
-            items.append((int(i), n))
-            free, part = free - n, part * 2
-    reach, mask, seen = 1, (1 << (most + 1)) - 1, []
-    for i, n in items:
-        seen.append(reach)
-        reach |= (reach << (n * int(lengths[i]))) & mask
-        if reach >> goal & 1:
-            break
-    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    over = reach >> (goal + 1)
-    above = goal + (over & -over).bit_length() if over else 1 << 62
-    at = above if above - goal < goal - below else below
-    for (i, n), was in zip(items[: len(seen)][::-1], seen[::-1], strict=True):
-        if not was >> at & 1:
-            take[i] += n
-            at -= n * int(lengths[i])
-    return take
+    return take + _program(lengths, counts - take, min(left, window))
 
 
 def _fit_source(rows: pd.DataFrame, most: float = 3.0) -> pd.DataFrame:

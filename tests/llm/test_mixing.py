@@ -94,3 +94,31 @@ def test_mixed_repeats_rows(spark):
     for r in mixing.mixed(docs).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_fit_beyond_the_window():
+    """Long documents alone come as near to the budget as any subset does."""
+    assert mixing.fit(np.array([49_000, 51_000, 60_000]), np.ones(3), 100_000).tolist() == [1, 1, 0]
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = np.unique(r.integers(3 * mixing.WINDOW, 12 * mixing.WINDOW, 9))
+        counts = r.integers(1, 3, len(lengths))
+        budget = int((lengths * counts).sum() * r.uniform(0.2, 0.9))
+        reach = {0}
+        for length, count in zip(lengths.tolist(), counts.tolist(), strict=True):
+            reach = {x + k * length for x in reach for k in range(count + 1)}
+        taken = mixing.fit(lengths, counts, budget)
+        assert ((0 <= taken) & (taken <= counts)).all()
+        assert abs(int((taken * lengths).sum()) - budget) == min(abs(x - budget) for x in reach)
+
+
+def test_fit_of_many_long_documents(monkeypatch):
+    """In units of several words the long documents come near, and the short ones fit the rest exactly."""
+    monkeypatch.setattr(mixing, "BITS", 1 << 24)
+    r = np.random.default_rng(5)
+    long = np.unique(r.integers(3 * mixing.WINDOW, 12 * mixing.WINDOW, 60))
+    budget = int(long.sum() * 0.4)
+    assert abs(int((mixing.fit(long, np.ones(len(long)), budget) * long).sum()) - budget) <= 1e-4 * budget
+    # 60,000 and all short ones are too few, 51,000 + 49,000 and some of them are as wished for
+    lengths, counts = np.array([7, 11, 490_000, 510_000, 600_000]), np.array([500, 500, 1, 1, 1])
+    assert int((mixing.fit(lengths, counts, 1_004_000) * lengths).sum()) == 1_004_000
