@@ -140,17 +140,18 @@ class Encoder:
     Byte-level BPE never merges over the start of a word, nor between a word's last letter and the
     punctuation after it, so a text whose white space is single blanks and line ends is cut before each of
     these, and the ids of words already seen are taken from a table. Any other text goes to the
-    library whole. Special tokens' strings in a text are ordinary text. The table stops growing
-    at `kept` words.
+    library whole, as does one that holds an added token's string: to the library that is the token,
+    unless `plain` makes special tokens' strings ordinary text. The table stops growing at `kept` words.
     """
 
     LONGEST, STEP = 40, 2048
 
-    def __init__(self, path: str, end: int = 0, kept: int = 800_000):
+    def __init__(self, path: str, end: int = 0, kept: int = 800_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.model = self.tokenizer.model
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kept = kept
@@ -197,7 +198,7 @@ class Encoder:
             held.clear()
 
         for text in texts:
-            if text and self._regular(text):
+            if text and self._regular(text) and not any(t in text for t in self.added):
                 held.append(text)
                 continue
             if held:
@@ -233,15 +234,15 @@ class Encoder:
                 del self.index[word]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def _encoder(path: str, end: int) -> Encoder:
+def _encoder(path: str, end: int, plain: bool = True) -> Encoder:
     """One encoder for each Python worker, in one thread as Spark gives each task one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+    if (path, end, plain) not in _encoders:
+        _encoders[path, end, plain] = Encoder(path, end, plain=plain)
+    return _encoders[path, end, plain]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -249,11 +250,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, sha
 
     Ids are cut into ranges, a range into shards of about `shard_ids`; within a range documents are
     in ascending doc_id order (null first; equal ids by the hash of their texts). A null text is
-    empty, and an empty text is the end id alone.
+    empty, and an empty text is the end id alone. An added token's string in a text is that token, as
+    the library's defaults have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, end)
+        encoder = _encoder(tokenizer, end, plain=False)
         part, seq, held, docs_of, n = None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:

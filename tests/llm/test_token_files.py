@@ -78,3 +78,24 @@ def test_small_shards_and_odd_rows(spark, tmp_path):
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids) + 1
     assert [x[1] for x in rows] == [n("x"), 1, n("a b"), n("a b"), 1, n("y " * 5000)]
     assert f.token_files(docs.limit(0), PATH).collect() == []
+
+
+@given(st.lists(st.one_of(st.sampled_from(TEXTS), st.text(st.sampled_from("ab'. ,\n1é"), max_size=12)), max_size=6), st.integers(0, 12))
+@settings(max_examples=60, deadline=None)
+def test_added_tokens_are_the_librarys(texts, at):
+    library, encoder = Tokenizer.from_file(PATH), f.Encoder(PATH)
+    texts = [*texts, "a <|endoftext|> b", "one two" + "<|endoftext|>" * (at % 3) + ". three", *[t[:at] + "<|endoftext|>" + t[at:] for t in texts]]
+    want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    ids, lengths = encoder.encode(texts)
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_files_hold_added_tokens(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["x y", "a <|endoftext|> b", "<|endoftext|>", "c d <|endoftext", "e"]
+    got = {r["doc_id"]: r for r in f.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    start = 0
+    for n, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids + [0]
+        assert (got[n]["start"], got[n]["n_tokens"], got[n]["ids_crc32"]) == (start, len(ids), f.crc32(ids))
+        start += len(ids)
