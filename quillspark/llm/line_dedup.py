@@ -101,8 +101,19 @@ def common_blocks(pairs: list[tuple[int, int, bool]], words: dict[int, int], lea
     return sorted({*blocks(align(pairs), words, least), *blocks(apart, words, least)})
 
 
+def with_blanks(cut: list[tuple[str, int]], gone: list[int]) -> list[int]:
+    """Places among all lines of the lines `gone`, numbered without blank ones, and of the blank lines
+    that stand between two of them."""
+    full, held = [k for k, (_, n) in enumerate(cut) if n], set(gone)
+    out: list[int] = []
+    for g in sorted(held):
+        if g < len(full):
+            out += range(full[g - 1] + 1, full[g] + 1) if g - 1 in held else [full[g]]
+    return out
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, h, words): each line that isn't blank. h is a hash of the line, without white
+    """(doc_id, place, h, words): each line that isn't blank, place being its number among these. h is a hash of the line, without white
     space at its ends, and of how often the document had it before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,15 +122,14 @@ def lines(docs: DataFrame) -> DataFrame:
             ids, places, hs, words = [], [], [], []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 had: dict[int, int] = {}
-                for k, (line, n) in enumerate(cut_lines(text)):
-                    if n:
-                        h = digest(line.strip().encode("utf-8", "surrogatepass"))
-                        nth = had.get(h, 0)
-                        had[h] = nth + 1
-                        ids.append(doc_id)
-                        places.append(k)
-                        hs.append(digest(f"{h} {nth}") if nth else h)
-                        words.append(n)
+                for k, (line, n) in enumerate(x for x in cut_lines(text) if x[1]):
+                    h = digest(line.strip().encode("utf-8", "surrogatepass"))
+                    nth = had.get(h, 0)
+                    had[h] = nth + 1
+                    ids.append(doc_id)
+                    places.append(k)
+                    hs.append(digest(f"{h} {nth}") if nth else h)
+                    words.append(n)
             yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "place": np.array(places, np.int32), "h": np.array(hs, np.uint64).view(np.int64), "words": np.array(words, np.int32)})
 
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, place int, h long, words int")
@@ -127,7 +137,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
     """(doc_id, places array<int>, words): the lines of each document that lie in blocks of `least`
-    words or more which an earlier document (smaller doc_id) has as well.
+    words or more which an earlier document (smaller doc_id) has as well. Blank lines have no number.
 
     A line pairs each later holder with its earliest one alone: a line that very many documents
     share makes as many pairs, not their square.
@@ -162,7 +172,7 @@ def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
     the text's lines, from 0, ascending) and removed_words.
 
     The earliest document keeps what it shares, and blocks of fewer than `least` words stay
-    everywhere. A null or empty text stays; a row with a null doc_id stays as it is. Rows with the
+    everywhere. Blank lines cut no block, and go between two lines that go. A null or empty text stays; a row with a null doc_id stays as it is. Rows with the
     same doc_id count as one document and don't lose lines to each other. Columns named like the
     new ones give way. An empty table gives no rows.
     """
@@ -172,12 +182,16 @@ def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, texts = b.schema.get_field_index("text"), b.column("text").to_pylist()
-            for i, gone in enumerate(b.column(places).to_pylist()):
+            at, texts, removed = b.schema.get_field_index("text"), b.column("text").to_pylist(), b.column(places).to_pylist()
+            for i, gone in enumerate(removed):
                 if gone and texts[i] is not None:
-                    gone = set(gone)
-                    texts[i] = "".join(line for k, (line, _) in enumerate(cut_lines(texts[i])) if k not in gone)
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                    own = cut_lines(texts[i])
+                    removed[i] = with_blanks(own, gone)
+                    gone = set(removed[i])
+                    texts[i] = "".join(line for k, (line, _) in enumerate(own) if k not in gone)
+            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            k = b.schema.get_field_index(places)
+            yield b.set_column(k, b.schema.field(k), pa.array(removed, b.schema.field(k).type))
 
     rows = docs.join(gone, docs["doc_id"] == gone[doc], "left")
     # whole rows go through Python: a UDF column would keep them on disk meanwhile

@@ -103,3 +103,13 @@ def test_common_blocks_against_all_runs():
             if sum(words[a + k] for k in run) >= 8:
                 want |= {a + k for k in run}
         assert ld.common_blocks(pairs, words, 8) == sorted(want)
+
+
+def test_blank_lines_cut_no_block(spark):
+    r = random.Random(12)
+    passage, mine, other = (sentences(r, n, 6) for n in (10, 2, 2))
+    docs = [(1, "\n".join([*passage, *other])), (2, "\n\n".join([mine[0], *passage, mine[1]]) + "\n"), (3, "\n \n\n".join(passage[:2]) + "\n" + mine[0])]
+    got = {d["doc_id"]: d for d in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1]["removed"] == [] and got[2]["removed"] == list(range(2, 21)) and got[2]["removed_words"] == 60
+    assert got[2]["text"] == f"{mine[0]}\n\n\n{mine[1]}\n"
+    assert got[3]["removed"] == [0, 1, 2, 3] and got[3]["text"] == mine[0]
