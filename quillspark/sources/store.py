@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, or under a temporary one where that is unset."""
+    """A new folder's path under spark.checkpoint.dir. Where that is unset, under the warehouse, or, in a
+    session on one machine alone, under a temporary folder, which the session then keeps."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
+    if not top and re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
         top = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
+    top = top or spark.conf.get("spark.sql.warehouse.dir")
     return f"{top.rstrip('/')}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
