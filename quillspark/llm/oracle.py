@@ -4,12 +4,12 @@ in tests/llm."""
 op5_url_filter = r"""
 WITH pages_of AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
-         nullif(regexp_replace(lower(regexp_extract(trim(url), '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\\.$', ''), '') AS host
+         nullif(regexp_replace(lower(regexp_extract(trim(url), '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]*\]|[^/?#:@]*)', 1)), '\\.$', ''), '') AS host
   FROM pages),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM pages_of WHERE host IS NOT NULL),
 names AS (
   SELECT host, k AS depth, array_to_string(p[k:len(p)], '.') AS domain
-  FROM (SELECT host, p, unnest(range(1, greatest(2, len(p)))) AS k FROM parts)),
+  FROM (SELECT host, p, unnest(range(1, CASE WHEN regexp_matches(host, '^\[|^[0-9]+([.][0-9]+){3}$') THEN 2 ELSE greatest(2, len(p)) END)) AS k FROM parts)),
 listed AS (SELECT DISTINCT domain, DATE '2024-01-01' + CAST(7 * length(domain) % 100 AS INTEGER) AS day FROM names WHERE length(domain) % 3 = 0),
 active AS (
   SELECT domain, day AS since, day + 60 AS until FROM listed

@@ -11,16 +11,17 @@ from quillspark.llm.common import fresh
 
 
 def host(url: Column) -> Column:
-    """The host of a URL in lower case, without user, port and a last dot; null if there is none."""
-    found = F.regexp_extract(F.trim(url), "(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
+    """The host of a URL in lower case, without user, port and a last dot; an IPv6 address with its
+    brackets; null if there is none."""
+    found = F.regexp_extract(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]*\]|[^/?#:@]*)", 1)
     return F.nullif(F.regexp_replace(F.lower(found), "\\.$", ""), F.lit(""))
 
 
 def domains(name: Column) -> Column:
-    """The host and its parent domains of two labels or more, the longest first."""
+    """The host and its parent domains of two labels or more, the longest first; an address has no parents."""
     parts = F.split(name, "\\.")
     n = F.size(parts)
-    return F.when(n <= 2, F.array(name)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(parts, k, n - k + 1), ".")))
+    return F.when((n <= 2) | name.rlike(r"^\[|^\d+(\.\d+){3}$"), F.array(name)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(parts, k, n - k + 1), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
