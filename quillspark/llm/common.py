@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.store import shared_dir, stored
+
+__all__ = ["shared_dir"]
+
+#: Written as a table in the shared folder and read back.
+cut = stored
+
 #: Bytes that end a word: the blank and the five control characters 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -16,42 +25,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, or under a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/quillspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function for mapInPandas or mapInArrow, that gives what it freed back to the system when
+    its task ends: Python workers serve one stage after another and would keep it."""
 
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read back: lineage ends here,
-    lost executors don't recompute what came before, and its size is known to the planner."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return whole
 
 
-#: Ranges into which rows are cut by id, at most; their bounds are all that the driver sees.
-MOST_PARTS = 8192
+#: Ranges whose bounds come from the driver, at most, and ranges that each of them is cut into, at most.
+MOST_PARTS, MOST_INNER = 8192, 256
+#: Rows of a range, about, where there are more rows than a range for each shuffle partition takes.
+PART_ROWS = 1 << 15
 
 
-def by_ranges(rows: DataFrame, name: str) -> DataFrame:
+def by_ranges(rows: DataFrame, name: str, part_rows: int = PART_ROWS, most: int = MOST_PARTS) -> DataFrame:
     """`rows` with key (the long column `name`, null as the smallest long) and part: the number of
     the range of keys it lies in. Ranges hold about as many rows each; there are four for each
-    shuffle partition. The bounds come from one pass over the keys alone.
+    shuffle partition, or more, so that a range has about `part_rows` rows at most. The bounds come from a pass
+    over the keys alone. The driver sees those of `most` ranges; where that is too few, each of these is cut
+    again, by bounds that stay in a table of one row a range.
     """
     rows = rows.withColumn("key", F.coalesce(name, F.lit(-(1 << 63))))
-    parts = min(MOST_PARTS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    wanted = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.select("key").count() // part_rows))
+    parts, inner = min(most, wanted), min(MOST_INNER, -(-wanted // most))
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
     bounds = sorted(set(cuts or []))
     if not bounds:
         return rows.withColumn("part", F.lit(0))
     at, steps = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
     # a binary search: how many bounds are at most the key
     part = F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(at, low + s - 1) <= F.col("key")), low + s).otherwise(low))
-    return rows.withColumn("part", part)
+    rows = rows.withColumn("part", part)
+    if inner == 1:
+        return rows
+    (within,) = fresh(rows, "within")
+    table = cut(rows.groupBy("part").agg(F.percentile_approx("key", [i / inner for i in range(1, inner)], 20 * inner).alias(within)))
+    finer = F.col("part") * inner + F.size(F.filter(F.array_distinct(within), lambda b: b <= F.col("key")))
+    # of a proven size: at most `most` rows of MOST_INNER bounds, 16 MB
+    return rows.join(F.broadcast(table), "part").withColumn("part", finer).drop(within)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
