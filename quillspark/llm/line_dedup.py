@@ -1,7 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A line that several documents have links each later holder to the earliest one; such pairs are aligned
-by patience diff, rare lines first, and aligned blocks that are long enough go from the later document.
+From each line of a document, a run of as few lines as make a block is hashed. A run that several documents
+have links each later holder to the earliest one; such pairs are aligned by patience diff, lines of rare runs
+first, and aligned blocks that are long enough go from the later document. Any block is made of such runs,
+each of which has an earliest holder of its own, so no block is lost where these differ.
 One alignment keeps one order, so blocks that the two documents have in another order are added to it.
 Long lines are cut at sentence ends, so that a passage is found inside a longer line as well.
 """
@@ -18,13 +20,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from quillspark.llm.common import cut, fresh
+from quillspark.llm.common import cut, fresh, tidy
 
-#: Documents that hold a rare line, at most.
+#: Documents that hold a rare run, at most.
 RARE = 64
 #: Words after which a sentence's end ends a line.
 LINE_WORDS = 5
+#: Rows whose lines are cut at once.
+ROWS = 512
 _ENDS = re.compile(r"(?<=[.!?])(?= )|(?<=\n)")
 
 
@@ -112,59 +117,98 @@ def with_blanks(cut: list[tuple[str, int]], gone: list[int]) -> list[int]:
     return out
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, h, words): each line that isn't blank, place being its number among these. h is a hash of the line, without white
-    space at its ends, and of how often the document had it before."""
+def _text_key(text: str | None) -> int:
+    """A text's number among those of its doc_id, as a signed long."""
+    h = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            ids, places, hs, words = [], [], [], []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                had: dict[int, int] = {}
-                for k, (line, n) in enumerate(x for x in cut_lines(text) if x[1]):
-                    h = digest(line.strip().encode("utf-8", "surrogatepass"))
+
+def _shortest(words: list[int], least: int) -> list[int]:
+    """For each line that begins one, how many lines the shortest run of at least `least` words has."""
+    out, end, held = [], 0, 0
+    for k, n in enumerate(words):
+        while end < len(words) and held < least:
+            held += words[end]
+            end += 1
+        if held < least:
+            break
+        out.append(end - k)
+        held -= n
+    return out
+
+
+def windows(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the shortest run of at least `least` words from each line, and of the
+    shortest up to each line: every line of a longer run lies in one of these that is within it."""
+    back = _shortest(words[::-1], least)
+    return sorted({*enumerate(_shortest(words, least)), *((len(words) - k - m, m) for k, m in enumerate(back))})
+
+
+def runs(docs: DataFrame, least: int = 8) -> DataFrame:
+    """(doc_id, t, place, words, h, g): each run of lines of `least` words or more that has no shorter one at its
+    beginning or at its end. place is the number of its first line among those that aren't blank, words has the words of
+    its lines, t is a hash of the text. h and g are a 128-bit hash of the lines, without white space at their
+    ends, and of how often the document had the run before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            ids, texts, places, words, sizes, hashes = [], [], [], [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py()
+                own = [x for x in cut_lines(text) if x[1]]
+                counts = [n for _, n in own]
+                spans = windows(counts, least)
+                if not spans:
+                    continue
+                each, had = [digest(x.strip().encode("utf-8", "surrogatepass")) for x, _ in own], {}
+                for k, m in spans:
+                    h = each[k] if m == 1 else digest(b"".join(each[k : k + m]))
                     nth = had.get(h, 0)
                     had[h] = nth + 1
-                    ids.append(doc_id)
-                    places.append(k)
-                    hs.append(digest(f"{h} {nth}") if nth else h)
-                    words.append(n)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "place": np.array(places, np.int32), "h": np.array(hs, np.uint64).view(np.int64), "words": np.array(words, np.int32)})
+                    hashes.append(digest(h + nth.to_bytes(8, "little")) if nth else h)
+                    words += counts[k : k + m]
+                ids += [doc_id] * len(spans)
+                texts += [_text_key(text)] * len(spans)
+                places += [k for k, _ in spans]
+                sizes += [m for _, m in spans]
+            pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(words, pa.int32())), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "place", "words", "h", "g"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, place int, h long, words int")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, t long, place int, words array<int>, h long, g long")
 
 
 def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
-    """(doc_id, places array<int>, words): the lines of each document that lie in blocks of `least`
-    words or more which an earlier document (smaller doc_id) has as well. Blank lines have no number.
+    """(doc_id, t, places array<int>): the lines of each text that lie in blocks of `least` words or more which
+    an earlier document (smaller doc_id) has as well. Blank lines have no number.
 
-    A line pairs each later holder with its earliest one alone: a line that very many documents
+    A run pairs each later holder with its earliest one alone: a run that very many documents
     share makes as many pairs, not their square.
     """
-    own = cut(lines(docs))
-    first = own.groupBy("h").agg(F.min("doc_id").alias("early"), F.count("*").alias("n")).filter("n > 1")
-    first = cut(first.select("h", "early", (F.col("n") <= RARE).alias("rare")))
-    shared = cut(own.join(first, "h"))
-    early = shared.filter("doc_id = early").groupBy("h").agg(F.min("place").alias("early_place"))
-    pairs = shared.filter("doc_id > early").join(early, "h")
-    grouped = pairs.groupBy("doc_id", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "words")).alias("pairs"))
+    own = cut(runs(docs, least))
+    first = own.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("e"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first.select("h", "g", F.col("e.doc_id").alias("early"), F.col("e.place").alias("early_place"), (F.col("n") <= RARE).alias("rare")))
+    pairs = own.join(first, ["h", "g"]).filter("doc_id > early")
+    grouped = pairs.groupBy("doc_id", "t", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "words")).alias("pairs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, places, words = [], [], []
-            for doc_id, pairs in zip(b["doc_id"], b["pairs"], strict=True):
-                rows = [(int(p["place"]), int(p["early_place"]), bool(p["rare"])) for p in pairs]
-                n = {int(p["place"]): int(p["words"]) for p in pairs}
-                gone = common_blocks(rows, n, least)
-                if gone:
-                    ids.append(doc_id)
-                    places.append(gone)
-                    words.append(sum(n[k] for k in gone))
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "places": places, "words": np.array(words, np.int64)})
-
-    gone = grouped.mapInPandas(run, "doc_id long, places array<int>, words long")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"), F.sum("words").alias("words"))
+            places = []
+            for pairs in b["pairs"]:
+                rows, n = [], {}
+                for p in pairs:
+                    a, e, rare, words = int(p["place"]), int(p["early_place"]), bool(p["rare"]), p["words"]
+                    for i, w in enumerate(words):
+                        rows.append((a + i, e + i, rare))
+                        n[a + i] = int(w)
+                places.append(common_blocks(rows, n, least))
+            # an object column, so that lists are lists even where all are empty
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "places": pd.Series(places, b.index, object)})
+
+    gone = grouped.mapInPandas(tidy(run), "doc_id long, t long, places array<int>")
+    return gone.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")).filter(F.size("places") > 0)
 
 
 def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
@@ -172,28 +216,35 @@ def line_dedup(docs: DataFrame, least: int = 8) -> DataFrame:
     the text's lines, from 0, ascending) and removed_words.
 
     The earliest document keeps what it shares, and blocks of fewer than `least` words stay
-    everywhere. Blank lines cut no block, and go between two lines that go. A null or empty text stays; a row with a null doc_id stays as it is. Rows with the
-    same doc_id count as one document and don't lose lines to each other. Columns named like the
+    everywhere. Blank lines cut no block, and go between two lines that go. A null or empty text stays; a row
+    with a null doc_id stays as it is. Rows with the same doc_id don't lose lines to each other. Columns named like the
     new ones give way. An empty table gives no rows.
     """
     docs = docs.drop("removed", "removed_words")
-    doc, places, words = fresh(docs, "gone_id", "gone_places", "gone_words")
-    gone = cut(repeated(docs, least)).toDF(doc, places, words)
+    doc, places = fresh(docs, "gone_id", "gone_places")
+    gone = cut(repeated(docs, least)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "places"))).alias(places)).withColumnRenamed("doc_id", doc)
+    schema = StructType([*docs.schema.fields, StructField("removed", ArrayType(IntegerType())), StructField("removed_words", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, texts, removed = b.schema.get_field_index("text"), b.column("text").to_pylist(), b.column(places).to_pylist()
-            for i, gone in enumerate(removed):
-                if gone and texts[i] is not None:
-                    own = cut_lines(texts[i])
-                    removed[i] = with_blanks(own, gone)
-                    gone = set(removed[i])
-                    texts[i] = "".join(line for k, (line, _) in enumerate(own) if k not in gone)
-            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-            k = b.schema.get_field_index(places)
-            yield b.set_column(k, b.schema.field(k), pa.array(removed, b.schema.field(k).type))
+        for whole in batches:
+            for k in range(0, len(whole), ROWS):
+                b = whole.slice(k, ROWS)
+                at, texts = b.schema.get_field_index("text"), b.column("text").to_pylist()
+                removed, words = [], []
+                for i, gone in enumerate(b.column(places).to_pylist()):
+                    removed.append([])
+                    words.append(0)
+                    mine = dict(gone or ()).get(_text_key(texts[i]) if gone else None)
+                    if mine:
+                        own = cut_lines(texts[i])
+                        removed[-1] = with_blanks(own, mine)
+                        away = set(removed[-1])
+                        words[-1] = sum(own[j][1] for j in away)
+                        texts[i] = "".join(line for j, (line, _) in enumerate(own) if j not in away)
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n not in (doc, places)]
+                yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(removed, pa.list_(pa.int32())), pa.array(words, pa.int64())], [*[n for n, _ in kept], "removed", "removed_words"])
 
     rows = docs.join(gone, docs["doc_id"] == gone[doc], "left")
     # whole rows go through Python: a UDF column would keep them on disk meanwhile
-    rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(*docs.columns, F.coalesce(places, F.array().cast("array<int>")).alias("removed"), F.coalesce(words, F.lit(0)).alias("removed_words"))
+    return rows.mapInArrow(tidy(run), schema)

@@ -113,3 +113,51 @@ def test_blank_lines_cut_no_block(spark):
     assert got[1]["removed"] == [] and got[2]["removed"] == list(range(2, 21)) and got[2]["removed_words"] == 60
     assert got[2]["text"] == f"{mine[0]}\n\n\n{mine[1]}\n"
     assert got[3]["removed"] == [0, 1, 2, 3] and got[3]["text"] == mine[0]
+
+
+def probe(spark, *texts):
+    rows = ld.line_dedup(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")).collect()
+    return {d["doc_id"]: d["removed"] for d in rows}
+
+
+def test_block_whose_lines_have_other_first_holders(spark):
+    x, y, z = "one two three four five six.", "seven eight nine ten eleven twelve.", "a b c d e f."
+    assert probe(spark, x, f"{x} {y}", f"{x} {y}") == {1: [], 2: [], 3: [0, 1]}
+    assert probe(spark, f"{x} {y}", f"{y} {z}", f"{z} {x} {y} {z}") == {1: [], 2: [], 3: [1, 2, 3]}
+
+
+def test_short_shared_line_alone(spark):
+    assert probe(spark, "one two three four five six. other words stand here now.", "one two three four five six. more words of its own here.") == {1: [], 2: []}
+
+
+def test_rows_with_one_id_and_several_texts(spark):
+    r = random.Random(31)
+    a, b = sentences(r, 3), sentences(r, 3)
+    docs = [(1, " ".join(a), 0), (2, " ".join([*b, *a]), 1), (2, " ".join([*a, *b]), 2), (2, " ".join(b), 3)]
+    got = {d["row"]: d["removed"] for d in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string, row int")).collect()}
+    assert got == {0: [], 1: [3, 4, 5], 2: [0, 1, 2], 3: []}
+
+
+def test_against_brute_force(spark):
+    """Exactly the lines in runs of 8 words or more that an earlier document has in a row go, short lines included."""
+    r = random.Random(13)
+    pool = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 60)) for _ in range(r.randint(1, 7))) for _ in range(40)]
+    docs = []
+    for n in range(120):
+        own = []
+        while len(own) < 12:
+            k = r.randrange(len(pool) - 5)
+            own += pool[k : k + r.randint(1, 5)] if r.random() < 0.7 else [f"own {n} {len(own)}"]
+        docs.append((n, "\n".join(dict.fromkeys(own))))  # no line twice in a document
+    got = {d["doc_id"]: d for d in ld.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    runs, some = set(), 0
+    for n, text in docs:
+        own = [x for x, _ in ld.cut_lines(text)]
+        keys, words = [x.strip() for x in own], [len(x.split()) for x in own]
+        all_runs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(words[i:j]) >= 8]
+        gone = sorted({k for i, j in all_runs if tuple(keys[i:j]) in runs for k in range(i, j)})
+        assert got[n]["removed"] == gone, n
+        assert got[n]["removed_words"] == sum(words[k] for k in gone)
+        some += bool(gone)
+        runs |= {tuple(keys[i:j]) for i, j in all_runs}
+    assert some > 60
