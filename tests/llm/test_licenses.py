@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from quillspark.llm import licenses
@@ -43,3 +44,37 @@ def test_no_notice_is_lost_among_other_licence_words(spark):
     docs += [(n, "Licensed under CC BY-NC 4.0. Released under the MIT License.") for n in range(10, 60)]
     rows = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert (rows[1], rows[2], rows[3]) == ("cc-by,cc-by-nc,mit", "mit", "apache-2.0,cc-by,cc-by-nc,mit")
+
+
+def by_hand(text):
+    """Labels of the templates, one place after another."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), {label for label, p in licenses.BASE if re.search(rf"(?<![^ ]){p}(?![^ ])", " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)))}
+    for label, template, keys in licenses.TEMPLATES:
+        own = template.split()
+        held = {i for k in keys.split("; ") for i in range(template[: re.search(rf"(?<![^ ]){k}(?![^ ])", template).start()].count(" "), template[: re.search(rf"(?<![^ ]){k}(?![^ ])", template).end()].count(" ") + 1)}
+        told = [i for i, w in enumerate(own) if w not in licenses.FUNCTION_WORDS]
+        for at in range(-len(own), len(words)):
+            same = {i for i in told if 0 <= at + i < len(words) and words[at + i] == own[i]}
+            if len(same) >= 2 and len(same) >= 0.6 * len(told) and held <= same:
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_labels_against_brute_force(spark):
+    """Whole notices, some words changed, left out or added, several to a file and on their own."""
+    r = random.Random(5)
+    texts = [" ".join(t for _, t, _ in licenses.TEMPLATES), " x ".join(reversed([t.title() for _, t, _ in licenses.TEMPLATES]))]
+    for _ in range(250):
+        words = []
+        for _, t, _ in r.sample(licenses.TEMPLATES, r.randint(1, 3)):
+            own = t.split()
+            for _ in range(r.randint(0, len(own) // 2)):
+                k = r.randrange(len(own))
+                own[k] = r.choice([own[k], "other", own[k].upper(), f"{own[k]} more", ""])
+            words += [*own, *["plain"] * r.randint(0, 4)]
+        texts.append(" ".join(words))
+    rows = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {*rows[0].split(",")} == {x for x, *_ in licenses.TEMPLATES} == {*rows[1].split(",")}
+    for n, text in enumerate(texts):
+        assert rows[n] == by_hand(text), text
