@@ -22,6 +22,8 @@ WINDOW = 1 << 14
 BITS = 1 << 29
 #: Documents of one source and length that are ranked in one group at most, on average.
 SALT_ROWS = 4096
+#: Rows of a plan, one for each source and length, that are sent to all tasks, at most: about 60 MB.
+MOST_SENT = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -157,6 +159,18 @@ def _fit_source(rows: pd.DataFrame, most: float = 3.0) -> pd.DataFrame:
     return rows.assign(epochs=best, pick=pick)[["source", "size", "n", "epochs", "pick"]]
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame, count: int, most: int = MOST_SENT, salts: int = 32) -> DataFrame:
+    """`rows` (source, size, draw) with their length's row of `plan` (s, z). Up to `most` rows of the plan are sent
+    to all tasks; of a longer plan each row meets its documents in `salts` places, so that a length which a third
+    of all documents have isn't one key."""
+    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    if count <= most:
+        return rows.join(F.broadcast(plan), on).drop("s", "z")
+    plan = plan.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("i", F.pmod(F.shiftright("draw", 7), F.lit(salts)).cast("int"))
+    return rows.join(plan.hint("merge"), on & (F.col("i") == F.col("j"))).drop("s", "z", "i", "j")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target,
     taken (words the mix takes of it, repeats counted) and copies (taken / size).
@@ -176,8 +190,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     )
     whole = F.floor(F.col("pick") / F.col("n"))
     p = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", (F.col("epochs") + whole).alias("epochs"), (F.col("pick") - whole * F.col("n")).alias("pick"))
-    rows = sizes.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    rows = rows.withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
+    rows = _with_plan(sizes.withColumn("draw", F.xxhash64("doc_id", F.lit(seed))), p, plan.count())
     rows = rows.withColumn("salt", F.pmod("draw", 1 + F.floor(F.col("n") / SALT_ROWS)))
     # in a length with very many documents, each salt gets its share of the count
     big = rows.filter((F.col("n") >= SALT_ROWS) & (F.col("pick") > 0)).groupBy("source", "size", "salt").agg(F.count("*").alias("there"), F.first("pick").alias("of"))

@@ -122,3 +122,27 @@ def test_fit_of_many_long_documents(monkeypatch):
     # 60,000 and all short ones are too few, 51,000 + 49,000 and some of them are as wished for
     lengths, counts = np.array([7, 11, 490_000, 510_000, 600_000]), np.array([500, 500, 1, 1, 1])
     assert int((mixing.fit(lengths, counts, 1_004_000) * lengths).sum()) == 1_004_000
+
+
+def test_fit_of_long_documents():
+    """Few very long documents: the nearest sum, at lengths up to a million."""
+    r = np.random.default_rng(2)
+    assert int((mixing.fit(np.array([40000]), np.array([1]), 30000) * 40000).sum()) == 40000
+    assert int((mixing.fit(np.array([40000, 50000]), np.array([3, 2]), 100000) * np.array([40000, 50000])).sum()) == 100000
+    for top in (10_000, 100_000, 1_000_000):
+        for _ in range(6):
+            lengths = np.unique(r.integers(top // 10, top, 9))
+            counts = np.ones_like(lengths)
+            reach = {0}
+            for n in lengths.tolist():
+                reach |= {x + n for x in reach}
+            budget = int(lengths.sum() * r.uniform(0.2, 0.8))
+            near = min(abs(x - budget) for x in reach)
+            assert abs(int((mixing.fit(lengths, counts, budget) * lengths).sum()) - budget) <= near + 2 * len(lengths) * -(-top // 50_000)
+
+
+def test_a_long_plan_meets_its_rows_in_many_places(spark):
+    rows = spark.createDataFrame([(n % 3 and "s" or None, n % 5, n * 7919) for n in range(400)], "source string, size long, draw long")
+    plan = spark.createDataFrame([(s, z, f"{s}{z}") for s in ("s", None) for z in range(5)], "s string, z long, name string")
+    few, many = mixing._with_plan(rows, plan, 10), mixing._with_plan(rows, plan, 10, most=2)
+    assert few.count() == 400 and sorted(map(str, few.collect())) == sorted(map(str, many.select(few.columns).collect()))
