@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import cut, tidy
 
 #: Bytes of a piece; items of fewer than two pieces are too short to tell a leak and match nothing.
 PIECE = 8
@@ -237,30 +237,31 @@ class Finder:
         return [(d, n, edits) for (d, n), edits in best.items()]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block: int | None = None) -> DataFrame:
     """(doc_id, item_id, edits, item_size): each row of `docs` (doc_id, text) in which an item of
     `benchmark` (item_id, text) stands within `rate` of its size in edits, with the fewest edits.
 
     Case, punctuation and white space don't count. Edits are bytes of the plain texts. Items with a
     null id or fewer than 16 bytes match nothing; null and empty texts hold nothing. Equal items
     each match; repeated rows each match; an empty table gives no rows. Items are read in blocks of
-    a bounded size, and each block takes a pass over the documents, without a shuffle.
+    `block` bytes (BLOCK, if not given), and each block takes a pass over the documents, without a shuffle.
     """
-    items: list[list] = [[]]
-    held = 0
+    found, held, size = None, [], 0
+
+    def add(found: DataFrame | None, last: bool) -> DataFrame:
+        one = _block(docs, [i for i, _ in held], [t for _, t in held], rate)
+        # with several blocks, each is searched for at once, so that the driver holds one alone
+        one = one if last and found is None else cut(one)
+        return one if found is None else found.unionByName(one)
+
     for r in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         text = plain(r["text"])
         if len(text) >= 2 * PIECE:
-            if held + len(text) > BLOCK and items[-1]:
-                items.append([])
-                held = 0
-            held += len(text)
-            items[-1].append((r["item_id"], text))
-    found = None
-    for block in items:
-        one = _block(docs, [i for i, _ in block], [t for _, t in block], rate)
-        found = one if found is None else found.unionByName(one)
-    return found
+            if size + len(text) > (block or BLOCK) and held:
+                found, held, size = add(found, False), [], 0
+            size += len(text)
+            held.append((r["item_id"], text))
+    return add(found, True)
 
 
 def _block(docs: DataFrame, item_ids: list[int], items: list[bytes], rate: float) -> DataFrame:
@@ -278,7 +279,7 @@ def _block(docs: DataFrame, item_ids: list[int], items: list[bytes], rate: float
                 out += [(ids[first + d], item_ids[n], edits, len(items[n])) for d, n, edits in finder.find(held)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "item_size"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, edits int, item_size int")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, item_id long, edits int, item_size int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:

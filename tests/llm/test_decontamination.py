@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from quillspark.llm import decontamination as d
 
@@ -114,3 +115,34 @@ def test_recall_where_edits_are_packed():
             found = {(a, b): edits for a, b, edits in finder.find(texts)}
             assert sum((n, n) in found for n in range(60)) >= 59, (blank, where)
             assert all(edits == naive(items[b], texts[a]) for (a, b), edits in list(found.items())[:5])
+
+
+@pytest.mark.parametrize("size", [40, 200, 1000, 5000])
+def test_recall_by_size_and_place_of_edits(size):
+    """At each size, edits spread evenly, at the head, at the tail or in one burst lose less than a tenth of the items."""
+    r = random.Random(size)
+    count = 40 if size < 1000 else 10
+    items = [d.plain(words(r, size // 4))[:size].strip() for _ in range(count)]
+    finder = d.Finder(items, 0.1)
+    for kind in ("even", "head", "tail", "burst"):
+        texts = []
+        for item in items:
+            inside, edits = bytearray(item), d.allowed(len(item), 0.1)
+            middle = r.randrange(len(item) - 2 * edits)
+            where = {"even": range(len(item)), "head": range(2 * edits), "tail": range(len(item) - 2 * edits, len(item)), "burst": range(middle, middle + 2 * edits)}[kind]
+            for k in sorted(r.sample(where, edits), reverse=True):
+                if r.random() < 0.6:
+                    inside[k] = r.choice(b"uvwxyz")
+                elif len(inside) % 2:
+                    del inside[k]
+                else:
+                    inside.insert(k, r.choice(b"uvwxyz"))
+            texts.append(d.plain(words(r, 20)) + b" " + bytes(inside) + b" " + d.plain(words(r, 20)))
+        found = {(a, b) for a, b, _ in finder.find(texts)}
+        assert sum((n, n) in found for n in range(count)) >= 0.9 * count, kind
+
+
+def test_empty_benchmark(spark):
+    docs = spark.createDataFrame([(1, "a text of some words")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert d.leaks(docs, none).count() == 0 and d.decontaminate(docs, none).count() == 1
