@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's bytes are cut into overlapping chunks that cover it whole. Learned filters over successive
-byte embeddings slide over each chunk and keep their largest value in it; the largest and the mean
+A text's bytes are cut into overlapping chunks that cover it whole. A byte is a learned embedding and one
+lane that tells whether the bytes up to it stood shortly before as well. Learned filters over successive
+bytes slide over each chunk and keep their largest value in it; the largest and the mean
 of these over all chunks, and the number of bytes that the chunks have on average, go through a hidden layer into
 one probability.
 """
@@ -11,19 +12,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, tidy
 
 CHUNK, STEP = 512, 448
-#: Bytes under a filter, bytes between its places, dimensions of a byte, filters, hidden units.
-WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 2, 6, 32, 24
+#: Bytes under a filter, bytes between its places, learned dimensions of a byte, filters, hidden units.
+WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 2, 5, 32, 24
+#: Numbers for a byte: its embedding and whether it repeats; how long a repeat is, and how far back it is looked for.
+LANES, REPEAT, BACK = DIM + 1, 4, 24
 #: Chunks that go through the network at once.
 BATCH = 256
+#: Rows that are scored at once.
+ROWS = 512
 
 
 def chunks(text: str | None) -> np.ndarray:
@@ -35,6 +39,18 @@ def chunks(text: str | None) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(full, CHUNK)[::STEP]
 
 
+def repeats(x: np.ndarray) -> np.ndarray:
+    """For each byte of chunks, 1 if the REPEAT bytes up to it stand up to BACK bytes before as well; zeros are no bytes."""
+    out, live = np.zeros(x.shape, bool), x > 0
+    for d in range(2, BACK + 1):
+        same = (x[:, d:] == x[:, :-d]) & live[:, d:]
+        run = same[:, REPEAT - 1 :].copy()
+        for k in range(1, REPEAT):
+            run &= same[:, REPEAT - 1 - k : same.shape[1] - k]
+        out[:, d + REPEAT - 1 :] |= run
+    return out.astype(np.float32)
+
+
 class Network:
     """The parameters by name, and what they make of chunks."""
 
@@ -43,7 +59,7 @@ class Network:
         f32 = lambda x: x.astype(np.float32)
         self.p = {
             "embed": f32(r.normal(0, 0.5, (256, DIM))),
-            "conv": f32(r.normal(0, 1 / np.sqrt(WIDTH * DIM), (WIDTH * DIM, FILTERS))),
+            "conv": f32(r.normal(0, 1 / np.sqrt(WIDTH * LANES), (WIDTH * LANES, FILTERS))),
             "bias": np.zeros(FILTERS, np.float32),
             "hidden": f32(r.normal(0, 1 / np.sqrt(2 * FILTERS), (2 * FILTERS + 1, HIDDEN))),
             "hidden_bias": np.zeros(HIDDEN, np.float32),
@@ -52,16 +68,16 @@ class Network:
         }
 
     def _windows(self, x: np.ndarray) -> np.ndarray:
-        """(chunks, places, WIDTH * DIM): the embedded bytes under the filters."""
-        e = self.p["embed"][x].reshape(len(x), -1)
+        """(chunks, places, WIDTH * LANES): the embedded bytes under the filters."""
+        e = np.concatenate([self.p["embed"][x], repeats(x)[:, :, None]], 2).reshape(len(x), -1)
         places = (x.shape[1] - WIDTH) // STRIDE + 1
         s = e.strides
-        return np.lib.stride_tricks.as_strided(e, (len(x), places, WIDTH * DIM), (s[0], STRIDE * DIM * s[1], s[1]))
+        return np.lib.stride_tricks.as_strided(e, (len(x), places, WIDTH * LANES), (s[0], STRIDE * LANES * s[1], s[1]))
 
     def pooled(self, x: np.ndarray, where: bool = False):
         """Each filter's largest value in each chunk, and the place where it is. Zeros after a text's end never win over it."""
         w = np.ascontiguousarray(self._windows(x))
-        y = (w.reshape(-1, WIDTH * DIM) @ self.p["conv"]).reshape(len(x), -1, FILTERS)
+        y = (w.reshape(-1, WIDTH * LANES) @ self.p["conv"]).reshape(len(x), -1, FILTERS)
         if not where:
             return np.maximum(y.max(1) + self.p["bias"], 0)
         at = y.argmax(1)
@@ -104,7 +120,7 @@ class Network:
         z = self.head(np.hstack([top, total / np.maximum(count, 1), filled / np.maximum(count, 1)]))[0]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -500, 500)))
 
-    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 14, least: int = 1500, batch: int = 48, rate: float = 0.004, seed: int = 5) -> None:
+    def train(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, least: int = 700, batch: int = 48, rate: float = 0.004, seed: int = 5) -> None:
         """Adam on the log loss, for `epochs` or the `least` steps if these are more; each of `docs` is
         an array of chunks, each class weighs as much as it is common."""
         r, step = np.random.default_rng(seed), 0
@@ -143,13 +159,13 @@ class Network:
         de = down[:, :, None] * self.p["conv"].T[None]
         places = at[:, :, None] * STRIDE + np.arange(WIDTH)
         seen = np.take_along_axis(x, places.reshape(len(x), -1), 1).ravel()
-        g["embed"] = np.stack([np.bincount(seen, d, 256) for d in de.reshape(-1, DIM).T], 1).astype(np.float32)
+        g["embed"] = np.stack([np.bincount(seen, d, 256) for d in de.reshape(-1, LANES).T[:DIM]], 1).astype(np.float32)
         return g
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chunks and labels of `rows` labelled documents of each class at most, the first by the hash
-    of their ids; of a longer text, `most` chunks spread evenly over the whole of it."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """All chunks and the labels of `rows` labelled documents of each class at most, the first by the hash
+    of their ids."""
     own = labels.filter((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [own.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     ids = [(r["doc_id"], int(r["quality"])) for p in picked for r in p.collect()]
@@ -157,22 +173,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, most: int) -> t
         return [], np.zeros(0)
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, quality int")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [chunks(t) for t in b["text"]]
-            kept = [c[np.unique(np.linspace(0, len(c) - 1, most).round().astype(int))] for c in own]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "data": [c.tobytes() for c in kept]})
-
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").mapInPandas(run, "doc_id long, quality int, data binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["data"])))
-    return [np.frombuffer(r["data"], np.uint8).reshape(-1, CHUNK) for r in found], np.array([r["quality"] for r in found])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return [chunks(r["text"]) for r in found], np.array([r["quality"] for r in found])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, most: int = 6) -> Network:
-    """A network trained on a bounded sample of the labels that aren't held out. The output's bias
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> Network:
+    """A network trained on the whole texts of `rows` labelled documents of each class at most, none held out. The output's bias
     then goes back from the sample's share of label 1 to the labels' own."""
     net = Network()
-    x, y = training_rows(docs, labels, rows, most)
+    x, y = training_rows(docs, labels, rows)
     if len(set(y.tolist())) == 2:
         net.train(x, y)
         own = labels.filter((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
@@ -196,9 +206,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = net.scores(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
+            for k in range(0, len(b), ROWS):
+                some = b.slice(k, ROWS)
+                scores = net.scores(some.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores, pa.float64())], [*some.schema.names, "score"])
 
     # whole rows go through Python: a UDF column would keep them on disk meanwhile
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(tidy(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
