@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, tidy
 
 #: Lengths in bytes of the word starts that are features.
 STARTS = (4, 5, 6, 8)
@@ -118,7 +118,7 @@ def _documents(texts: list[str], only: Lexicon | None = None) -> tuple[np.ndarra
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def select(toxic: list[str], unlabelled: list[str], prior: float, least: float = 0.01, most: int = 2048, z: float = 4.0, share: float = 0.5) -> np.ndarray:
+def select(toxic: list[str], unlabelled: list[str], prior: float, least: float = 0.01, most: int = 2048, z: float = 3.0, share: float = 0.25) -> np.ndarray:
     """Hashes that a share of at least `least` of the toxic texts have (and four of them; copies of
     a text count once), that are more common in these by `z` standard
     errors and that by the class prior are toxic in `share` of their texts; the `most` clearest."""
@@ -141,7 +141,7 @@ def _dense(lexicon: Lexicon, texts: list[str]) -> np.ndarray:
     return x
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 60, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with sigmoid loss, by Adam.
 
     Where the corrected risk of clean text is negative, a step raises it instead of lowering the
@@ -163,7 +163,7 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 60, rate: f
 
 
 def fit(toxic: list[str], unlabelled: list[str], prior: float) -> tuple[Lexicon, np.ndarray, float]:
-    prior = min(max(prior, 1e-4), 0.5)
+    prior = min(max(prior, 1e-4), 0.99)
     lexicon = Lexicon(select(toxic, unlabelled, prior))
     if not toxic or not unlabelled:
         return lexicon, np.zeros(len(lexicon.known)), float(np.log(prior / (1 - prior)))
@@ -176,19 +176,13 @@ def scores(model: tuple[Lexicon, np.ndarray, float], texts: list[str | None]) ->
     return 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weights[place], len(texts)), -500, 500)))
 
 
-def sample(docs: DataFrame, rows: int, size: int, of: DataFrame | None = None) -> list[str]:
-    """Texts of the first `rows` rows of `docs` by the hash of their ids, up to `size` bytes in all; of
-    the ids in `of` alone, if there is one. Ids and sizes are picked first; only picked texts move."""
-    slim = docs.filter("text is not null").select("doc_id", F.octet_length("text").alias("n"))
+def sample(docs: DataFrame, rows: int, of: DataFrame | None = None) -> list[str]:
+    """Whole texts of the first `rows` rows of `docs` by the hash of their ids; of the ids in `of`
+    alone, if there is one. Ids are picked first; only picked texts move."""
+    slim = docs.filter("text is not null").select("doc_id")
     if of is not None:
         slim = slim.join(of, "doc_id", "left_semi")
-    slim = slim.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    ids, total = [], 0
-    for r in slim:
-        total += r["n"]
-        if total > size and ids:
-            break
-        ids.append(r["doc_id"])
+    ids = sorted({r["doc_id"] for r in slim.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()})
     if not ids:
         return []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
@@ -196,11 +190,11 @@ def sample(docs: DataFrame, rows: int, size: int, of: DataFrame | None = None) -
     return [r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6 << 20, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, threshold: float = 0.3) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Learns from `rows` toxic documents and three times as many documents of any kind at most (and `size` bytes of
-    text, or three times as many), none of them held out (crc32 of the id as text, mod 4, is 2); the
+    Learns from the whole texts of `rows` toxic documents and three times as many documents of any kind at
+    most, none of them held out (crc32 of the id as text, mod 4, is 2); the
     prior is the toxic share of the labels that aren't held out. A null or empty text has no
     features and scores the bias. Without labels all score the smallest prior. An id with two labels
     is toxic if one says so; a null id isn't held out. An empty table gives no rows.
@@ -209,13 +203,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 1500, size: int = 6
     prior = own.agg(F.avg("toxic")).first()[0] or 0.0
     free = docs.filter((fold(F.col("doc_id"), 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     marked = own.filter("toxic = 1").select("doc_id")
-    toxic = sample(free, rows, size, marked)
+    toxic = sample(free, rows, marked)
     # unlabelled text is drawn from all documents, so that the prior holds for it
-    model = fit(toxic, sample(free, 3 * rows, 3 * size), prior)
+    model = fit(toxic, sample(free, 3 * rows), prior)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores(model, b["text"].tolist())})
 
-    found = docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double")
+    found = docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out")).mapInPandas(tidy(run), "doc_id long, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
