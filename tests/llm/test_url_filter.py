@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime
+
 from datetime import date
 
 import duckdb
@@ -29,3 +31,17 @@ def test_entries_active_at_fetch_time(spark):
     assert got == {0: no, 1: (True, "bad.org", D(5)), 2: (True, "ads.bad.org", D(8)), 3: no, 4: (True, "ads.bad.org", D(8)), 5: (True, "bad.org", D(20)), 6: no, 7: no, 8: no, 9: no, 10: no, 11: no, 99: no}
     assert not any(r["blocked"] for r in url_filter.filter_urls(rows, entries.limit(0)).collect())
     assert url_filter.filter_urls(rows.limit(0), entries).count() == 0
+
+
+def test_odd_urls(spark):
+    """Nulls, addresses, repeated rows, very long URLs and columns named like the new ones."""
+    day = datetime.date(2024, 1, 2)
+    urls = [None, "", "no url", "http://[::1]:80/x", "http://10.0.0.1/x", "HTTPS://u:p@Www.Bad.example.:8080/a?b#c", "http://bad.example/" + "x" * 100_000, "http://bad.example/", "http://bad.example/"]
+    rows = spark.createDataFrame([(n, u, day if n != 7 else None, "kept") for n, u in enumerate(urls)], "n int, url string, fetched date, best_host string")
+    entries = spark.createDataFrame([("bad.EXAMPLE", day, True), ("0.0.1", day, True), ("[::1]", day, True), (None, day, True), ("x", None, True)], "domain string, day date, listed boolean")
+    found = url_filter.filter_urls(rows, entries)
+    got = {r["n"]: r for r in found.collect()}
+    assert found.columns == ["n", "url", "fetched", "best_host", "host", "blocked", "domain", "since"] and len(got) == len(urls)
+    assert [n for n in got if got[n]["blocked"]] and {n for n in got if got[n]["blocked"]} == {3, 5, 6, 8}
+    assert got[3]["host"] == "[::1]" and got[4]["host"] == "10.0.0.1" and got[5]["domain"] == "bad.example"
+    assert url_filter.filter_urls(rows.limit(0), entries).count() == 0 and url_filter.filter_urls(rows, entries.limit(0)).filter("blocked").count() == 0
