@@ -30,7 +30,7 @@ def _accents() -> tuple[str, str]:
 
 def fold(text: Column) -> Column:
     """Lower case without combining marks."""
-    return F.lower(F.translate(text, *_accents()))
+    return F.lower(F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, *_accents())).otherwise(text))
 
 
 def tokens(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quillspark.functions import kernels
 from quillspark.functions import text as t
 
 KEYS = ["note_path", "seq"]
@@ -14,13 +18,18 @@ TERMS = 65_536
 
 
 def index(chunks: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_stats) of chunks (note_path, seq, text); `stem` for Porter stems."""
-    own = chunks.select(*KEYS, t.tokens(F.col("text")).alias("terms"))
-    stats = own.select(*KEYS, F.size("terms").alias("dl"))
-    postings = own.select(*KEYS, F.explode("terms").alias("term")).groupBy("term", *KEYS).agg(F.count("*").cast("int").alias("tf"))
+    """(postings, doc_stats) of chunks (note_path, seq, text); `stem` for Porter stems. A posting has its
+    chunk's length dl as well, so that scoring joins nothing to it."""
+    own = chunks.select(*KEYS, t.tokens(F.col("text")).alias("terms")).select(*KEYS, F.size("terms").alias("dl"), "terms")
+    # a chunk is one row, so its terms are counted in it: sorted, each term is a run
+    runs = own.filter("dl > 0").select(*KEYS, "dl", F.array_sort("terms").alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = runs.withColumn("first", first)
+    counts = F.transform("first", lambda p, k: F.struct(F.get("s", p).alias("term"), (F.coalesce(F.get("first", k + 1), F.col("dl")) - p).alias("tf")))
+    postings = runs.select(*KEYS, "dl", F.inline(counts)).select("term", *KEYS, "dl", "tf")
     if stem:
-        postings = t.stemmed(postings).groupBy("term", *KEYS).agg(F.sum("tf").cast("int").alias("tf"))
-    return postings, stats
+        postings = t.stemmed(postings).groupBy("term", *KEYS, "dl").agg(F.sum("tf").cast("int").alias("tf"))
+    return postings, own.select(*KEYS, "dl")
 
 
 def query_words(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -46,6 +55,7 @@ def bm25(postings: DataFrame, stats: DataFrame, words: DataFrame, k1: float = 1.
     A word's weight is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive; a word
     that a query has twice counts twice. Only the queries' words leave the postings.
     """
+    postings = postings.select("term", *KEYS, "tf")
     total = stats.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     wanted = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = _few(wanted)
@@ -66,6 +76,34 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
 
 
+def best(postings: DataFrame, stats: DataFrame, words: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """`top` of `bm25`, from postings with dl, without a row for each query and chunk that share a word.
+
+    The queries' words, a stated set, come in blocks of about TERMS; a block's weights go to all tasks. Its terms'
+    postings are shuffled once, by chunk, and each task scores its chunks for all queries of the block and keeps
+    `limit` of them a query.
+    """
+    total, avgdl = stats.agg(F.count("*"), F.avg("dl")).first()
+    wanted = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    parts = max(1, -(-wanted.count() // TERMS))
+    schema, found = StructType([words.schema["query_id"], *[postings.schema[c] for c in KEYS], StructField("score", DoubleType())]), None
+    for part in range(parts):
+        some = wanted.filter(F.pmod(F.xxhash64("query_id"), parts) == part) if parts > 1 else wanted
+        n = of_terms(postings, some).groupBy("term").agg(F.count("*").alias("n"))
+        rows = some.join(n, "term").select("query_id", "term", "times", "n").toArrow().combine_chunks()
+        ids, terms = pc.unique(rows["query_id"]), pc.unique(rows["term"])
+        holders = rows["n"].to_numpy()
+        odds = (total - holders + 0.5) / (holders + 0.5)
+        weight = rows["times"].to_numpy() * np.where(odds > 1, np.log(odds), 1e-6)
+        kernel = kernels.weighed(ids, pc.index_in(rows["query_id"], ids).to_numpy(), pc.index_in(rows["term"], terms).to_numpy(), weight, limit)
+        known = postings.sparkSession.createDataFrame(list(zip(terms.to_pylist(), range(len(terms)), strict=True)), "term string, tid int")
+        length = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
+        own = postings.join(F.broadcast(known), "term").select(*KEYS, "tid", (F.col("tf") * (k1 + 1) / length).alias("part"))
+        kept = own.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(kernel, schema)
+        found = kept if found is None else found.unionByName(kept)
+    return top(found, limit)
+
+
 def evidence(postings: DataFrame, stats: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, pos, term, df, idf, coverage, chunk_total): each distinct word of a query, at its
     first place, with the chunks that have it and its weight ln((N + 1) / (df + 1)). coverage is the

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quillspark.functions import kernels
 from quillspark.functions import text as t
 from quillspark.functions.vectors import cosine, squared_l2
 from quillspark.operators import lexical
@@ -42,16 +45,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, note_path, seq, d2, rank from 0): the k exact nearest of vectors (note_path, seq,
     vector) to each query (query_id, query_vector); ties by path and place.
 
-    The queries are a stated set: up to QUERY_ROWS of them are broadcast, more go in blocks, each
-    against all vectors, and every task keeps k rows a query before the shuffle.
+    The queries are a stated set: blocks of about QUERY_ROWS go to all tasks, each against all vectors as a
+    matrix product, and every task keeps k rows a query before the shuffle. Null vectors are near nothing.
     """
     order = W.partitionBy("query_id").orderBy("d2", *KEYS)
-    out = None
-    for own in blocks(queries, "query_id"):
-        pairs = vectors.crossJoin(F.broadcast(own)).select("query_id", *KEYS, squared_l2(F.col("vector"), F.col("query_vector")).alias("d2"))
-        best = pairs.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    rows = vectors.filter("vector is not null").select(*KEYS, "vector").sortWithinPartitions(*KEYS)
+    out, schema = None, StructType([queries.schema["query_id"], *[vectors.schema[c] for c in KEYS], StructField("near", DoubleType())])
+    for block in blocks(queries, "query_id"):
+        asked = block.filter("query_vector is not null").select("query_id", "query_vector").toArrow().combine_chunks()
+        kernel = kernels.nearby(pa.array(asked["query_id"]), kernels.matrix(pa.array(asked["query_vector"])), k)
+        own = rows.mapInArrow(kernel, schema)
+        out = own if out is None else out.unionByName(own)
+    best = out.select("query_id", *KEYS, (0.0 - F.col("near")).alias("d2")).withColumn("rank", F.row_number().over(order) - 1)
+    return best.filter(F.col("rank") < k)
 
 
 def nearest_to(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -86,7 +92,7 @@ def hybrid(postings: DataFrame, stats: DataFrame, vectors: DataFrame | None, que
     Without vectors, by words alone, and cos and best_cos are null.
     """
     words = lexical.query_words(queries, stem)
-    lists = {"bm25": lexical.top(lexical.bm25(postings, stats, words), width)}
+    lists = {"bm25": lexical.best(postings, stats, words, width)}
     if vectors is not None:
         near = nearest(vectors, queries.select("query_id", "query_vector"), width)
         lists["vector"] = near

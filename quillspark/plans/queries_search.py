@@ -36,10 +36,25 @@ means AS (SELECT note_path, list(m ORDER BY d) AS c FROM cells GROUP BY note_pat
 middle AS (SELECT note_path, list_transform(c, lambda v: v / sqrt(list_sum(list_transform(c, lambda w: w * w)))) AS centroid FROM means)"""
 
 
-def _index(spark, sf_dir):
-    """The index is a table before it is asked, as in a vault."""
-    postings, stats = lexical.index(x.chunks(spark, sf_dir))
-    return stored(postings), stored(stats)
+_indexes: dict[tuple[str, str, bool], tuple] = {}
+
+
+def _index(spark, sf_dir, stem=False):
+    """The index is a table before it is asked, as in a vault: one for each folder of data and session."""
+    key = (spark.sparkContext.applicationId, sf_dir, stem)
+    if key not in _indexes:
+        postings, stats = lexical.index(x.chunks(spark, sf_dir), stem)
+        _indexes[key] = stored(postings.repartition("term").sortWithinPartitions("term")), stored(stats)
+    return _indexes[key]
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built anew: how often each term occurs, and in how many chunks."""
+    postings, _ = (stored(df) for df in lexical.index(x.chunks(spark, sf_dir)))
+    return postings.groupBy("term").agg(F.sum("tf").cast("long").alias("times"), F.count("*").alias("df"), F.sum("dl").cast("long").alias("lengths"))
+
+
+lexical_index_sql = x.sql(*_BASE, x.POSTINGS, select="SELECT term, CAST(sum(tf) AS BIGINT) AS times, count(*) AS df, CAST(sum(dl) AS BIGINT) AS lengths FROM postings JOIN stats USING (note_path, seq) GROUP BY term")
 
 
 def _hybrid(spark, sf_dir, limit=10):
@@ -76,7 +91,7 @@ vector_only_search_sql = x.sql(*_BASE, _DENSE, select="SELECT query_id, note_pat
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, stats = _index(spark, sf_dir)
-    found = lexical.top(lexical.bm25(postings, stats, lexical.query_words(x.queries(spark, sf_dir))), 10)
+    found = lexical.best(postings, stats, lexical.query_words(x.queries(spark, sf_dir)), 10)
     return found.select("query_id", "note_path", "seq", R("score", 7), "rank")
 
 
@@ -130,11 +145,11 @@ search_notes_sql = x.sql(*_ALL, _HYBRID, select="SELECT query_id, note_path AS p
 
 def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, stats = _index(spark, sf_dir)
-    hits = search.hybrid(postings, stats, x.vectors(spark, sf_dir), x.queries(spark, sf_dir), search.note_pool(10))
+    hits = search.hybrid(postings, stats, x.vectors(spark, sf_dir), x.queries(spark, sf_dir), search.passage_pool(10))
     return search.passage_view(hits, x.chunks(spark, sf_dir), 10).select("query_id", "path", R("score", 12), F.sha2("text", 256).alias("text_hash"), "rank")
 
 
-search_passages_sql = x.sql(*_ALL, _HYBRID, select="SELECT query_id, f.note_path AS path, round(score, 12) AS score, c.text_hash, rank FROM fused f JOIN chunks c ON c.note_path = f.note_path AND c.seq = f.seq WHERE rank < 10")
+search_passages_sql = x.sql(*_ALL, _HYBRID.replace("< 150", "< 60"), select="SELECT query_id, f.note_path AS path, round(score, 12) AS score, c.text_hash, rank FROM fused f JOIN chunks c ON c.note_path = f.note_path AND c.seq = f.seq WHERE rank < 10")
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
