@@ -1,6 +1,7 @@
-"""Token ids in wavelet matrices: one compressed file per shard, searched without unpacking ids.
+"""Token ids in wavelet matrices, one for each shard, in compressed files, searched without unpacking ids.
 
-Documents are encoded in ascending doc_id order and cut into shards. A shard's ids are stored as
+Documents are encoded in ascending doc_id order and cut into shards; a task writes its shards as the rows of
+one file. A shard's ids are stored as
 bit planes, the highest bit first; after each plane the ids are reordered, those with a 0 before
 those with a 1, so that rank on the planes gives access, counts and the places of any id.
 """
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import by_ranges, shared_dir
+from quillspark.llm.common import by_ranges, shared_dir, tidy
 
 #: Ids after which a shard is closed; a shard holds whole documents.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 21
 BLOCK = 512
 _SHARD = "part int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -144,9 +145,9 @@ class Encoder:
     unless `plain` makes special tokens' strings ordinary text. The table stops growing at `kept` words.
     """
 
-    LONGEST, STEP = 40, 2048
+    LONGEST, STEP = 40, 1024
 
-    def __init__(self, path: str, end: int = 0, kept: int = 800_000, plain: bool = False):
+    def __init__(self, path: str, end: int = 0, kept: int = 250_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -246,9 +247,9 @@ def _encoder(path: str, end: int, plain: bool = True) -> Encoder:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, shard_ids: int = SHARD_IDS) -> None:
-    """Writes the ids of `docs` (doc_id, text) to `folder`, one file per shard.
+    """Writes the ids of `docs` (doc_id, text) to `folder`.
 
-    Ids are cut into ranges, a range into shards of about `shard_ids`; within a range documents are
+    Ids are cut into ranges, a range into shards of about `shard_ids`, each a row of its task's file; within a range documents are
     in ascending doc_id order (null first; equal ids by the hash of their texts). A null text is
     empty, and an empty text is the end id alone. An added token's string in a text is that token, as
     the library's defaults have it.
@@ -284,8 +285,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, sha
 
     rows = by_ranges(docs.select("doc_id", "text"), "doc_id")
     rows = rows.repartition("part").sortWithinPartitions("part", "key", F.xxhash64("text")).select("part", "doc_id", "text")
-    shards = rows.mapInArrow(run, _SHARD)
-    shards.withColumn("shard", F.concat_ws("-", "part", "seq")).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(tidy(run), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,7 +306,7 @@ def decoded(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(len(batch)) for r in batch.slice(k, 1).to_pylist()):
                 ids = WaveletMatrix.stored(row).ids().astype("<u4")
                 ends = np.cumsum(row["doc_lengths"])
                 starts = ends - np.array(row["doc_lengths"], np.int64)
@@ -317,7 +317,7 @@ def decoded(shards: DataFrame) -> DataFrame:
                         ["part", "seq", "doc_id", "at", "n_tokens", "ids"],
                     )
 
-    return shards.mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
+    return shards.mapInArrow(tidy(run), "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None) -> DataFrame:
