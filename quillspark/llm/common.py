@@ -25,11 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: What a Python worker holds for the next tasks of one operator, each with a clear().
+HELD: list[dict] = []
+
+
+def drop_held() -> None:
+    for held in HELD:
+        held.clear()
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
     """`run`, a function for mapInPandas or mapInArrow, that gives what it freed back to the system when
-    its task ends: Python workers serve one stage after another and would keep it."""
+    its task ends: Python workers serve one stage after another and would keep it. Unless told to `keep`
+    it, what a worker holds for another operator's tasks goes first."""
 
     def whole(batches: Iterator) -> Iterator:
+        if not keep:
+            drop_held()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

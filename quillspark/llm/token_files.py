@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import by_ranges, shared_dir, tidy
+from quillspark.llm.common import HELD, by_ranges, shared_dir, tidy
 
 #: Ids after which a shard is closed; a shard holds whole documents.
 SHARD_IDS = 1 << 21
@@ -145,9 +145,9 @@ class Encoder:
     unless `plain` makes special tokens' strings ordinary text. The table stops growing at `kept` words.
     """
 
-    LONGEST, STEP = 40, 1024
+    LONGEST, STEP = 40, 2048
 
-    def __init__(self, path: str, end: int = 0, kept: int = 250_000, plain: bool = False):
+    def __init__(self, path: str, end: int = 0, kept: int = 450_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -236,6 +236,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
+HELD.append(_encoders)
 
 
 def _encoder(path: str, end: int, plain: bool = True) -> Encoder:
@@ -285,7 +286,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, sha
 
     rows = by_ranges(docs.select("doc_id", "text"), "doc_id")
     rows = rows.repartition("part").sortWithinPartitions("part", "key", F.xxhash64("text")).select("part", "doc_id", "text")
-    rows.mapInArrow(tidy(run), _SHARD).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(tidy(run, keep=True), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,7 +318,7 @@ def decoded(shards: DataFrame) -> DataFrame:
                         ["part", "seq", "doc_id", "at", "n_tokens", "ids"],
                     )
 
-    return shards.mapInArrow(tidy(run), "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
+    return shards.mapInArrow(tidy(run, keep=True), "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None) -> DataFrame:
