@@ -46,6 +46,11 @@ def under(path: Column, folder: str) -> Column:
     return path.startswith(folder.rstrip("/") + "/")
 
 
+def inside(path: str, folder: str) -> bool:
+    """Whether a path is a folder or lies under it."""
+    return f"{path}/".startswith(f"{folder.rstrip('/')}/")
+
+
 def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

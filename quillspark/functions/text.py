@@ -164,3 +164,9 @@ def citations(answer: Column, passages: Column) -> Column:
     """The distinct markers [n] of an answer from 1 to `passages`, ascending."""
     found = F.transform(F.regexp_extract_all(answer, F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda m: m.try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(found, lambda n: (n >= 1) & (n <= passages))))
+
+
+def trigger(before: Column) -> Column:
+    """What is typed in an open [[ at the end of the line before the caret; null without one, after it is
+    closed, and after a |."""
+    return F.when(before.rlike("(?s)\\[\\[[^\\[\\]|]*$"), F.regexp_extract(before, "(?s)\\[\\[([^\\[\\]|]*)$", 1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import paths as p
 from quillspark.functions.text import title
+from quillspark.sources.store import stored
 
 # A wiki link, or a Markdown link whose target isn't blank; either with a leading ! as an embed.
 _LINK = "!?\\[\\[(?:(?!\\]\\]).)*\\]\\]|!?\\[(?!\\[)[^\\]\\n]*\\]\\((?=[^)\\n]*[^)\\s])[^)\\n]*\\)"
@@ -103,13 +104,14 @@ def file_links(edges_: DataFrame, resources: DataFrame) -> DataFrame:
 
 def reachable(edges_: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
     """(anchor, path, hop): notes within so many edges, either way, of each of `anchors` (anchor),
-    itself at 0. Only notes lead on. One join a hop; each frontier leaves out what was seen."""
+    itself at 0. Only notes lead on. One join a hop; each frontier leaves out what was seen, and is
+    written as a table, so that no hop's plan holds those of all before it."""
     links = edges_.filter("dst_path is not null").select("src_path", "dst_path")
     both = links.union(links.select("dst_path", "src_path")).toDF("path", "to").distinct()
     seen = anchors.select("anchor", F.col("anchor").alias("path"), F.lit(0).alias("hop")).distinct()
     front = seen
     for hop in range(1, hops + 1):
-        front = front.join(both, "path").select("anchor", F.col("to").alias("path")).distinct().join(seen, ["anchor", "path"], "left_anti").withColumn("hop", F.lit(hop))
+        front = stored(front.join(both, "path").select("anchor", F.col("to").alias("path")).distinct().join(seen, ["anchor", "path"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.union(front.select("anchor", "path", "hop"))
     return seen
 
@@ -128,3 +130,21 @@ def scene(edges_: DataFrame, anchors: DataFrame, near: DataFrame, ghosts: int =
     tied = both.groupBy("anchor", "path").agg(F.count("*").alias("edges")).select("anchor", "path", F.lit("linked").alias("category"), "edges")
     ghost = near.join(anchors, "anchor", "left_semi").filter(F.col("rank") < ghosts).select("anchor", "path", F.lit("ghost").alias("category"), F.lit(0).cast("long").alias("edges"))
     return own.unionByName(tied).unionByName(ghost)
+
+
+def tree(paths: DataFrame) -> DataFrame:
+    """(path, folder, parent, rank) of files (path) and the folders they are in: folders before files, each by name."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = paths.filter(F.size(parts) > 1).select(F.explode(ups).alias("path")).distinct()
+    rows = folders.withColumn("folder", F.lit(True)).union(paths.select("path").withColumn("folder", F.lit(False)))
+    rows = rows.withColumn("parent", F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1))
+    order = W.partitionBy("parent").orderBy(F.desc("folder"), F.lower("path"), "path")
+    return rows.withColumn("rank", F.row_number().over(order) - 1)
+
+
+def completions(titled: DataFrame, typed: str, most: int = 50) -> DataFrame:
+    """(path, label, tier): notes (path, label) for what was typed: the label begins with it, has it, or the path has it."""
+    typed = typed.lower()
+    tier = F.when(F.lower("label").startswith(typed), 0).when(F.lower("label").contains(typed), 1).when(F.lower("path").contains(typed), 2)
+    return titled.select("path", "label", tier.alias("tier")).filter("tier is not null").orderBy("tier", F.lower("label"), "path").limit(most)

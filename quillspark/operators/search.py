@@ -131,3 +131,12 @@ def passage_view(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
 def within(vectors: DataFrame, reach: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of notes that `reach` (path) holds; ranks are among these."""
     return nearest(vectors.join(reach.select(F.col("path").alias("note_path")).distinct(), "note_path", "left_semi"), queries, k)
+
+
+def vector_view(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, path, title, score, rank): the first `limit` notes by their nearest chunk, among the 3 * limit
+    nearest chunks; the score is the distance, negative."""
+    near = nearest(vectors, queries, 3 * limit)
+    best = near.groupBy("query_id", F.col("note_path").alias("path")).agg(F.min_by("d2", "rank").alias("d2"), F.min("rank").alias("at"))
+    rows = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("at")) - 1).filter(F.col("rank") < limit)
+    return rows.select("query_id", "path", t.title(F.col("path")).alias("title"), (-F.sqrt("d2")).alias("score"), "rank")

@@ -43,9 +43,10 @@ def prompts(asked: DataFrame, passages: DataFrame) -> DataFrame:
     return asked.join(own, "query_id", "left").select("query_id", "question", F.concat(head, F.coalesce(F.array_join(F.transform("p", lambda x: x["shown"]), "\n\n"), F.lit(""))).alias("prompt"), F.coalesce(F.transform("p", lambda x: F.struct(x["path"].alias("path"), x["excerpt"].alias("excerpt"))), F.array()).alias("passages"))
 
 
-def answers(prompted: DataFrame, model: Callable[[str, str], Iterator[str]]) -> DataFrame:
+def answers(prompted: DataFrame, model: Callable[[str, str], Iterator[str]], stop: Callable[[], bool] | None = None) -> DataFrame:
     """(query_id, answer, cancelled, citations): `model` yields the tokens of an answer to (prompt,
-    question); one that breaks off leaves what there was. Markers beyond the passages stay in the text."""
+    question); one that breaks off leaves what there was, and so does one after which `stop`, asked
+    before every token, says so. Markers beyond the passages stay in the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -54,8 +55,11 @@ def answers(prompted: DataFrame, model: Callable[[str, str], Iterator[str]]) ->
                 tokens, whole = [], False
                 try:
                     for token in model(prompt, question):
+                        if stop is not None and stop():
+                            break
                         tokens.append(token)
-                    whole = True
+                    else:
+                        whole = True
                 except (ConnectionError, TimeoutError):
                     pass
                 said.append("".join(tokens))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import chunking, embedders
+from quillspark import schemas
+from quillspark.functions import chunking, embedders, frontmatter
+from quillspark.functions import text as t
+from quillspark.functions.vectors import cosine
 from quillspark.operators import discover, graph, lexical, search
-from quillspark.plans import ingest
+from quillspark.plans import chat, ingest, mutate
+from quillspark.sources import edits, vault
 from quillspark.sources.catalog import Catalog
 
 
@@ -25,6 +31,8 @@ class Vault:
 
     #: Bars of evidence by model: words' coverage and cosine. A model without one gives no verdict.
     BARS = {"bge-base-en-v1.5": (0.20, 0.54)}
+    # The models that may be chosen, and the length of their vectors.
+    MODELS = {"BAAI/bge-base-en-v1.5": 768, "BAAI/bge-small-en-v1.5": 384}
 
     def __init__(self, spark: SparkSession, root: str, index: str, embedder: embedders.Embedder | None = None, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True):
         self.spark, self.root, self.catalog = spark, root, Catalog(spark, index)
@@ -99,6 +107,34 @@ class Vault:
         words = lexical.query_words(self._asked(queries, False), self.catalog.manifest()["stem"])
         return lexical.evidence(self.catalog.table("postings"), self.catalog.table("doc_stats"), words)
 
+    def search_evidence(self, queries: list[str], limit: int = 10) -> tuple[DataFrame, DataFrame]:
+        """The rows of `search`, and (query_id, vouched, coverage, best_cos, chunk_total, terms) for every query.
+        vouched is null without a bar for the model of the vectors; without vectors words alone decide."""
+        results = self.search(queries, limit)
+        if self.catalog.table("postings") is None:
+            return results, self.spark.createDataFrame([], "query_id long, vouched boolean, coverage double, best_cos double, chunk_total long, terms array<struct<term: string, df: long, idf: double>>")
+        m, vectors = self.catalog.manifest(), self._vectors() if self.embedder else None
+        asked = self._asked(queries, vectors is not None)
+        terms = F.transform(F.array_sort(F.collect_list(F.struct("pos", "term", "df", "idf"))), lambda x: F.struct(x["term"].alias("term"), x["df"].alias("df"), x["idf"].alias("idf")))
+        words = self.evidence(queries).groupBy("query_id").agg(F.first("coverage").alias("coverage"), terms.alias("terms"))
+        total = self.catalog.table("doc_stats").count()
+        rows = asked.select("query_id").join(words, "query_id", "left")
+        if vectors is None:
+            rows = rows.withColumn("best_cos", F.lit(None).cast("double"))
+        else:
+            near = search.nearest(vectors, asked.select("query_id", "query_vector"), 1)
+            rows = rows.join(near.select("query_id", cosine(F.col("d2")).alias("best_cos")), "query_id", "left")
+        bar = self.BARS.get(str(m.get("model", "")).rpartition("/")[2])
+        vouched = lexical.vouched(F.col("coverage"), F.col("best_cos"), *bar) if bar else F.lit(None).cast("boolean")
+        return results, rows.select("query_id", vouched.alias("vouched"), "coverage", "best_cos", F.lit(total).cast("long").alias("chunk_total"), F.coalesce("terms", F.array()).alias("terms"))
+
+    def search_vectors(self, queries: list[str], limit: int = 10) -> DataFrame:
+        """(query_id, path, title, score, rank): notes by meaning alone; empty without vectors."""
+        vectors = self._vectors() if self.embedder else None
+        if vectors is None or limit <= 0 or not queries:
+            return self.spark.createDataFrame([], "query_id long, path string, title string, score double, rank int")
+        return search.vector_view(vectors, self._asked(queries, True), limit)
+
     def similar(self, refs: list[str], limit: int = 10) -> DataFrame:
         """Near notes that aren't linked; the model that made the space decides whether they are graded."""
         anchors = self.spark.createDataFrame([(self.resolve(r),) for r in refs], "anchor string")
@@ -123,3 +159,154 @@ class Vault:
         if vectors is None:
             return self.spark.createDataFrame([], "query_id long, note_path string, seq int, d2 double, rank int")
         return search.within(vectors, graph.reachable(self._edges(), anchor, hops), self._asked([query], True), limit)
+
+    # reads for display
+
+    def list_notes(self) -> DataFrame:
+        return self._notes().select("path", F.coalesce("title", t.title(F.col("path"))).alias("title")).orderBy("path")
+
+    def list_resources(self) -> DataFrame:
+        return self._table("resources", schemas.RESOURCES).select("path", "class", "size", "mtime").orderBy("path")
+
+    def list_folders(self) -> list[str]:
+        return edits.folders(self.spark, self.root)
+
+    def read(self, ref: str) -> dict:
+        """One note as its file has it now: path, the fields of its row, body and frontmatter verbatim, and
+        revision, which `write_body` and `write_frontmatter` take."""
+        path = self.resolve(ref)
+        content = edits.read(self.spark, self.root, path)
+        if content is None:
+            raise NotFound(path)
+        file = self.spark.createDataFrame([(path, content, 0)], "path string, content binary, mtime long")
+        row = frontmatter.notes(file, self.options["relations_key"]).join(file.select("path", mutate.revision(F.col("content")).alias("revision"), F.nullif(frontmatter.span(F.col("content").cast("string")), F.lit("")).alias("frontmatter")), "path").drop("mtime", "relations").first()
+        if row["reason"] is not None:
+            raise NotFound(f"{path} {row['reason']}")
+        return {k: v for k, v in row.asDict().items() if k != "reason"}
+
+    def explain(self, ref: str) -> dict[str, DataFrame]:
+        """What a note is tied to: connections, resources and unresolved, a frame each."""
+        path = self.resolve(ref)
+        anchor = self.spark.createDataFrame([(path,)], "anchor string")
+        own = self._edges().filter(F.col("src_path") == path)
+        return {"connections": graph.neighbors(self._edges(), self._notes(), anchor), "resources": graph.file_links(own, self._table("resources", schemas.RESOURCES)), "unresolved": graph.dangling(own)}
+
+    def explain_resource(self, path: str) -> tuple[dict, DataFrame]:
+        """(path, class, size, mtime and content_hash of a resource, the notes that link it)."""
+        row = self._table("resources", schemas.RESOURCES).filter(F.col("path") == path).first()
+        if row is None:
+            raise NotFound(path)
+        return row.asDict(), graph.backlinks(self._edges().filter(F.col("dst_resource_path") == path), self._notes())
+
+    def plan_reindex(self, force: bool = False) -> DataFrame:
+        """(would_index, would_embed) of a run over the files as they are now."""
+        parsed = frontmatter.notes(vault.note_files(vault.files(self.spark, self.root)), self.options["relations_key"])
+        chunks, vectors = self.catalog.table("chunks"), self.catalog.table("embeddings")
+        whole = None if chunks is None or vectors is None else ingest.fully_embedded(chunks, vectors)
+        return ingest.plan(parsed.filter("reason is null"), self.catalog.table("notes"), whole, force)
+
+    def ask(self, question: str, model: Callable[[str, str], Iterator[str]], history: list[tuple[str, str]] = (), rewrite: Callable | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
+        """(query_id, answer, cancelled, citations) of a question after `history` (role, text): condensed by
+        `rewrite`, grounded in the ten best passages, answered by `model`; `stop` is asked between tokens."""
+        turns = [(0, n, role, text) for n, (role, text) in enumerate([*history, ("user", question)])]
+        asked = chat.questions(self.spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), rewrite)
+        query = asked.first()["query"]
+        return chat.answers(chat.prompts(asked, self.passages([query], chat.PASSAGES)), model, stop)
+
+    # changes: the folder first, then the index
+
+    def _files(self, paths: list[str]) -> DataFrame:
+        rows = [(p, c) for p, c in ((p, edits.read(self.spark, self.root, p)) for p in paths) if c is not None]
+        return self.spark.createDataFrame(rows, "path string, content binary")
+
+    def _put(self, path: str, before: DataFrame, after: DataFrame) -> str:
+        """Writes the one note that changed, projects it alone, and returns its revision."""
+        row = after.filter(F.col("path") == path).select("path", "content", mutate.revision(F.col("content")).alias("revision")).first()
+        new = before.isEmpty()
+        edits.apply(self.spark, self.root, self.spark.createDataFrame([row[:2]], "path string, content binary"))
+        if new or not path.lower().endswith(".md"):
+            self.project()
+        else:
+            self.project_note(path)
+        return row["revision"]
+
+    def project_note(self, ref: str, embed: bool = False) -> dict:
+        """Projects one known note anew and leaves the rows of all others; with `embed`, its vectors too."""
+        path = self.resolve(ref)
+        content = edits.read(self.spark, self.root, path)
+        if content is None:
+            raise NotFound(path)
+        ingest.project_note(self.spark, self.catalog, path, content, **self.options)
+        return {"indexed": 1} | ({"embedded": self.embed()} if embed else {})
+
+    def add(self, path: str, text: str | bytes) -> dict:
+        """A new note or resource, by its text or imported bytes."""
+        before = self._files([path])
+        after = mutate.add(before, path, text)
+        return {"path": path, "revision": self._put(path, before, after)}
+
+    def create_note(self, path: str, today: str, kind: str | None = None) -> dict:
+        name = path.rpartition("/")[2].removesuffix(".md")
+        return self.add(path if path.endswith(".md") else f"{path}.md", mutate.template(name, today, kind))
+
+    def create_folder(self, path: str) -> None:
+        if not edits.make_folder(self.spark, self.root, mutate.checked(path)):
+            raise mutate.Refused(f"there already: {path}")
+
+    def write_body(self, ref: str, body: str, expected: str | None = None) -> dict:
+        path = self.resolve(ref)
+        before = self._files([path])
+        return {"path": path, "revision": self._put(path, before, mutate.write_body(before, path, body, expected))}
+
+    def write_frontmatter(self, ref: str, block: str, expected: str | None = None) -> dict:
+        path = self.resolve(ref)
+        before = self._files([path])
+        return {"path": path, "revision": self._put(path, before, mutate.write_frontmatter(before, path, block, expected))}
+
+    def link(self, src: str, verb: str, dst: str, explanation: str | None = None) -> dict:
+        """Relates two notes in the first one's frontmatter; `created` is False where it was so already."""
+        a, b = self.resolve(src), self.resolve(dst)
+        before = self._files([a])
+        after = mutate.relate(before, a, verb, b, explanation, self.options["relations_key"])
+        created = before.first()["content"] != after.first()["content"]
+        if created:
+            self._put(a, before, after)
+        return {"src_path": a, "dst_path": b, "relation": verb, "created": created}
+
+    def move(self, old: str, new: str, folder: bool = False) -> dict:
+        """A note, a resource or a whole folder to another place, links to it with it. The report has the
+        notes that were rewritten, by the places they have now, and how many links that took."""
+        mutate.checked(old), mutate.checked(new)
+        hit = (lambda c: c.startswith(f"{old}/")) if folder else (lambda c: c == old)
+        dst = F.coalesce("dst_path", "dst_resource_path")
+        own = self._edges().filter(dst.isNotNull() & (hit(dst) | hit(F.col("src_path"))))
+        sources = [r["src_path"] for r in own.select("src_path").distinct().collect()]
+        before = vault.files(self.spark, self.root, sources).select("path", "content")
+        if not edits.exists(self.spark, self.root, old):
+            raise mutate.Refused(f"not there: {old}")
+        if edits.exists(self.spark, self.root, new) and old.lower() != new.lower():
+            raise mutate.Refused(f"there already: {new}")
+        if folder:
+            # only names count of the files that just move along
+            inside = vault.listing(self.spark, self.root).filter(hit(F.col("path"))).count()
+            after, _ = mutate.move_folder(before, own, old, new)
+        else:
+            before = before.unionByName(self._files([old] if old not in sources else []))
+            after, _ = mutate.move(before, own, old, new)
+        place = F.when(hit(F.col("path")), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path"))
+        was = before.select(place.alias("path"), F.col("content").alias("_was"))
+        changed = after.join(was, "path").filter(F.col("content") != F.col("_was")).select("path", "content")
+        links = own.filter(hit(dst)).count()
+        rewrote = edits.apply(self.spark, self.root, changed, [(old, new)])
+        self.project()
+        return {"from": old, "to": new, "rewrote": rewrote, "links_rewritten": links} | ({"moved": inside} if folder else {})
+
+    def delete(self, path: str, folder: bool = False) -> dict:
+        """Takes a note, a resource or a whole folder away; `dangled` are the notes whose links now lead nowhere."""
+        listed = vault.listing(self.spark, self.root).select("path")
+        left, dangled = mutate.delete(listed, self._edges(), path, folder)
+        gone = listed.count() - left.count()
+        notes = [r["path"] for r in dangled.collect()]
+        edits.apply(self.spark, self.root, gone=[mutate.checked(path)])
+        self.project()
+        return {"path": path, "deleted": gone, "dangled": notes}

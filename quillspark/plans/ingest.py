@@ -9,6 +9,7 @@ from quillspark.functions import chunking, embedders, frontmatter
 from quillspark.operators import discover, graph, lexical
 from quillspark.sources import vault
 from quillspark.sources.catalog import Catalog
+from quillspark.sources.store import stored
 
 
 def pending(chunks: DataFrame, vectors: DataFrame | None) -> DataFrame:
@@ -76,15 +77,42 @@ def project(spark: SparkSession, catalog: Catalog, root: str, policy: chunking.P
     postings, stats = lexical.index(chunks, stem)
     tables = {"notes": notes, "chunks": chunks, "resources": resources, "edges": edges, "postings": postings, "doc_stats": stats}
     vectors = catalog.table("embeddings")
-    catalog.commit(tables, policy=repr(policy), stem=stem)
     if vectors is not None:
-        kept = vectors.join(catalog.table("chunks").select("text_hash"), "text_hash", "left_semi")
-        catalog.commit({"embeddings": kept, "note_centroids": _centroids(catalog.table("chunks"), kept)})
+        # chunks are written first, as three tables come from them; readers see old and new in one switch
+        tables["chunks"] = chunks = stored(chunks)
+        tables["embeddings"] = kept = vectors.join(chunks.select("text_hash"), "text_hash", "left_semi")
+        tables["note_centroids"] = _centroids(chunks, kept)
+        tables["postings"], tables["doc_stats"] = lexical.index(chunks, stem)
+    catalog.commit(tables, policy=repr(policy), stem=stem)
     report = {"indexed": notes.count(), "skipped": [tuple(r) for r in skipped.orderBy("path").collect()], "notes_pruned": held, "resources_indexed": resources.count(), "resources_pruned": gone}
     parsed.unpersist()
     return report
 
 
+def project_note(spark: SparkSession, catalog: Catalog, path: str, content: bytes, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True) -> None:
+    """Projects one note that the index has, from its content; a note that can't be read keeps its rows.
+
+    What other notes' links mean depends on paths alone, so their edges stay, as do all rows of theirs.
+    Its chunks' vectors stay where the text does; vectors that nobody needs go at the next `project`.
+    """
+    own = catalog.table("notes").filter(F.col("path") == path)
+    file = own.select("path", F.lit(content).alias("content"), "mtime")
+    note = stored(frontmatter.notes(file, relations_key).filter("reason is null").drop("reason"))
+    if note.isEmpty():
+        return
+    rest = lambda name, key: catalog.table(name).filter(F.col(key) != path)
+    chunks = stored(chunking.chunks(note, policy))
+    notes, resources = rest("notes", "path").unionByName(note), catalog.table("resources")
+    edges = graph.edges(graph.resolve(graph.body_links(note), notes, resources), graph.resolve(graph.relation_links(note), notes, resources))
+    postings, stats = lexical.index(chunks, stem)
+    new = {"notes": (note, "path"), "chunks": (chunks, "note_path"), "edges": (edges, "src_path"), "postings": (postings, "note_path"), "doc_stats": (stats, "note_path")}
+    tables = {name: rest(name, key).unionByName(rows) for name, (rows, key) in new.items()}
+    vectors = catalog.table("embeddings")
+    if vectors is not None:
+        tables["note_centroids"] = rest("note_centroids", "note_path").unionByName(_centroids(chunks, vectors))
+    catalog.commit(tables)
+
+
 def _centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Centroids of the fully embedded notes."""
     whole = chunks.join(fully_embedded(chunks, vectors), "note_path", "left_semi")
@@ -97,9 +125,8 @@ def embed(catalog: Catalog, embedder: embedders.Embedder) -> int:
     chunks, m = catalog.table("chunks"), catalog.manifest()
     vectors = catalog.table("embeddings") if (m.get("model"), m.get("dim")) == (embedder.model_id, embedder.dim) else None
     fresh = embedders.embedded(pending(chunks, vectors), embedder)
-    catalog.commit({"embeddings": fresh if vectors is None else vectors.unionByName(fresh)}, model=embedder.model_id, dim=embedder.dim)
-    now = catalog.table("embeddings")
-    catalog.commit({"note_centroids": _centroids(chunks, now)})
+    now = stored(fresh if vectors is None else vectors.unionByName(fresh))
+    catalog.commit({"embeddings": now, "note_centroids": _centroids(chunks, now)}, model=embedder.model_id, dim=embedder.dim)
     return now.count() - (0 if vectors is None else vectors.count())
 
 

@@ -7,6 +7,8 @@ notes that have an edge to what moved, and of no others. Writing the table back
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def _holds(files: DataFrame, path: str) -> bool:
     return not files.filter(F.col("path") == path).isEmpty()
 
 
-def add(files: DataFrame, path: str, text: str) -> DataFrame:
+def add(files: DataFrame, path: str, text: str | bytes) -> DataFrame:
     """`files` and a new note or resource; Refused where there is one."""
     if _holds(files, checked(path)):
         raise Refused(f"there already: {path}")
-    return files.unionByName(files.sparkSession.createDataFrame([(path, text.encode())], "path string, content binary"), allowMissingColumns=True)
+    return files.unionByName(files.sparkSession.createDataFrame([(path, text.encode() if isinstance(text, str) else text)], "path string, content binary"), allowMissingColumns=True)
 
 
 def template(title: str, today: str, kind: str | None = None) -> str:
@@ -85,50 +87,62 @@ def relate(files: DataFrame, src: str, verb: str, dst: str, explanation: str | N
     return files.withColumn("content", new)
 
 
-def _rewritten(text: Column, old: str, new: str) -> Column:
-    """`text` with the link targets that are `old`, with or without .md, being `new`; all else as it was."""
-    bare, goal = old.removesuffix(".md"), new.removesuffix(".md")
-    out = text
-    for was, now in ((old, new), (bare, goal)):
-        wiki = f"(\\[\\[\\s*)\\Q{was}\\E(\\s*(?:[#|][^\\]]*)?\\]\\])"
-        md = f"(\\]\\(\\s*)\\Q{was}\\E((?:#[^)]*)?\\s*\\))"
-        safe = now.replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(F.regexp_replace(out, wiki, f"$1{safe}$2"), md, f"$1{safe}$2")
-    return out
+def _relative(src: Column, dst: Column) -> Column:
+    """`dst` as seen from the folder of `src`."""
+    a = F.filter(F.split(F.regexp_extract(src, "^(?:(.*)/)?[^/]*$", 1), "/"), lambda x: x != "")
+    b = F.split(dst, "/")
+    most = F.least(F.size(a), F.size(b) - 1)
+    shared = F.size(F.filter(F.sequence(F.lit(0), most), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n))) - 1
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
+
+
+def _relinked(files: DataFrame, edges: DataFrame, place: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(`files` by the places that `place` gives them, the paths of rewritten notes).
+
+    Links keep the form they were written in: with or without .md, from the root or from their note's
+    folder, with their fragment. A moved note's own relative links are seen from its new folder.
+    """
+    dst, raw = F.coalesce("dst_path", "dst_resource_path"), F.trim(F.regexp_replace("dst_path_raw", "#.*$", ""))
+    src = F.col("src_path")
+    ties = edges.filter(dst.isNotNull()).select(src, dst.alias("dst"), raw.alias("raw")).filter((raw != "") & ((place(F.col("dst")) != F.col("dst")) | (place(src) != src))).distinct()
+    bare = ~F.col("raw").endswith(".md") & F.col("dst").endswith(".md")
+    seen = p.resolved(src, F.col("raw"))
+    near = (seen == F.col("dst")) | (F.concat(seen, F.lit(".md")) == F.col("dst"))
+    short = lambda c: F.when(bare, F.regexp_replace(c, "\\.md$", "")).otherwise(c)
+    safe = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    own, goal = place(src), place(F.col("dst"))
+    ties = ties.select(F.col("src_path").alias("path"), F.struct("raw", safe(short(goal)).alias("wiki"), safe(short(F.when(near, _relative(own, goal)).otherwise(goal))).alias("md")).alias("tie"))
+    ties = ties.groupBy("path").agg(F.collect_list("tie").alias("_ties"))
+
+    def one(text: Column, tie: Column) -> Column:
+        what = F.concat(F.lit("\\Q"), tie["raw"], F.lit("\\E"))
+        wiki = F.concat(F.lit("(\\[\\[\\s*)"), what, F.lit("(\\s*(?:[#|][^\\]]*)?\\]\\])"))
+        md = F.concat(F.lit("(\\]\\(\\s*)"), what, F.lit("((?:#[^)]*)?\\s*\\))"))
+        return F.regexp_replace(F.regexp_replace(text, wiki, F.concat(F.lit("$1"), tie["wiki"], F.lit("$2"))), md, F.concat(F.lit("$1"), tie["md"], F.lit("$2")))
+
+    rows = files.join(ties, "path", "left")
+    new = F.when(F.col("_ties").isNotNull(), F.aggregate("_ties", F.col("content").cast("string"), one).cast("binary")).otherwise(F.col("content"))
+    rows = rows.withColumn("_new", new)
+    rewritten = rows.filter(F.col("_new") != F.col("content")).select("path")
+    return rows.withColumn("content", F.col("_new")).withColumn("path", place(F.col("path"))).select(*files.columns), rewritten
 
 
 def move(files: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """(`files` with `old` at `new`, the paths of rewritten notes). Notes with an edge to `old` are
-    rewritten, in the form they were written in; a relative Markdown target becomes one from the root."""
+    """(`files` with `old` at `new`, the paths of rewritten notes). Notes with an edge to `old`, and the
+    relative links of `old` itself, are rewritten in the form they were written in."""
     if not _holds(files, old):
         raise Refused(f"not there: {old}")
     if old == new or (_holds(files, checked(new)) and old.lower() != new.lower()):
         raise Refused(f"there already: {new}")
-    inbound = edges.filter((F.col("dst_path") == old) | (F.col("dst_resource_path") == old)).groupBy(F.col("src_path").alias("path")).agg(F.collect_set("dst_path_raw").alias("raws"))
-    rows = files.join(inbound, "path", "left")
-    text = _rewritten(F.col("content").cast("string"), old, new)
-    folder, name = "/".join(old.split("/")[:-1]), old.split("/")[-1]
-    for was in (name, name.removesuffix(".md")):
-        near = F.regexp_replace(text, f"(\\]\\(\\s*)(?:\\./)?\\Q{was}\\E((?:#[^)]*)?\\s*\\))", "$1" + new.replace("\\", "\\\\").replace("$", "\\$") + "$2")
-        text = F.when(F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1) == folder, near).otherwise(text)
-    rows = rows.withColumn("content", F.when(F.col("raws").isNotNull(), text.cast("binary")).otherwise(F.col("content")))
-    moved = rows.withColumn("path", F.when(F.col("path") == old, new).otherwise(F.col("path"))).select(*files.columns)
-    return moved, inbound.select("path")
+    return _relinked(files, edges, lambda c: F.when(c == old, new).otherwise(c))
 
 
 def move_folder(files: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Every file under `old` at the same place under `new`, and links to any of them with it: all in one
-    pass, as they share the front of their targets."""
-    if files.filter(p.under(F.col("path"), checked(new))).isEmpty() is False:
+    """Every file under `old` at the same place under `new`, and links to any of them with it; a folder
+    doesn't move into itself."""
+    if p.inside(checked(new), old) or files.filter(p.under(F.col("path"), new)).isEmpty() is False:
         raise Refused(f"there already: {new}")
-    hit = p.under(F.coalesce("dst_path", "dst_resource_path", F.lit("")), old)
-    inbound = edges.filter(hit).select(F.col("src_path").alias("path")).distinct()
-    safe = new.replace("\\", "\\\\").replace("$", "\\$")
-    text = F.regexp_replace(F.col("content").cast("string"), f"(\\[\\[\\s*|\\]\\(\\s*)\\Q{old}/\\E", f"$1{safe}/")
-    rows = files.join(inbound.withColumn("inside", F.lit(True)), "path", "left")
-    rows = rows.withColumn("content", F.when(F.col("inside"), text.cast("binary")).otherwise(F.col("content")))
-    path = F.when(p.under(F.col("path"), old), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path"))
-    return rows.withColumn("path", path).select(*files.columns), inbound
+    return _relinked(files, edges, lambda c: F.when(p.under(c, old), F.concat(F.lit(new), F.substring(c, len(old) + 1, 1 << 20))).otherwise(c))
 
 
 def delete(files: DataFrame, edges: DataFrame, path: str, folder: bool = False) -> tuple[DataFrame, DataFrame]:

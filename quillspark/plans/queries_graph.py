@@ -64,11 +64,13 @@ reachable_sql = x.sql(x.LINKS, "two AS (SELECT src_path AS a, dst_path AS b FROM
 
 
 def orphan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, known, _ = _edges(spark, sf_dir)
+    """Documents as notes and labels as links to them: documents without a label."""
+    known = x.table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"))
+    edges = x.table(spark, sf_dir, "labels").select(F.concat(F.lit("l/"), "doc_id").alias("src_path"), F.concat(F.lit("d/"), "doc_id").alias("dst_path"))
     return graph.orphans(known, edges)
 
 
-orphan_notes_sql = x.sql(x.LINKS, select="SELECT path FROM known WHERE path NOT IN (SELECT dst_path FROM edges WHERE dst_path IS NOT NULL)")
+orphan_notes_sql = "SELECT 'd/' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
 
 def inbound_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +84,12 @@ inbound_rewrites_sql = x.sql(x.LINKS, select="SELECT dst_path AS path, count(*)
 
 def local_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, known, _ = _edges(spark, sf_dir)
-    anchors = known.filter("path like '%0.md'").select(F.col("path").alias("anchor"))
+    anchors = known.select(F.col("path").alias("anchor"))
     near = x.ranked(anchors.crossJoin(F.broadcast(spark.range(1, 11))).select("anchor", F.concat(F.lit("g/"), "id").alias("path")), ["anchor"], ["path"])
     return graph.scene(edges, anchors, near)
 
 
-local_scene_sql = x.sql(x.LINKS, "a AS (SELECT path AS anchor FROM known WHERE path LIKE '%0.md'), l AS (SELECT src_path, dst_path FROM edges WHERE dst_path IS NOT NULL AND src_path <> dst_path), b AS (SELECT src_path AS anchor, dst_path AS path FROM l UNION ALL SELECT dst_path, src_path FROM l), g AS (SELECT 'g/' || i AS path, row_number() OVER (ORDER BY 'g/' || i) - 1 AS rank FROM range(1, 11) t(i))", select="SELECT anchor, anchor AS path, 'focus' AS category, 0 AS edges FROM a UNION ALL SELECT b.anchor, b.path, 'linked', count(*) FROM b JOIN a USING (anchor) GROUP BY ALL UNION ALL SELECT anchor, path, 'ghost', 0 FROM a CROSS JOIN g WHERE rank < 6")
+local_scene_sql = x.sql(x.LINKS, "a AS (SELECT path AS anchor FROM known), l AS (SELECT src_path, dst_path FROM edges WHERE dst_path IS NOT NULL AND src_path <> dst_path), b AS (SELECT src_path AS anchor, dst_path AS path FROM l UNION ALL SELECT dst_path, src_path FROM l), g AS (SELECT 'g/' || i AS path, row_number() OVER (ORDER BY 'g/' || i) - 1 AS rank FROM range(1, 11) t(i))", select="SELECT anchor, anchor AS path, 'focus' AS category, 0 AS edges FROM a UNION ALL SELECT b.anchor, b.path, 'linked', count(*) FROM b JOIN a USING (anchor) GROUP BY ALL UNION ALL SELECT anchor, path, 'ghost', 0 FROM a CROSS JOIN g WHERE rank < 6")
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,23 +121,14 @@ list_notes_sql = x.sql(x.NOTES, select="SELECT path, doc_id::VARCHAR AS title, b
 
 
 def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders before files, each by name."""
-    n = x.notes(spark, sf_dir).select("path")
-    folders = n.select(F.regexp_extract("path", "^([^/]*)/", 1).alias("path")).distinct().withColumn("folder", F.lit(True))
-    rows = folders.union(n.withColumn("folder", F.lit(False)))
-    parent = F.when(F.col("folder"), "").otherwise(F.regexp_extract("path", "^([^/]*)/", 1))
-    return x.ranked(rows.withColumn("parent", parent), ["parent"], [F.desc("folder"), F.lower("path"), "path"])
+    return graph.tree(x.notes(spark, sf_dir))
 
 
 tree_rows_sql = x.sql(x.NOTES, "r AS (SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) AS path, true AS folder FROM notes UNION ALL SELECT path, false FROM notes), q AS (SELECT *, CASE WHEN folder THEN '' ELSE regexp_extract(path, '^([^/]*)/', 1) END AS parent FROM r)", select="SELECT *, row_number() OVER (PARTITION BY parent ORDER BY folder DESC, lower(path), path) - 1 AS rank FROM q")
 
 
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes for what was typed: the title begins with it, has it, or the path has it; 50 at most."""
-    typed = "12"
-    rows = x.notes(spark, sf_dir).select("path", t.title(F.col("path")).alias("label"))
-    tier = F.when(F.lower("label").startswith(typed), 0).when(F.lower("label").contains(typed), 1).when(F.lower("path").contains(typed), 2)
-    return rows.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.lower("label"), "path").limit(50)
+    return graph.completions(x.notes(spark, sf_dir).select("path", t.title(F.col("path")).alias("label")), "12")
 
 
 autocomplete_sql = x.sql(x.NOTES, select="SELECT path, label, tier FROM (SELECT path, doc_id::VARCHAR AS label, CASE WHEN starts_with(doc_id::VARCHAR, '12') THEN 0 WHEN contains(doc_id::VARCHAR, '12') THEN 1 WHEN contains(lower(path), '12') THEN 2 END AS tier FROM notes) WHERE tier IS NOT NULL ORDER BY tier, label, path LIMIT 50")

@@ -80,10 +80,9 @@ vector_search_one_sql = f"SELECT CAST(vec_id AS VARCHAR) AS note_path, round(d2,
 
 
 def vector_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = search.nearest(x.vectors(spark, sf_dir), x.queries(spark, sf_dir), 30)
-    best = x.ranked(near.select("query_id", F.col("note_path").alias("path"), F.sqrt("d2").alias("far"), F.col("rank").alias("at")), ["query_id", "path"], ["at"]).filter("rank = 0").drop("rank")
+    found = search.vector_view(x.vectors(spark, sf_dir), x.queries(spark, sf_dir), 10)
     # negated after rounding, which would turn the score of an equal vector, -0.0, into 0.0
-    return x.ranked(best, ["query_id"], ["at"]).filter("rank < 10").select("query_id", "path", t.title(F.col("path")).alias("title"), (-F.round("far", 9)).alias("score"), "rank")
+    return found.withColumn("score", -F.round(-F.col("score"), 9))
 
 
 vector_only_search_sql = x.sql(*_BASE, _DENSE, select="SELECT query_id, note_path AS path, regexp_replace(regexp_extract(note_path, '[^/]*$'), '\\.md$', '') AS title, round(-sqrt(d2), 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, note_path ORDER BY rank) AS own FROM dense WHERE rank < 30) WHERE own = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
@@ -98,6 +97,13 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 keyword_search_sql = x.sql(*_ALL, select="SELECT query_id, note_path, seq, round(score, 7) AS score, rank FROM sparse WHERE rank < 10")
 
 
+def keyword_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over stems, as a vault has it by default; SQL has no stemmer, so a test holds it against brute force."""
+    postings, stats = _index(spark, sf_dir, True)
+    found = lexical.best(postings, stats, lexical.query_words(x.queries(spark, sf_dir), True), 10)
+    return found.select("query_id", "note_path", "seq", R("score", 7), "rank")
+
+
 def keyword_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings, stats = _index(spark, sf_dir)
     found = search.hybrid(postings, stats, None, x.queries(spark, sf_dir), 30)

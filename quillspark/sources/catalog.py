@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from quillspark import schemas
 
 
 class Catalog:
-    """The tables of one index under `root`. Writers make a new folder and then switch the manifest,
-    so readers always see one whole index; another layout version or a missing manifest is no index."""
+    """The tables of one index under `root`. Writers make new folders and then a manifest of the next
+    number; the highest holds, so readers always see one whole index, and of two writers one fails. Another layout version or a missing manifest is no index."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,13 +23,23 @@ class Catalog:
         top = path(self.root)
         return top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _manifest(self, n: int) -> str:
+        return f"{self.root}/manifest-{n:08d}.json"
+
+    def _latest(self) -> int:
+        """The number of the manifest that holds; 0 without one."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.root)):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.root))]
+        return max((int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", x) for x in names) if m), default=0)
+
     def manifest(self) -> dict:
         """tables (name to folder), model and dim; empty without an index of this layout."""
-        fs, path = self._fs()
-        at = path(f"{self.root}/manifest.json")
-        if not fs.exists(at):
+        n = self._latest()
+        if not n:
             return {}
-        found = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+        found = json.loads("\n".join(r["value"] for r in self.spark.read.text(self._manifest(n)).collect()))
         return found if found.get("version") == schemas.VERSION else {}
 
     def table(self, name: str) -> DataFrame | None:
@@ -38,7 +49,7 @@ class Catalog:
 
     def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = (), **more) -> dict:
         """Writes tables to new folders and makes them, with all that stays, the index."""
-        old = self.manifest()
+        n, old = self._latest(), self.manifest()
         names = {k: v for k, v in old.get("tables", {}).items() if k not in drop}
         for name, df in tables.items():
             at = f"{schemas.VERSION}/{name}-{uuid.uuid4().hex}"
@@ -46,20 +57,24 @@ class Catalog:
             names[name] = at
         new = {k: v for k, v in old.items() if k not in ("tables", "version")} | more | {"version": schemas.VERSION, "tables": names}
         fs, path = self._fs()
-        temp = path(f"{self.root}/manifest.{uuid.uuid4().hex}")
+        temp = path(f"{self.root}/writing.{uuid.uuid4().hex}")
         out = fs.create(temp)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        at = path(f"{self.root}/manifest.json")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(temp, at)
+        at = path(self._manifest(n + 1))
+        if fs.exists(at) or not fs.rename(temp, at):
+            raise RuntimeError("another writer was first")
         return new
 
     def vacuum(self) -> None:
         """Removes the folders that the manifest no longer names; call it when no reader is left on them."""
         fs, path = self._fs()
         top = path(f"{self.root}/{schemas.VERSION}")
+        last = self._latest()
+        for f in fs.listStatus(path(self.root)) if last else []:
+            m = re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName())
+            if m and int(m[1]) < last:
+                fs.delete(f.getPath(), False)
         held = {x.rpartition("/")[2] for x in self.manifest().get("tables", {}).values()}
         for f in fs.listStatus(top) if fs.exists(top) else []:
             if f.getPath().getName() not in held:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.functions import paths as p
 
 
@@ -26,12 +29,16 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return listed.filter(~p.hidden(F.col("path")))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size, mtime) of all files under `root` that no dot hides, read in parallel."""
+def files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """(path, content, size, mtime) of all files under `root` that no dot hides, or of `only` those, read in parallel."""
+    if only is not None and not only:
+        return spark.createDataFrame([], schemas.FILES)
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # names are names, not patterns
+    places = root if only is None else [f"{root}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in only]
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
     path = F.regexp_replace(F.replace("path", F.lit(base), F.lit("")), "^file:/+", "/")
     local = "/" + base.removeprefix("file:").lstrip("/")
     rows = read.select(F.replace(path, F.lit(local), F.lit("")).alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))

@@ -131,3 +131,29 @@ def test_metrics(spark):
     assert (got["queries"], got["hit1"], got["hit3"], got["mrr"]) == (4, 0.25, 0.25, 0.3125)
     values = spark.createDataFrame([(0.1, False), (0.4, True)], "v double, k boolean")
     assert metrics.window(values, "v", "k").first()["admissible"]
+
+
+def test_stemmed_search_against_brute_force(spark, sf):
+    """All lines and all queries of the registered query, scored in plain Python."""
+    import math
+    from collections import Counter
+
+    from quillspark.functions import text as words
+    from quillspark.plans import queries_search
+    from quillspark.plans import tables as x
+
+    stem = {}
+    split = lambda rows, c: [(r[0], [stem.setdefault(w, words.porter(w)) for w in r[1]]) for r in rows.select("id", words.tokens(rows[c]).alias("t")).collect()]
+    lines = split(x.chunks(spark, sf).selectExpr("struct(note_path, seq) AS id", "text"), "text")
+    asked = split(x.queries(spark, sf).selectExpr("query_id AS id", "query"), "query")
+    df, mean = Counter(w for _, ws in lines for w in set(ws)), sum(len(ws) for _, ws in lines) / len(lines)
+    counts = [(k, Counter(ws), len(ws)) for k, ws in lines]
+    want = {}
+    for q, ws in asked:
+        weight = {w: n * max(math.log((len(lines) - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) for w, n in Counter(ws).items() if df[w]}
+        scored = [(-round(sum(weight[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * n / mean)) for w in weight.keys() & c.keys()), 9), k["note_path"], k["seq"]) for k, c, n in counts if weight.keys() & c.keys()]
+        for rank, (score, path, seq) in enumerate(sorted(scored)[:10]):
+            want[q, rank] = path, seq, round(-score, 6)
+    got = {(r["query_id"], r["rank"]): (r["note_path"], r["seq"], round(r["score"], 6)) for r in queries_search.keyword_search_stemmed(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 2e-6 for k in got)

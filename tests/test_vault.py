@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import embedders
+from quillspark.functions import text as t
 from quillspark.operators import graph
 from quillspark.plans import chat, engine, mutate
+from quillspark.sources import edits
 from quillspark.sources import vault as source
 from quillspark.streaming import watch
 
@@ -201,3 +203,101 @@ def test_resolution(spark):
     links = spark.createDataFrame([("a/n.md", 0, "b", True), ("a/n.md", 1, "b", False), ("a/n.md", 2, "b.md#x", True), ("a/n.md", 3, "../../z", True), ("a/n.md", 4, "a/2026.07.14-log", False), ("a/n.md", 5, "2026.07.14-note", False), ("a/n.md", 6, "#top", False)], "src_path string, pos int, target string, md boolean").selectExpr("*", "'inline' AS origin")
     got = {r["pos"]: r["dst_path"] or r["dst_resource_path"] for r in graph.resolve(links, notes, files).collect()}
     assert got == {0: "a/b.md", 1: "b.md", 2: "a/b.md", 3: None, 4: "a/2026.07.14-log", 5: None, 6: None}
+
+
+def test_facade_reads(spark, made):
+    root, v = made
+    with pytest.raises(engine.NotFound):
+        v.read("concepts/memory")
+    assert v.list_notes().count() == 0 and v.search_evidence(["memory"])[1].count() == 0 and v.search_vectors(["memory"]).count() == 0
+    v.reindex()
+    write(root, {"_drafts/_x.md": "draft"})
+    (root / "empty/deep").mkdir(parents=True)
+    note = v.read("notes/repetition")
+    assert (note["path"], note["type"], note["readable"]) == ("notes/repetition.md", "idea", True)
+    assert note["frontmatter"] + note["body"] == NOTES["notes/repetition.md"] and len(note["revision"]) == 64
+    assert v.read("notes/other")["frontmatter"] is None
+    why = v.explain("notes/repetition")
+    assert {r["path"] for r in why["connections"].collect()} == {"concepts/memory.md"}
+    assert [r["path"] for r in why["resources"].collect()] == ["files/curve.png"] and [r["target"] for r in why["unresolved"].collect()] == ["gone"]
+    own, links = v.explain_resource("files/curve.png")
+    assert (own["class"], own["size"]) == ("image", 3) and [(r["path"], r["embed"]) for r in links.collect()] == [("notes/repetition.md", True)]
+    with pytest.raises(engine.NotFound):
+        v.explain_resource("files/none.png")
+    assert [r["path"] for r in v.list_notes().collect()] == sorted(p for p in NOTES if p.endswith(".md") and p[0] != ".")
+    assert [r["path"] for r in v.list_resources().collect()] == ["files/curve.png", "files/data.txt"]
+    assert v.list_folders() == ["_drafts", "concepts", "empty", "empty/deep", "files", "notes"]
+    plan = v.plan_reindex().first()
+    assert (plan["would_index"], plan["would_embed"]) == (3, 0)
+    results, verdicts = v.search_evidence(["steep zebra", ""], 2)
+    got = {r["query_id"]: r for r in verdicts.collect()}
+    assert [(x["term"], x["df"]) for x in got[0]["terms"]] == [("steep", 1), ("zebra", 0)] and got[0]["chunk_total"] == 3
+    assert got[0]["vouched"] is None and 0 < got[0]["coverage"] < 1 and got[1]["terms"] == [] and results.filter("query_id = 0").count() == 2
+    v.BARS = {v.embedder.model_id: (0.1, 2.0)}
+    assert {r["query_id"]: r["vouched"] for r in v.search_evidence(["steep zebra", ""])[1].collect()} == {0: True, 1: False}
+    near = v.search_vectors(["steep"], 2).orderBy("rank").collect()
+    assert len(near) == 2 and near[0]["score"] >= near[1]["score"] and len({r["path"] for r in near}) == 2
+
+
+def test_ask(made):
+    _, v = made
+    v.reindex()
+    model = lambda prompt, question: iter(["So ", "[1]", "."])
+    said = v.ask("why is forgetting steep", model).first()
+    assert said["answer"] == "So [1]." and not said["cancelled"] and [c["marker"] for c in said["citations"]] == [1]
+    cut = v.ask("and then", model, [("user", "forgetting"), ("assistant", "yes")], lambda talks: ["forgetting"] * len(talks), stop=lambda: True).first()
+    assert (cut["answer"], cut["cancelled"]) == ("", True)
+
+
+def test_facade_changes(spark, made, tmp_path):
+    root, v = made
+    v.reindex()
+
+    def same():
+        full = engine.Vault(spark, str(root), f"file://{tmp_path}/full-{time.time_ns()}", embedders.FakeEmbedder(8))
+        full.reindex()
+        v.embed()
+        assert dump(v) == dump(full)
+
+    old = v.read("notes/other")["revision"]
+    new = v.write_body("notes/other", "Anew: [m](../concepts/memory.md#top), [n](repetition.md), [[concepts/memory.md#a|b]]\n", old)["revision"]
+    assert v.read("notes/other")["revision"] == new != old
+    with pytest.raises(mutate.Refused):
+        v.write_body("notes/other", "late", old)
+    assert v.link("notes/other", "supports", "notes/repetition")["created"] and not v.link("notes/other", "supports", "notes/repetition")["created"]
+    v.add("notes/extra.md", "See [[gone]].\n")
+    v.create_note("gone", "2026-01-02")
+    v.create_folder("ideas")
+    for change in (lambda: v.create_folder("ideas"), lambda: v.add("gone.md", ""), lambda: v.move("nowhere.md", "x.md"), lambda: v.move("gone.md", "notes/other.md"), lambda: v.delete("nowhere.md"), lambda: v.move("notes", "files", folder=True)):
+        with pytest.raises(mutate.Refused):
+            change()
+    assert v.unresolved("notes/repetition").count() == 0
+    report = v.move("concepts/memory.md", "ideas/re[c]all $1.md")
+    assert report["rewrote"] == ["notes/other.md", "notes/repetition.md"] and report["links_rewritten"] == v.catalog.table("edges").filter("dst_path = 'ideas/re[c]all $1.md'").count()
+    assert "[m](../ideas/re[c]all $1.md#top)" in (root / "notes/other.md").read_text() and "[n](repetition.md)" in (root / "notes/other.md").read_text()
+    moved = v.move("notes", "deep/down", folder=True)
+    text = (root / "deep/down/other.md").read_text()
+    assert moved["moved"] == 3 and "[m](../../ideas/re[c]all $1.md#top)" in text and "[n](repetition.md)" in text and "[[ideas/re[c]all $1.md#a|b]]" in text and "supports [[deep/down/repetition]]" in text
+    assert "![chart](../../files/curve.png)" in (root / "deep/down/repetition.md").read_text()
+    gone = v.delete("ideas/re[c]all $1.md")
+    assert gone["dangled"] == ["deep/down/other.md", "deep/down/repetition.md"] and gone["deleted"] == 1
+    assert v.delete("files", folder=True)["deleted"] == 2
+    same()
+    assert not [p for p in root.rglob(".*") if p.name != ".hidden"]
+
+
+def test_a_failed_change_is_undone(spark, made):
+    root, _ = made
+    before = {p: p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    new = spark.createDataFrame([("notes/other.md", b"x"), ("a/b.md", b"y")], "path string, content binary")
+    with pytest.raises(OSError):
+        edits.apply(spark, str(root), new, [("concepts", "ideas")], ["nowhere"])
+    assert {p: p.read_bytes() for p in root.rglob("*") if p.is_file()} == before
+
+
+def test_tree_and_trigger(spark):
+    rows = spark.createDataFrame([("b.md",), ("a/x/y.md",), ("A.md",), ("a/c.md",)], "path string")
+    got = [(r["parent"], r["path"]) for r in graph.tree(rows).orderBy("parent", "rank").collect()]
+    assert got == [("", "a"), ("", "A.md"), ("", "b.md"), ("a", "a/x"), ("a", "a/c.md"), ("a/x", "a/x/y.md")]
+    lines = spark.createDataFrame([("see [[me",), ("[[a]] x",), ("[[a|b",), ("no",), ("[[a]] [[",), ("x [[[q",)], "line string")
+    assert [r["t"] for r in lines.select(t.trigger(F.col("line")).alias("t")).collect()] == ["me", None, None, None, "", "q"]
