@@ -9,6 +9,7 @@ those with a 1, so that rank on the planes gives access, counts and the places o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from array import array
@@ -16,6 +17,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,13 +136,17 @@ class WaveletMatrix:
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
+#: A full stop or comma after a letter or digit, and one after anything else.
+_MARK, _ODD_MARK = re.compile(r"(?<=[^\W_])[.,]"), re.compile(r"[.,](?<![^\W_][.,])")
+
 
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct word once.
 
     Byte-level BPE never merges over the start of a word, nor between a word's last letter and the
     punctuation after it, so a text whose white space is single blanks and line ends is cut before each of
-    these, and the ids of words already seen are taken from a table. Any other text goes to the
+    these, after line ends, and before full stops and commas after a letter or digit; the ids of words already
+    seen are taken from a table. Any other text goes to the
     library whole, as does one that holds an added token's string: to the library that is the token,
     unless `plain` makes special tokens' strings ordinary text. The table stops growing at `kept` words.
     """
@@ -156,9 +162,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kept = kept
-        #: a word's place in the tables of first ids and numbers of ids; the end of a text is a word of its own
-        self.index = {"\1": 0}
-        self.ids, self.first, self.size = array("I", [end]), array("q", [0]), array("q", [1])
+        #: a word's place in the tables of first ids and numbers of ids; the end of a text is a word of its own,
+        #: and so is the mark of a text that goes to the library whole
+        self.index = {"\1": 0, "\2": 1}
+        self.ids, self.first, self.size = array("I", [end]), array("q", [0, 1]), array("q", [1, 0])
 
     @staticmethod
     def _regular(text: str) -> bool:
@@ -167,51 +174,61 @@ class Encoder:
             return False
         return text.replace("\n", " ").isprintable()  # of white space, the blank alone is printable
 
-    def _add(self, word: str | tuple[str]) -> int:
-        """The place of a word that isn't in the table yet.
+    @staticmethod
+    def _marked(text: str) -> str:
+        """The text with a cut before each full stop and comma that stands after a letter or digit."""
+        if _ODD_MARK.search(text):
+            return _MARK.sub("\0\\g<0>", text)
+        return text.replace(".", "\0.").replace(",", "\0,")
 
-        A full stop or comma after a letter is a piece of its own, so the word before it is looked up.
-        Letters alone, with a blank before them or not, are one piece to the library's own splitting,
-        and go to its BPE model directly.
-        """
-        if isinstance(word, str) and word[-1] in ".," and word[-2:-1].isalpha():
-            own = self.index.get(word[:-1])
-            own = self._add(word[:-1]) if own is None else own
-            mark = self.index.get(word[-1])
-            mark = self._add(word[-1]) if mark is None else mark
-            ids = self.ids[self.first[own] : self.first[own] + self.size[own]] + self.ids[self.first[mark] : self.first[mark] + self.size[mark]]
-        elif isinstance(word, str) and (word[1:] if word[0] == " " else word).isalpha():
-            ids = [k.id for k in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        else:
-            ids = self.tokenizer.encode(word if isinstance(word, str) else word[0], add_special_tokens=False).ids
-        place = self.index[word] = len(self.first)
+    def _append(self, ids: list[int]) -> None:
         self.first.append(len(self.ids))
         self.size.append(len(ids))
         self.ids.extend(ids)
-        return place
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with the end id, and each text's number of ids."""
-        words, held = [], []
+    def _add(self, words: list[str]) -> None:
+        """Takes new words into the table.
 
-        def cut() -> None:
-            words.extend("\0\1\0".join([*held, ""]).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[:-1])
-            held.clear()
+        Letters alone, with a blank before them or not, are one piece to the library's own splitting,
+        and go to its BPE model directly.
+        """
+        blank = chr(_BYTE_LETTERS[32])
+        for word in words:
+            if (word[1:] if word[0] == " " else word).isalpha():
+                if word.isascii():
+                    piece = blank + word[1:] if word[0] == " " else word
+                else:
+                    piece = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = [k.id for k in self.model.tokenize(piece)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self.index[word] = len(self.first)
+            self._append(ids)
 
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id, and each text's number of ids."""
+        lines, whole = [], []
         for text in texts:
             if text and self._regular(text) and not any(t in text for t in self.added):
-                held.append(text)
-                continue
-            if held:
-                cut()
-            words += [(text,), "\1"] if text else ["\1"]  # no word, so it can't be taken for one
-        if held:
-            cut()
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        had, rows, get = len(self.index), len(self.first), self.index.get
-        for i in np.flatnonzero(at < 0).tolist():
-            place = get(words[i])
-            at[i] = self._add(words[i]) if place is None else place
+                lines.append(self._marked(text) + "\0\1\0")
+            elif text:
+                lines.append("\2\0\1\0")
+                whole.append(text)
+            else:
+                lines.append("\1\0")
+        cut = "".join(lines).replace(" ", "\0 ").replace("\n", "\0\n\0")
+        words = pc.split_pattern(pa.array([cut], pa.large_string()), "\0").flatten()
+        words = words.slice(0, len(words) - 1).dictionary_encode()  # nothing stands after the last cut
+        own, had, rows = words.dictionary.to_pylist(), len(self.index), len(self.first)
+        place = np.fromiter(map(self.index.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(place < 0)
+        self._add([own[i] for i in new.tolist()])
+        place[new] = np.arange(rows, rows + len(new))
+        at = place[words.indices.to_numpy()]
+        kept = len(self.first)
+        for text in whole:
+            self._append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        at[at == 1] = np.arange(kept, len(self.first))
         ids, first, size = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.first, np.int64), (self.size, np.int64)))
         start, n = first[at], size[at]
         total = int(n.sum())
@@ -220,18 +237,23 @@ class Encoder:
         place += np.arange(total, dtype=small)
         out = ids.take(place)
         del ids, first, size  # the tables can't grow while they are looked at
-        if len(self.index) > had:
-            self._forget(had, rows)
+        self._shorten(kept)
+        self._forget(had, rows)
         return out, np.diff(np.cumsum(n)[at == 0], prepend=0)
 
-    def _forget(self, had: int, rows: int) -> None:
-        """Drops all that came after the first `had` words if the table is full, else whole texts and very long words."""
-        if had > self.kept:
-            while len(self.index) > had:
-                self.index.popitem()
+    def _shorten(self, rows: int) -> None:
+        """Drops all rows of the table after the first `rows`."""
+        if rows < len(self.first):
             del self.ids[self.first[rows] :], self.first[rows:], self.size[rows:]
+
+    def _forget(self, had: int, rows: int) -> None:
+        """Drops all that came after the first `had` words if the table is full, else the very long words among it."""
+        if had > self.kept or len(self.ids) > 16 * self.kept:
+            for word in list(islice(reversed(self.index), len(self.index) - had)):
+                del self.index[word]
+            self._shorten(rows)
         else:
-            for word in [w for w in islice(reversed(self.index), len(self.index) - had) if not isinstance(w, str) or len(w) > self.LONGEST]:
+            for word in [w for w in islice(reversed(self.index), len(self.index) - had) if len(w) > self.LONGEST]:
                 del self.index[word]
 
 
