@@ -21,3 +21,29 @@ hits AS (
 SELECT p.page_id, p.host, p.fetched, h.domain IS NOT NULL AS blocked, h.domain, h.since
 FROM pages_of p LEFT JOIN hits h ON h.page_id = p.page_id AND h.rank = 1
 """
+
+# one row for each document; the steps of crc32 over a byte come from its polynomial
+op13_importance = r"""
+WITH crc_steps AS (
+  SELECT list(list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps
+  FROM (SELECT range::BIGINT AS b FROM range(256))),
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word, true AS own FROM documents
+  UNION ALL
+  SELECT NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), false FROM benchmark),
+features AS (SELECT word, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM words GROUP BY word),
+hashed AS (
+  SELECT word, s, t, xor(list_reduce(list_transform(range(0, length(hex(encode(word))), 2), lambda i: ('0x' || substr(hex(encode(word)), i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM features, crc_steps),
+cells AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM cells),
+scored AS (
+  SELECT d.doc_id, coalesce(w.n, 0)::BIGINT AS n_features, coalesce(w.weight, 0)::BIGINT AS weight,
+    coalesce(w.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE own GROUP BY doc_id) w ON w.doc_id = d.doc_id),
+placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM placed
+"""

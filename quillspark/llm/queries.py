@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
+from quillspark.llm import decontamination, fingerprints, importance, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
 from quillspark.llm.common import table
 
 
@@ -57,3 +57,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
