@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, importance, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
+from quillspark.llm import bpe, decontamination, fingerprints, importance, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
 from quillspark.llm.common import table
 
 
@@ -62,3 +62,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    shown = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
