@@ -47,3 +47,55 @@ placed AS (
   SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM placed
 """
+
+# a fold over the rows with the cheapest way to each ending; conversations have one row a turn
+op11_conversation_repair = r"""
+WITH RECURSIVE crc_steps AS (
+  SELECT list(list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps
+  FROM (SELECT range::BIGINT AS b FROM range(256))),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+kinds AS (
+  SELECT n.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM named n, crc_steps),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(2) c WHERE kind <> 0 AND (c.range = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+seen AS (
+  SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+    CASE WHEN i > 1 THEN lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) END AS pair FROM placed),
+told AS (
+  SELECT conv_id, i, turn, role, text, pair, final = '' AS blank, final <> '' AND nth > 1 AS duplicate, final <> '' AND nth = 1 AND final NOT IN ('.', '!', '?') AS truncated FROM seen),
+-- the cheapest way to each ending (nothing, system, user, assistant) after row i: cost, edits, repaired lines
+walk AS (
+  SELECT conv_id, 0 AS i, {'c': 0, 'a': '', 't': ''} AS n, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS u, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i,
+    {'c': n.c + 4, 'a': n.a || 'D', 't': n.t},
+    list_min(list_filter([CASE WHEN s IS NOT NULL THEN {'c': s.c + 4, 'a': s.a || 'D', 't': s.t} END, CASE WHEN keep AND left(role, 1) = 's' THEN {'c': n.c + charge, 'a': n.a || 'K', 't': n.t || line} END], lambda x: x IS NOT NULL)),
+    list_min(list_filter(list_concat([{'c': wu.c + 4, 'a': wu.a || 'D', 't': wu.t}],
+      list_transform([n, s, wa], lambda x: CASE WHEN x IS NOT NULL AND keep AND left(role, 1) = 'u' THEN {'c': x.c + charge, 'a': x.a || 'K', 't': x.t || line} END),
+      list_transform([n, s, wa], lambda x: CASE WHEN x IS NOT NULL AND keep THEN {'c': x.c + charge + 3, 'a': x.a || 'R', 't': x.t || chr(10) || 'user:' || text} END)), lambda x: x IS NOT NULL)),
+    list_min(list_filter([{'c': wa.c + 4, 'a': wa.a || 'D', 't': wa.t},
+      CASE WHEN keep AND left(role, 1) = 'a' THEN {'c': wu.c + charge, 'a': wu.a || 'K', 't': wu.t || line} END,
+      CASE WHEN keep THEN {'c': wu.c + charge + 3, 'a': wu.a || 'R', 't': wu.t || chr(10) || 'assistant:' || text} END], lambda x: x IS NOT NULL))
+  FROM (
+    -- empty turns put in before the row
+    SELECT w.conv_id, r.i, w.n, w.s, role, text, chr(10) || role || ':' || text AS line, NOT (blank OR duplicate) AS keep, CASE WHEN truncated THEN 3 ELSE 0 END AS charge,
+      list_min(list_filter(list_concat([w.u], list_transform([w.n, w.s, w.a], lambda x: CASE WHEN x IS NOT NULL THEN {'c': x.c + 3, 'a': x.a || 'I', 't': x.t || chr(10) || 'user:'} END)), lambda x: x IS NOT NULL)) AS wu,
+      list_min(list_filter(list_concat([w.a], list_transform([w.u], lambda x: CASE WHEN x IS NOT NULL THEN {'c': x.c + 3, 'a': x.a || 'I', 't': x.t || chr(10) || 'assistant:'} END),
+        list_transform([w.n, w.s], lambda x: CASE WHEN x IS NOT NULL THEN {'c': x.c + 6, 'a': x.a || 'II', 't': x.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END)), lambda x: x IS NOT NULL)) AS wa
+    FROM walk w JOIN told r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+ends AS (
+  SELECT w.conv_id, list_min(list_filter([w.n, w.a, CASE WHEN w.u IS NOT NULL THEN {'c': w.u.c + 3, 'a': w.u.a || 'I', 't': w.u.t || chr(10) || 'assistant:'} END,
+    CASE WHEN w.s IS NOT NULL THEN {'c': w.s.c + 6, 'a': w.s.a || 'II', 't': w.s.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END], lambda x: x IS NOT NULL)) AS best
+  FROM walk w JOIN (SELECT conv_id, max(i) AS i FROM walk GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  best.c::BIGINT AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontamination, fingerprints, importance, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
+from quillspark.llm import bpe, conversation_repair, decontamination, fingerprints, importance, licenses, line_dedup, mixing, quality, simhash_dedup, token_files, toxicity, url_filter
 from quillspark.llm.common import table
 
 
@@ -69,3 +69,19 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     shown = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a rule (a crc32 of id and turn, modulo 20) and repaired: 0 takes a row away, 1 empties
+    its text, 2 takes its full stops, exclamation and question marks, 3 doubles it, 4 makes it the user's."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("kind", F.crc32(name.cast("binary")) % 20)
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("role", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")))
+    found, turns = conversation_repair.repair(rows, F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1))
+    digest = F.sha2(F.array_join(F.transform(F.coalesce("turns", F.array()), lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n"), 256)
+    if turns is not None:
+        long = conversation_repair.hashed(turns).withColumnRenamed("conv_id", "name")
+        found, digest = found.join(long, F.col("conv_id").eqNullSafe(F.col("name")), "left"), F.coalesce("sha256", digest)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest.alias("repaired_sha256"))
