@@ -15,14 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, tidy
+from quillspark.operators.ordering import positions
 
 #: Bytes of text and documents of a chunk, at most; a document of more bytes is a chunk of its own.
-CHUNK_BYTES, CHUNK_DOCS = 1 << 22, 4096
-_CHUNK = "chunk long, features array<string>, totals array<long>, doc_ids array<long>, n_words array<long>, n_features array<long>, ends array<long>, places array<int>, counts array<int>"
+CHUNK_BYTES, CHUNK_DOCS = 1 << 24, 1 << 14
+_CHUNK = "chunk long, features array<string>, totals array<long>, doc_ids array<long>, n_words array<long>, n_features array<long>, ends array<long>, cells binary"
 _SCORED = "row long, doc_id long, n_words long, n_features long, weight long"
 
 # What is no digit, letter or byte of a longer character parts words; A-Z become a-z
@@ -56,6 +56,18 @@ def _grams(words: pa.Array, of: np.ndarray, low: int, high: int) -> tuple[pa.Arr
     return pa.concat_arrays(runs), np.concatenate(texts)
 
 
+def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Places, as steps from one to the next, and counts, compressed."""
+    cells = np.concatenate([np.diff(places, prepend=0), counts]).astype("<i4")
+    return len(cells).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(cells, asbytes=True)
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(cells[:8], "little")
+    both = np.frombuffer(pa.Codec("zstd").decompress(cells[8:], 4 * n), "<i4") if n else np.zeros(0, np.int32)
+    return np.cumsum(both[: n // 2]), both[n // 2 :].astype(np.int64)
+
+
 def _chunk(chunk: int, doc_ids: pa.Array, texts: list[str | None], low: int, high: int) -> pa.RecordBatch:
     words, of = _words(texts)
     grams, of_gram = (words, of) if low == high == 1 else _grams(words, of, low, high)
@@ -65,7 +77,7 @@ def _chunk(chunk: int, doc_ids: pa.Array, texts: list[str | None], low: int, hig
     per = lambda x: np.bincount(x, minlength=len(texts))
     cell = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), cell(coded.dictionary.cast(pa.string()), pa.string()), cell(np.bincount(place, minlength=len(coded.dictionary)), pa.int64()), cell(doc_ids, pa.int64()), cell(per(of), pa.int64()), cell(per(of_gram), pa.int64()), cell(np.cumsum(per(keys // n)), pa.int64()), cell((keys % n).astype(np.int32), pa.int32()), cell(counts.astype(np.int32), pa.int32())],
+        [pa.array([chunk], pa.int64()), cell(coded.dictionary.cast(pa.string()), pa.string()), cell(np.bincount(place, minlength=len(coded.dictionary)), pa.int64()), cell(doc_ids, pa.int64()), cell(per(of), pa.int64()), cell(per(of_gram), pa.int64()), cell(np.cumsum(per(keys // n)), pa.int64()), pa.array([_packed(keys % n, counts)], pa.binary())],
         [c.split()[0] for c in _CHUNK.split(", ")],
     )
 
@@ -122,17 +134,20 @@ def weights(docs: DataFrame, target: DataFrame, low: int = 1, high: int = 1, buc
     gain = F.broadcast(gains(own.select("bucket", "n"), other.select("bucket", "n"), buckets))
     valued = own.join(gain, "bucket").select("feature", "gain")
     asked = chunked.select("chunk", F.posexplode("features").alias("place", "feature"))
-    back = asked.join(valued, "feature").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "gain"))).alias("g"))
-    rows = chunked.drop("features", "totals").join(back.select("chunk", F.col("g.gain").alias("gains")), "chunk", "left")
+    # a place and its gain in one number, in order of places; a gain is far from 2^31
+    cell = F.shiftleft(F.col("place").cast("long"), 32) + F.col("gain") + (1 << 31)
+    back = asked.join(valued, "feature").groupBy("chunk").agg(F.sort_array(F.collect_list(cell)).alias("gains"))
+    rows = chunked.drop("features", "totals").join(back, "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 one = lambda name: batch.column(name).slice(k, 1).flatten()  # noqa: E731, B023
-                ends, places = one("ends").to_numpy(), one("places").to_numpy()
+                ends, (places, counts) = one("ends").to_numpy(), _unpacked(batch.column("cells")[k].as_py())
                 sums = np.zeros(len(places) + 1, np.int64)
                 if len(places):
-                    np.cumsum(one("gains").to_numpy()[places] * one("counts").to_numpy(), out=sums[1:])
+                    gains_of = (one("gains").to_numpy() & 0xFFFFFFFF) - (1 << 31)
+                    np.cumsum(gains_of[places] * counts, out=sums[1:])
                 weight = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(ends) else ends
                 row = np.arange(len(ends), dtype=np.int64) + batch.column("chunk")[k].as_py() * CHUNK_DOCS
                 yield pa.RecordBatch.from_arrays([pa.array(row), one("doc_ids"), one("n_words"), one("n_features"), pa.array(weight, pa.int64())], [c.split()[0] for c in _SCORED.split(", ")])
@@ -147,19 +162,6 @@ def noise(doc_id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
 
 
-def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """`rows` with rank, from 1 by `order`, without one task for all: rows are sorted by ranges, and a range's
-    rows come after those of all ranges before it. The last of `order` should tell equal rows apart, so that
-    very many of them are cut into ranges too."""
-    at = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_before")))
-    place = F.col("_at") - F.shiftleft("_part", 33) + F.col("_before") + 1
-    return at.withColumn("_part", part).join(starts, "_part").withColumn("rank", place).drop("_at", "_part", "_before")
-
-
 def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least: int = 20, low: int = 1, high: int = 1, buckets: int = 10_000, seed: int = 2024) -> DataFrame:
     """One row for each of `docs` (doc_id, text): doc_id, n_words, n_features, weight, score and rank.
 
@@ -171,7 +173,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least: int =
     scored = cut(weights(docs, target, low, high, buckets).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))
     able = scored.filter(F.col("n_words") >= least)
     drawn = percent * able.count() // 100
-    place = F.when(F.col("rank") <= drawn, F.col("rank"))
-    out = ranked(able, F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("row")).withColumn("rank", place)
+    place = F.when(F.col("rank") < drawn, F.col("rank") + 1)
+    out = positions(able, F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("row"), name="rank").withColumn("rank", place)
     out = out.unionByName(scored.filter(F.col("n_words") < least).withColumn("rank", F.lit(None).cast("long")))
     return out.select("doc_id", "n_words", "n_features", "weight", "score", "rank")

@@ -79,9 +79,3 @@ def test_empty_tables(spark):
     got = m.resample(docs, target.limit(0)).collect()
     assert plain(tuple(r) for r in got) == plain(brute(DOCS[:25], []))
 
-
-def test_one_rank_for_each_row_of_a_hot_key(spark):
-    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) AS score")
-    got = m.ranked(rows, rows["score"].desc(), rows["id"].asc()).collect()
-    want = sorted(got, key=lambda r: (-r["score"], r["id"]))
-    assert [r["rank"] for r in want] == list(range(1, 3001))
