@@ -76,13 +76,14 @@ def _text(value, dates: bool = False) -> str | None:
 
 
 def notes(files: DataFrame, relations_key: str = "relations") -> DataFrame:
-    """The notes table of files (path, content, mtime) and the reason of each that can't be read.
+    """The notes table of files (path, content, mtime and, where there is one, reason) and the reason of each that can't be read.
 
     Content that is no UTF-8 gives a row with a null body and reason. Fields that aren't text are
     null, dates stay strings, and a block that can't be read leaves the fields empty.
     """
-    rows = files.withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
-    rows = rows.select("path", "mtime", span(F.col("text")).alias("block"), body(F.col("text")).alias("body"), F.when(F.col("text").isNull(), "is not valid UTF-8").alias("reason"))
+    why = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    rows = files.withColumn("why", why).withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
+    rows = rows.select("path", "mtime", span(F.col("text")).alias("block"), body(F.col("text")).alias("body"), F.coalesce("why", F.when(F.col("text").isNull(), "is not valid UTF-8")).alias("reason"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -34,8 +34,8 @@ class Vault:
     # The models that may be chosen, and the length of their vectors.
     MODELS = {"BAAI/bge-base-en-v1.5": 768, "BAAI/bge-small-en-v1.5": 384}
 
-    def __init__(self, spark: SparkSession, root: str, index: str, embedder: embedders.Embedder | None = None, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True):
-        self.spark, self.root, self.catalog = spark, root, Catalog(spark, index)
+    def __init__(self, spark: SparkSession, root: str, index: str, embedder: embedders.Embedder | None = None, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True, buckets: int = 32):
+        self.spark, self.root, self.catalog = spark, root, Catalog(spark, index, buckets)
         self.embedder, self.options = embedder, {"policy": policy, "relations_key": relations_key, "stem": stem}
 
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -51,11 +51,12 @@ class Vault:
     def project(self, force: bool = False) -> dict:
         return ingest.project(self.spark, self.catalog, self.root, force=force, **self.options)
 
-    def embed(self) -> int:
-        return ingest.embed(self.catalog, self.embedder)
+    def embed(self, slices: int = 1, stop: Callable[[], bool] | None = None, tag: str | None = None, progress: Callable[[int, int], None] | None = None) -> dict:
+        """{embedded, cancelled}, see ingest.embed: in committed slices, which `stop` or cancelling the jobs of `tag` ends."""
+        return ingest.embed(self.catalog, self.embedder, slices, stop, tag, progress)
 
-    def reindex(self, force: bool = False) -> dict:
-        return self.project(force) | {"embedded": self.embed()}
+    def reindex(self, force: bool = False, slices: int = 1, stop: Callable[[], bool] | None = None, tag: str | None = None) -> dict:
+        return self.project(force) | self.embed(slices, stop, tag)
 
     def status(self) -> DataFrame:
         chunks = self._table("chunks", "note_path string, seq int, text_hash string")
@@ -200,7 +201,7 @@ class Vault:
 
     def plan_reindex(self, force: bool = False) -> DataFrame:
         """(would_index, would_embed) of a run over the files as they are now."""
-        parsed = frontmatter.notes(vault.note_files(vault.files(self.spark, self.root)), self.options["relations_key"])
+        parsed = frontmatter.notes(vault.contents(self.spark, self.root, vault.note_files(vault.listing(self.spark, self.root))), self.options["relations_key"])
         chunks, vectors = self.catalog.table("chunks"), self.catalog.table("embeddings")
         whole = None if chunks is None or vectors is None else ingest.fully_embedded(chunks, vectors)
         return ingest.plan(parsed.filter("reason is null"), self.catalog.table("notes"), whole, force)
@@ -236,8 +237,9 @@ class Vault:
         content = edits.read(self.spark, self.root, path)
         if content is None:
             raise NotFound(path)
-        ingest.project_note(self.spark, self.catalog, path, content, **self.options)
-        return {"indexed": 1} | ({"embedded": self.embed()} if embed else {})
+        file = self.spark.createDataFrame([(path, content)], "path string, content binary")
+        wrote = ingest.project_notes(self.spark, self.catalog, file, **self.options)
+        return {"indexed": 1, "buckets": wrote} | (self.embed() if embed else {})
 
     def add(self, path: str, text: str | bytes) -> dict:
         """A new note or resource, by its text or imported bytes."""

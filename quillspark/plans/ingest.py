@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.functions import chunking, embedders, frontmatter
 from quillspark.operators import discover, graph, lexical
 from quillspark.sources import vault
@@ -53,64 +56,66 @@ def project(spark: SparkSession, catalog: Catalog, root: str, policy: chunking.P
     """Notes, chunks, resources, edges and the lexical index of the files under `root`, without a model.
 
     Notes whose body is as it was keep their chunks; a note that can't be read keeps its old row; what
-    is no longer there goes, and so do vectors that no chunk needs. Returns the report.
+    is no longer there goes, and so do vectors that no chunk needs. Resources are opened only where their size or
+    time is new. Returns the report; its `skipped` is a table (path, reason).
     """
-    files = vault.files(spark, root)
-    parsed = frontmatter.notes(vault.note_files(files), relations_key).persist()
+    listed = stored(vault.listing(spark, root))
+    files = vault.contents(spark, root, vault.note_files(listed))
+    parsed = stored(frontmatter.notes(files, relations_key))
     skipped = parsed.filter("reason is not null").select("path", "reason")
     notes = parsed.filter("reason is null").drop("reason")
-    old_notes, old_chunks = catalog.table("notes"), catalog.table("chunks")
+    old_notes, old_chunks, m = catalog.table("notes"), catalog.table("chunks"), catalog.manifest()
     held = 0
     if old_notes is not None:
         notes = notes.unionByName(old_notes.join(skipped.select("path"), "path", "left_semi"))
         held = old_notes.join(notes.select("path"), "path", "left_anti").count()
-    if old_notes is None or force or catalog.manifest().get("policy") != repr(policy):
+    if old_notes is None or force or m.get("policy") != repr(policy):
         chunks = chunking.chunks(notes, policy)
     else:
         same = notes.join(old_notes.select("path", "body_hash"), ["path", "body_hash"], "left_semi").select("path")
         fresh = chunking.chunks(notes.join(same, "path", "left_anti"), policy)
         chunks = fresh.unionByName(old_chunks.join(same.select(F.col("path").alias("note_path")), "note_path", "left_semi"))
     old_resources = catalog.table("resources")
-    resources = vault.inventory(files, old_resources)
+    opened = vault.unread(listed, old_resources).count()
+    resources = stored(vault.inventory(spark, root, listed, old_resources))
     gone = 0 if old_resources is None else old_resources.join(resources.select("path"), "path", "left_anti").count()
     edges = graph.edges(graph.resolve(graph.body_links(notes), notes, resources), graph.resolve(graph.relation_links(notes), notes, resources))
+    chunks = stored(chunks)  # several tables come from them
     postings, stats = lexical.index(chunks, stem)
     tables = {"notes": notes, "chunks": chunks, "resources": resources, "edges": edges, "postings": postings, "doc_stats": stats}
     vectors = catalog.table("embeddings")
     if vectors is not None:
-        # chunks are written first, as three tables come from them; readers see old and new in one switch
-        tables["chunks"] = chunks = stored(chunks)
         tables["embeddings"] = kept = vectors.join(chunks.select("text_hash"), "text_hash", "left_semi")
         tables["note_centroids"] = _centroids(chunks, kept)
-        tables["postings"], tables["doc_stats"] = lexical.index(chunks, stem)
     catalog.commit(tables, policy=repr(policy), stem=stem)
-    report = {"indexed": notes.count(), "skipped": [tuple(r) for r in skipped.orderBy("path").collect()], "notes_pruned": held, "resources_indexed": resources.count(), "resources_pruned": gone}
-    parsed.unpersist()
-    return report
+    return {"indexed": notes.count(), "skipped": skipped, "notes_pruned": held, "resources_indexed": resources.count(), "resources_opened": opened, "resources_pruned": gone}
 
 
-def project_note(spark: SparkSession, catalog: Catalog, path: str, content: bytes, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True) -> None:
-    """Projects one note that the index has, from its content; a note that can't be read keeps its rows.
+def project_notes(spark: SparkSession, catalog: Catalog, files: DataFrame, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True) -> dict[str, list[int]]:
+    """Projects notes that the index has, from `files` (path, content), writing the buckets they are in and no others, which
+    it returns by table. A note that can't be read keeps its rows.
 
     What other notes' links mean depends on paths alone, so their edges stay, as do all rows of theirs.
-    Its chunks' vectors stay where the text does; vectors that nobody needs go at the next `project`.
+    Chunks' vectors stay where the text does; vectors that nobody needs go at the next `project`.
     """
-    own = catalog.table("notes").filter(F.col("path") == path)
-    file = own.select("path", F.lit(content).alias("content"), "mtime")
-    note = stored(frontmatter.notes(file, relations_key).filter("reason is null").drop("reason"))
-    if note.isEmpty():
-        return
-    rest = lambda name, key: catalog.table(name).filter(F.col(key) != path)
-    chunks = stored(chunking.chunks(note, policy))
-    notes, resources = rest("notes", "path").unionByName(note), catalog.table("resources")
-    edges = graph.edges(graph.resolve(graph.body_links(note), notes, resources), graph.resolve(graph.relation_links(note), notes, resources))
+    at = catalog.touched(files, "path")
+    old = catalog.table("notes", at)
+    known = files.select("path", "content").join(old.select("path", "mtime"), "path")
+    fresh = stored(frontmatter.notes(known, relations_key).filter("reason is null").drop("reason"))
+    if fresh.isEmpty():
+        return {}
+    names = fresh.select("path")
+    rest = lambda name: catalog.table(name, at).join(names.withColumnRenamed("path", schemas.KEYS[name]), schemas.KEYS[name], "left_anti")
+    chunks = stored(chunking.chunks(fresh, policy))
+    # a changed note is where it was, so all paths are those of the index
+    notes, resources = catalog.table("notes"), catalog.table("resources")
+    edges = graph.edges(graph.resolve(graph.body_links(fresh), notes, resources), graph.resolve(graph.relation_links(fresh), notes, resources))
     postings, stats = lexical.index(chunks, stem)
-    new = {"notes": (note, "path"), "chunks": (chunks, "note_path"), "edges": (edges, "src_path"), "postings": (postings, "note_path"), "doc_stats": (stats, "note_path")}
-    tables = {name: rest(name, key).unionByName(rows) for name, (rows, key) in new.items()}
+    new = {"notes": fresh, "chunks": chunks, "edges": edges, "postings": postings, "doc_stats": stats}
     vectors = catalog.table("embeddings")
     if vectors is not None:
-        tables["note_centroids"] = rest("note_centroids", "note_path").unionByName(_centroids(chunks, vectors))
-    catalog.commit(tables)
+        new["note_centroids"] = _centroids(chunks, vectors)
+    return catalog.commit({}, replace={name: (rest(name).unionByName(rows), at) for name, rows in new.items()})
 
 
 def _centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -119,17 +124,52 @@ def _centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return discover.centroids(whole.join(vectors, "text_hash").select("note_path", "seq", "vector"))
 
 
-def embed(catalog: Catalog, embedder: embedders.Embedder) -> int:
-    """Vectors for all chunks that have none, and the centroids; how many were made. Vectors of another
-    model or size go first."""
-    chunks, m = catalog.table("chunks"), catalog.manifest()
+def embed(catalog: Catalog, embedder: embedders.Embedder, slices: int = 1, stop: Callable[[], bool] | None = None, tag: str | None = None, progress: Callable[[int, int], None] | None = None) -> dict:
+    """Vectors for all chunks that have none, and the centroids. Vectors of another model or size go first.
+
+    The texts are embedded in `slices`, by their hash, and each is committed before the next begins, so that a run that
+    ends early leaves whole slices, and the next run makes the others alone. `stop` is asked before each slice;
+    cancelling the jobs that carry `tag` ends the slice that runs. `progress` hears (slices done, slices). Returns
+    {embedded, cancelled}: how many vectors were made, and whether it ended early.
+    """
+    spark, chunks, m = catalog.spark, catalog.table("chunks"), catalog.manifest()
     vectors = catalog.table("embeddings") if (m.get("model"), m.get("dim")) == (embedder.model_id, embedder.dim) else None
-    fresh = embedders.embedded(pending(chunks, vectors), embedder)
-    now = stored(fresh if vectors is None else vectors.unionByName(fresh))
-    catalog.commit({"embeddings": now, "note_centroids": _centroids(chunks, now)}, model=embedder.model_id, dim=embedder.dim)
-    return now.count() - (0 if vectors is None else vectors.count())
+    if vectors is None:
+        # an empty space of this model, so that slices only add to it
+        empty = spark.createDataFrame([], schemas.EMBEDDINGS)
+        catalog.commit({"embeddings": empty, "note_centroids": _centroids(chunks.limit(0), empty)}, model=embedder.model_id, dim=embedder.dim)
+    made, cancelled = 0, False
+    if tag is not None:
+        spark.sparkContext.addJobTag(tag)
+    try:
+        todo = stored(pending(chunks, vectors).select("note_path", "seq", "text_hash", "text"))
+        for n in range(slices):
+            if stop is not None and stop():
+                cancelled = True
+                break
+            own = todo if slices == 1 else todo.filter(F.pmod(F.xxhash64("text_hash"), slices) == n)
+            fresh = stored(embedders.embedded(own, embedder))
+            new = fresh.count()
+            if new:
+                with_new = catalog.table("embeddings").unionByName(fresh)
+                at = catalog.touched(own, "note_path")
+                here = catalog.table("chunks", at)
+                middle = stored(_centroids(here.join(own.select("note_path").distinct(), "note_path", "left_semi"), with_new))
+                left = catalog.table("note_centroids", at).join(middle.select("note_path"), "note_path", "left_anti")
+                catalog.commit({}, replace={"note_centroids": (left.unionByName(middle), at)}, append={"embeddings": fresh})
+            made += new
+            if progress is not None:
+                progress(n + 1, slices)
+    except Exception as e:
+        if tag is None or "cancel" not in str(e).lower():
+            raise
+        cancelled = True
+    finally:
+        if tag is not None:
+            spark.sparkContext.removeJobTag(tag)
+    return {"embedded": made, "cancelled": cancelled}
 
 
 def reindex(spark: SparkSession, catalog: Catalog, root: str, embedder: embedders.Embedder, **options) -> dict:
     report = project(spark, catalog, root, **options)
-    return report | {"embedded": embed(catalog, embedder)}
+    return report | embed(catalog, embedder)

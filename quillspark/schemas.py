@@ -13,4 +13,7 @@ POSTINGS = "term string, note_path string, seq int, tf int"
 DOC_STATS = "note_path string, seq int, dl int"
 
 #: Part of every version folder's name: another layout of the tables is another folder.
-VERSION = "v1"
+VERSION = "v2"
+
+#: What a table lies in buckets by.
+KEYS = {"notes": "path", "chunks": "note_path", "resources": "path", "edges": "src_path", "postings": "note_path", "doc_stats": "note_path", "embeddings": "text_hash", "note_centroids": "note_path"}

@@ -1,64 +1,60 @@
-"""Reading a folder of notes and resources with Spark's own file reader."""
+"""A vault's folder: its files, its notes' contents, the inventory of all others."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schemas
 from quillspark.functions import paths as p
+from quillspark.sources import reader
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime): all files under `root` that no dot hides, by paths within it.
-
-    The driver lists names through Hadoop's file systems, so that any store will do and names that
-    start with an underscore, which Spark's readers pass over, are there.
-    """
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    rows, found = [], fs.listFiles(top, True)
-    while found.hasNext():
-        f = found.next()
-        rows.append((f.getPath().toString().removeprefix(base), f.getLen(), f.getModificationTime() // 1000))
-    listed = spark.createDataFrame(rows, "path string, size long, mtime long")
-    return listed.filter(~p.hidden(F.col("path")))
+    """(path, size, mtime): all files under `root` that no dot hides, by paths within it, listed in tasks. Names that start
+    with an underscore, which Spark's own readers pass over, are there."""
+    return reader.listing(spark, root)
+
+
+def contents(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """(path, content, size, mtime, reason) of the files in `listed`."""
+    return reader.opened(spark, root, listed)
 
 
 def files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """(path, content, size, mtime) of all files under `root` that no dot hides, or of `only` those, read in parallel."""
     if only is not None and not only:
         return spark.createDataFrame([], schemas.FILES)
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
-    # names are names, not patterns
-    places = root if only is None else [f"{root}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in only]
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
-    path = F.regexp_replace(F.replace("path", F.lit(base), F.lit("")), "^file:/+", "/")
-    local = "/" + base.removeprefix("file:").lstrip("/")
-    rows = read.select(F.replace(path, F.lit(local), F.lit("")).alias("path"), "content", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
-    return rows.filter(~p.hidden(F.col("path")))
+    listed = listing(spark, root)
+    if only is not None:
+        # a stated set of names that came from the driver
+        listed = spark.createDataFrame([(x,) for x in only], "path string").select("path", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime"))
+    return contents(spark, root, listed.filter(~p.hidden(F.col("path")))).filter("reason is null").drop("reason")
+
+
+def is_note(path: str = "path"):
+    return p.extension(F.col(path)) == "md"
 
 
 def note_files(all_files: DataFrame) -> DataFrame:
-    return all_files.filter(p.extension(F.col("path")) == "md")
+    return all_files.filter(is_note())
+
+
+def unread(listed: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The resources in `listed` whose content isn't known from `before`: not there, or of another size or time."""
+    rows = listed.filter(~is_note())
+    if before is None:
+        return rows
+    return rows.join(before.filter("content_hash is not null").select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
 
 
-def inventory(all_files: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """The resources table: every file but notes. A file of the same size and time as in `before`
-    keeps its hash; only the others are hashed."""
-    rows = all_files.filter(p.extension(F.col("path")) != "md")
-    own = F.sha2("content", 256)
+def inventory(spark: SparkSession, root: str, listed: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The resources table: every file but notes. A file of the same size and time as in `before` keeps its hash and
+    isn't opened."""
+    rows = reader.hashed(spark, root, unread(listed, before))
     if before is not None:
-        old = before.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.col("content_hash").alias("old"))
-        rows = rows.join(old, "path", "left")
-        own = F.when((F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")), F.col("old")).otherwise(own)
-    return rows.select("path", p.resource_class(F.col("path")).alias("class"), "size", "mtime", own.alias("content_hash"))
+        rows = rows.unionByName(listed.filter(~is_note()).join(before.filter("content_hash is not null").select("path", "size", "mtime", "content_hash"), ["path", "size", "mtime"]))
+    return rows.select("path", p.resource_class(F.col("path")).alias("class"), "size", "mtime", "content_hash")
 
 
 def folders(listed: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_project_and_read(spark, made):
     root, v = made
     assert v.search(["memory"]).count() == 0 and v.status().first()["total"] == 0
     report = v.reindex()
-    assert (report["indexed"], report["resources_indexed"], report["skipped"], report["embedded"]) == (3, 2, [], 3)
+    assert (report["indexed"], report["resources_indexed"], report["resources_opened"], report["skipped"].count(), report["embedded"]) == (3, 2, 2, 0, 3)
     got = [(r["path"], r["label"]) for r in v.neighbors("concepts/memory").orderBy("at").collect()]
     assert got == [("notes/other.md", "referenced-by"), ("notes/repetition.md", "referenced-by"), ("notes/repetition.md", "supported-by")]
     assert [r["target"] for r in v.unresolved("notes/repetition").collect()] == ["gone"]
@@ -100,7 +100,7 @@ def test_unreadable_note_keeps_its_row(made):
     v.reindex()
     (root / "notes/other.md").write_bytes(b"\xff\xfe")
     report = v.project()
-    assert report["skipped"] == [("notes/other.md", "is not valid UTF-8")] and report["notes_pruned"] == 0
+    assert [tuple(r) for r in report["skipped"].collect()] == [("notes/other.md", "is not valid UTF-8")] and report["notes_pruned"] == 0
     assert v.catalog.table("notes").filter("path = 'notes/other.md'").first()["body"].startswith("Reviews")
 
 
@@ -108,7 +108,7 @@ def test_another_model_starts_anew(made):
     _, v = made
     v.reindex()
     v.embedder = embedders.FakeEmbedder(4)
-    assert v.embed() == 3 and v.catalog.manifest()["dim"] == 4 and v.embed() == 0
+    assert v.embed() == {"embedded": 3, "cancelled": False} and v.catalog.manifest()["dim"] == 4 and v.embed()["embedded"] == 0
 
 
 def table(spark, files):
@@ -228,7 +228,7 @@ def test_facade_reads(spark, made):
     assert [r["path"] for r in v.list_resources().collect()] == ["files/curve.png", "files/data.txt"]
     assert v.list_folders() == ["_drafts", "concepts", "empty", "empty/deep", "files", "notes"]
     plan = v.plan_reindex().first()
-    assert (plan["would_index"], plan["would_embed"]) == (3, 0)
+    assert (plan["would_index"], plan["would_embed"]) == (4, 1)  # _drafts/_x.md is a note
     results, verdicts = v.search_evidence(["steep zebra", ""], 2)
     got = {r["query_id"]: r for r in verdicts.collect()}
     assert [(x["term"], x["df"]) for x in got[0]["terms"]] == [("steep", 1), ("zebra", 0)] and got[0]["chunk_total"] == 3
