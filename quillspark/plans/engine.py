@@ -11,10 +11,11 @@ from quillspark import schemas
 from quillspark.functions import chunking, embedders, frontmatter
 from quillspark.functions import text as t
 from quillspark.functions.vectors import cosine
-from quillspark.operators import discover, graph, lexical, search
+from quillspark.operators import changes, discover, graph, lexical, search
 from quillspark.plans import chat, ingest, mutate
 from quillspark.sources import edits, vault
 from quillspark.sources.catalog import Catalog
+from quillspark.sources.store import stored
 
 
 class NotFound(LookupError):
@@ -58,6 +59,25 @@ class Vault:
     def reindex(self, force: bool = False, slices: int = 1, stop: Callable[[], bool] | None = None, tag: str | None = None) -> dict:
         return self.project(force) | self.embed(slices, stop, tag)
 
+    def reconcile(self, changed: DataFrame) -> dict:
+        """Brings the index to the folder's state after `changed` (path, change, hash). Notes that only changed are projected alone,
+        in the buckets they are in; a file that came, went or was renamed may be what any note links to, so then all is
+        projected. Returns how many files were created, changed, deleted and renamed, and which way it went."""
+        kinds = {r["change"]: r["count"] for r in changes.renamed(changed).groupBy("change").count().collect()}
+        report = {k: kinds.get(k, 0) for k in ("created", "changed", "deleted", "renamed")}
+        known = self.catalog.table("notes")
+        other = changed.filter("change <> 'changed'")
+        alone = known is not None and other.isEmpty() and changed.filter(~vault.is_note()).isEmpty() and changed.join(known, "path", "left_anti").isEmpty()
+        if alone:
+            listed = changed.select("path", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+            files = stored(vault.contents(self.spark, self.root, listed).filter("reason is null").select("path", "content"))
+            ingest.project_notes(self.spark, self.catalog, files, **self.options)
+        else:
+            self.project()
+        if self.embedder is not None:
+            report |= self.embed()
+        return report | {"whole": not alone}
+
     def status(self) -> DataFrame:
         chunks = self._table("chunks", "note_path string, seq int, text_hash string")
         return ingest.status(chunks, self.catalog.table("embeddings"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, embedders, paths
 from quillspark.functions import text as t
+from quillspark.operators import changes
 from quillspark.plans import chat, ingest
 from quillspark.plans import tables as x
 from quillspark.streaming import watch
@@ -161,3 +162,26 @@ def rekeyed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 rekeyed_notes_sql = x.sql(x.NOTES, select="SELECT CASE WHEN starts_with(path, 'src1/') THEN 'moved/' || path ELSE path END AS path, body_hash FROM notes")
+
+
+def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files and as they are after a rule: one in seven is gone, of the others one in three lies in
+    another folder, one in five has other text, and one in eleven has a new copy beside it."""
+    d = F.col("doc_id")
+    name = F.concat_ws("/", "source", F.concat(d, F.lit(".md")))
+    rows = x.table(spark, sf_dir, "documents").select("doc_id", name.alias("path"), F.sha2("text", 256).alias("hash"))
+    now = rows.filter(d % 7 != 0).withColumn("hash", F.when(d % 5 == 0, F.sha2(F.concat("hash", F.lit("+")), 256)).otherwise(F.col("hash")))
+    moved = now.select(F.when(d % 3 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), "hash")
+    copies = now.filter(d % 11 == 0).select(F.concat(F.lit("copies/"), "path").alias("path"), "hash")
+    return changes.between(rows.select("path", "hash"), moved.unionByName(copies))
+
+
+document_changes_sql = """WITH a AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, sha256(text) AS hash FROM documents),
+kept AS (SELECT doc_id, path, CASE WHEN doc_id % 5 = 0 THEN sha256(hash || '+') ELSE hash END AS hash FROM a WHERE doc_id % 7 <> 0),
+b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'moved/' || path ELSE path END AS path, hash FROM kept UNION ALL SELECT 'copies/' || path, hash FROM kept WHERE doc_id % 11 = 0),
+gone AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM a WHERE path NOT IN (SELECT path FROM b)),
+came AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM b WHERE path NOT IN (SELECT path FROM a))
+SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NOT NULL THEN g.path END AS old_path,
+  CASE WHEN c.path IS NULL THEN 'deleted' WHEN g.path IS NULL THEN 'created' ELSE 'renamed' END AS change, coalesce(c.hash, g.hash) AS hash
+FROM gone g FULL JOIN came c ON c.hash = g.hash AND c.n = g.n
+UNION ALL SELECT a.path, NULL, 'changed', b.hash FROM a JOIN b USING (path) WHERE a.hash <> b.hash"""

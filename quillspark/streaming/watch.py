@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.paths import hidden
+from quillspark.sources.store import stored
+from quillspark.streaming import folder
 
 
 def relevant(changes: DataFrame, path: str = "path") -> DataFrame:
@@ -27,6 +29,21 @@ def bursts(changes: DataFrame, ts: str = "ts", quiet: str = "300 milliseconds",
     return own.select(*(by or []), F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "changes")
 
 
+def follow(vault, state: str, checkpoint: str, every: str = "300 milliseconds", once: bool = False, shards: int = 16, told: Callable[[dict], None] | None = None) -> StreamingQuery:
+    """Keeps the index of a Vault as its folder is: each batch of created, changed, deleted and renamed files is reconciled, and
+    `told` hears the report. `state` is the folder of the stream's snapshots. A batch that runs again changes nothing."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        own = stored(rows)
+        if not own.isEmpty():
+            report = vault.reconcile(own)
+            if told is not None:
+                told(report)
+
+    writer = folder.changes(vault.spark, vault.root, state, shards).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def changed_files(spark, root: str, every: str = "1 second") -> DataFrame:
     """A stream of new or newer notes under `root`: (path, modified)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
