@@ -132,9 +132,10 @@ def matrix(vectors: list[list | None] | pa.Array) -> np.ndarray:
 
 
 def nearby(ids: pa.Array, queries: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A kernel over vectors (note_path, seq, vector), sorted by note_path and seq: (query_id, note_path, seq, near),
-    the `k` nearest of each query. A matrix product tells which pairs can be among these; their distances are
-    then added up exactly. near is the negative squared distance."""
+    """A kernel over vectors (note_path, seq, vector and, where there is one, skip), sorted by note_path and seq: (query_id, note_path,
+    seq, near), the `k` nearest of each query. A matrix product tells which pairs can be among these; their
+    distances are then added up exactly. near is the negative squared distance. skip has the numbers of the
+    queries that a row is not for."""
     plain = not np.isnan(queries).any()
     size = (queries**2).sum(1) if plain else None
 
@@ -144,15 +145,76 @@ def nearby(ids: pa.Array, queries: np.ndarray, k: int) -> Callable[[Iterator[pa.
             for at in range(0, len(b), step):
                 rows = b.slice(at, step)
                 x = matrix(rows.column("vector"))
+                out = _cells(rows.column("skip")) if "skip" in rows.schema.names else None
                 if plain and x.shape[1] == queries.shape[1] and not np.isnan(x).any():
                     rough = (x**2).sum(1)[:, None] + size - 2 * (x @ queries.T)
                     slack = 1e-9 * (1 + float(np.abs(rough).max(initial=0)))
+                    if out is not None:
+                        rough[out] = np.inf
                     kth = np.partition(rough, k - 1, 0)[k - 1] if len(x) > k else np.full(len(ids), np.inf)
-                    row, query = np.nonzero(rough <= np.minimum(kth, -best.floor) + slack)
+                    row, query = np.nonzero((rough <= np.minimum(kth, -best.floor) + slack) & (rough < np.inf))
                 else:
-                    row, query = (i.ravel() for i in np.indices((len(x), len(ids))))
+                    held = np.ones((len(x), len(ids)), bool)
+                    if out is not None:
+                        held[out] = False
+                    row, query = np.nonzero(held)
                 d2 = distances(x[row], queries[query])
                 best.add(query, -d2, row, pa.Table.from_batches([rows.select(["note_path", "seq"])]))
         yield from best.batches(ids, "near")
 
     return run
+
+
+def _cells(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all numbers in lists; a null list has none."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), n), lists.flatten().to_numpy()
+
+
+def closest(numbers: np.ndarray, queries: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel over vectors (note_path, seq, vector and, where there is one, wanted), sorted by note_path and seq: (no, note_path, seq, d2),
+    the nearest row of each note, in a slice of rows, to any of the `queries` that have the same number; the
+    first row of equally near ones. wanted has the numbers that a row is for. As in `nearby`, distances are added up exactly
+    for those pairs alone that a matrix product leaves."""
+    by = np.argsort(numbers, kind="stable")
+    numbers, queries = numbers[by], queries[by]
+    heads = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else np.zeros(0, np.int64)
+    own, ends = numbers[heads], np.append(heads[1:], len(numbers))
+    plain = not np.isnan(queries).any()
+    size = (queries**2).sum(1) if plain else None
+    group = np.repeat(np.arange(len(heads)), ends - heads)
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+        x = matrix(rows.column("vector"))
+        if plain and x.shape[1] == queries.shape[1] and not np.isnan(x).any():
+            rough = (x**2).sum(1)[:, None] + size - 2 * (x @ queries.T)
+            slack = 1e-9 * (1 + float(np.abs(rough).max(initial=0)))
+        else:
+            row, query = (i.ravel() for i in np.indices((len(x), len(queries))))
+            rough, slack = distances(x[row], queries[query]).reshape(len(x), len(queries)), 0.0
+        if "wanted" in rows.schema.names:
+            row, no = _cells(rows.column("wanted"))
+            at = np.minimum(np.searchsorted(own, no), len(own) - 1)
+            there = own[at] == no
+            held = np.zeros((len(x), len(own)), bool)
+            held[row[there], at[there]] = True
+            rough[~held[:, group]] = np.inf
+        path = rows.column("note_path")
+        new = np.append(True, pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False))
+        note = np.cumsum(new) - 1
+        least = np.minimum.reduceat(np.minimum.reduceat(rough, heads, 1), np.flatnonzero(new), 0)
+        row, query = np.nonzero((rough <= least[note][:, group] + slack) & (rough < np.inf))
+        d2 = distances(x[row], queries[query])
+        order = np.lexsort((row, d2, group[query], note[row]))
+        n, g = note[row][order], group[query][order]
+        first = order[np.append(True, (n[1:] != n[:-1]) | (g[1:] != g[:-1]))[: len(order)]]
+        take = pa.array(row[first])
+        return pa.RecordBatch.from_arrays([pa.array(own[group[query[first]]], pa.int32()), path.take(take), rows.column("seq").take(take), pa.array(d2[first])], ["no", "note_path", "seq", "d2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS // max(1, len(queries)))
+        for b in batches:
+            for at in range(0, len(b) if len(queries) else 0, step):
+                yield block(b.slice(at, step))
+
+    return run

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quillspark.functions.vectors import normalized, squared_l2, strength
+from quillspark.functions import kernels
+from quillspark.functions.vectors import normalized, strength
 from quillspark.operators.search import blocks
+from quillspark.sources.store import stored
 
 #: Scored notes and spread that a z needs.
 LEAST = 12
+#: Chunks of anchors that go to all tasks at once.
+CHUNKS = 4096
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -25,39 +32,83 @@ def shortlist_size(limit: int) -> int:
     return max(200, 20 * limit)
 
 
+def _numbered(some: DataFrame) -> tuple[pa.Array, DataFrame]:
+    """The anchors of a block, and (anchor, no) of them: a row for each of a stated, bounded set."""
+    ids = pc.unique(pa.array(some.select("anchor").toArrow().combine_chunks()["anchor"]))
+    return ids, some.sparkSession.createDataFrame(list(zip(ids.to_pylist(), range(len(ids)), strict=True)), "anchor string, no int")
+
+
+def _closest(vectors: DataFrame, own: DataFrame, names: DataFrame) -> DataFrame:
+    """(anchor, path, d2, seq): how near each note of `vectors` comes to each anchor, by their best pair of chunks. `own` are the anchors'
+    chunks (no, seq, vector), which go to all tasks CHUNKS at a time; each task takes the best of its rows before the shuffle."""
+    rows = vectors.filter("vector is not null").sortWithinPartitions("note_path", "seq")
+    own, out = stored(own.filter("vector is not null")), None
+    parts = max(1, -(-own.count() // CHUNKS))
+    for part in range(parts):
+        some = (own.filter(F.pmod(F.xxhash64("no", "seq"), parts) == part) if parts > 1 else own).select("no", "vector").toArrow().combine_chunks()
+        kernel = kernels.closest(some["no"].to_numpy(), kernels.matrix(pa.array(some["vector"])))
+        found = rows.mapInArrow(kernel, StructType([StructField("no", IntegerType()), vectors.schema["note_path"], vectors.schema["seq"], StructField("d2", DoubleType())]))
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy("no", "note_path").agg(F.min(F.struct("d2", "seq")).alias("p"))
+    return best.join(F.broadcast(names), "no").select("anchor", F.col("note_path").alias("path"), "p.d2", "p.seq")
+
+
 def best_pairs(vectors: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor, path, d2): how near each other note comes to each of `anchors` (anchor), by their best
     pair of chunks. A stated set of anchors, in blocks, against all vectors."""
-    own = vectors.select(F.col("note_path").alias("anchor"), F.col("vector").alias("av")).join(anchors, "anchor", "left_semi")
     out = None
-    for some in blocks(own, "anchor"):
-        pairs = vectors.crossJoin(F.broadcast(some)).filter("anchor <> note_path")
-        best = pairs.groupBy("anchor", F.col("note_path").alias("path")).agg(F.min(squared_l2(F.col("vector"), F.col("av"))).alias("d2"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    for some in blocks(anchors.distinct(), "anchor"):
+        _, names = _numbered(some)
+        own = vectors.join(F.broadcast(names), F.col("note_path") == F.col("anchor")).select("no", "seq", "vector")
+        found = _closest(vectors.select("note_path", "seq", "vector"), own, names)
+        out = found if out is None else out.unionByName(found)
+    return out.filter("anchor <> path").select("anchor", "path", "d2")
 
 
-def similar(vectors: DataFrame, middle: DataFrame, linked: DataFrame, anchors: DataFrame, limit: int, grade: bool = True) -> DataFrame:
-    """(anchor, path, seq, d2, score, z, band, rank): for each of `anchors` (anchor), the `limit`
-    nearest notes by their best pair of chunks.
+def scored(vectors: DataFrame, middle: DataFrame, linked: DataFrame, anchors: DataFrame, limit: int, grade: bool = True) -> DataFrame:
+    """(anchor, path, seq, d2, z): the whole population that `similar` takes its first `limit` from.
 
     `middle` are the centroids; notes in `linked` (a, b, either way) of the anchor and itself are out
     before the shortlist: the nearest by centroid, whose chunks are then compared exactly. z is the
     distance below the mean of all that were compared, in standard deviations of the sample.
     """
-    a = anchors.join(middle.select(F.col("note_path").alias("anchor"), F.col("centroid").alias("own")), "anchor")
+    a = anchors.distinct().join(middle.select(F.col("note_path").alias("anchor"), F.col("centroid").alias("own")), "anchor")
     both = linked.select("a", "b").union(linked.select("b", "a")).union(anchors.select("anchor", "anchor")).toDF("anchor", "note_path").distinct()
-    near = W.partitionBy("anchor").orderBy("c2", "note_path")
-    short = None
+    near = W.partitionBy("query_id").orderBy(F.desc("near"), "note_path")
+    size, out = shortlist_size(limit), None
     for some in blocks(a, "anchor"):
-        coarse = middle.crossJoin(F.broadcast(some)).select("anchor", "note_path", squared_l2(F.col("centroid"), F.col("own")).alias("c2")).join(both, ["anchor", "note_path"], "left_anti")
-        first = coarse.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= shortlist_size(limit)).select("anchor", "note_path")
-        short = first if short is None else short.unionByName(first)
-    own = vectors.select(F.col("note_path").alias("anchor"), F.col("vector").alias("av")).join(anchors, "anchor", "left_semi")
-    exact = short.join(vectors, "note_path").join(own, "anchor").select("anchor", "note_path", F.struct(squared_l2(F.col("vector"), F.col("av")).alias("d2"), "seq").alias("p"))
-    best = exact.groupBy("anchor", "note_path").agg(F.min("p").alias("p")).select("anchor", F.col("note_path").alias("path"), "p.seq", "p.d2")
+        ids, names = _numbered(some)
+        asked = some.toArrow().combine_chunks()
+        centers = kernels.matrix(pa.array(asked["own"]))[pc.index_in(ids, pa.array(asked["anchor"])).to_numpy()]
+        # a row is not for the anchors it is linked with, at most as many as a block has
+        skip = both.join(F.broadcast(names), "anchor").groupBy("note_path").agg(F.collect_list("no").alias("skip"))
+        rows = middle.select("note_path", F.lit(0).alias("seq"), F.col("centroid").alias("vector")).join(skip, "note_path", "left").sortWithinPartitions("note_path")
+        coarse = rows.mapInArrow(kernels.nearby(ids, centers, size), "query_id string, note_path string, seq int, near double")
+        short = coarse.withColumn("k", F.row_number().over(near)).filter(F.col("k") <= size).select(F.col("query_id").alias("anchor"), "note_path")
+        wanted = short.join(F.broadcast(names), "anchor").groupBy("note_path").agg(F.collect_list("no").alias("wanted"))
+        own = vectors.join(F.broadcast(names), F.col("note_path") == F.col("anchor")).select("no", "seq", "vector")
+        found = _closest(vectors.select("note_path", "seq", "vector").join(stored(wanted), "note_path"), own, names)
+        out = found if out is None else out.unionByName(found)
     all_ = W.partitionBy("anchor")
     sd = F.stddev_samp("d2").over(all_)
     z = F.when(F.lit(grade) & (F.count("*").over(all_) >= LEAST) & (sd > 0), (F.avg("d2").over(all_) - F.col("d2")) / sd)
-    rank = F.row_number().over(all_.orderBy("d2", "path")) - 1
-    return best.withColumn("z", z).withColumn("rank", rank).filter(F.col("rank") < limit).select("anchor", "path", "seq", "d2", (-F.sqrt("d2")).alias("score"), "z", strength(F.col("z")).alias("band"), "rank")
+    return out.select("anchor", "path", "seq", "d2", z.alias("z"))
+
+
+def similar(vectors: DataFrame, middle: DataFrame, linked: DataFrame, anchors: DataFrame, limit: int, grade: bool = True) -> DataFrame:
+    """(anchor, path, seq, d2, score, z, band, rank): for each of `anchors` (anchor), the `limit`
+    nearest notes by their best pair of chunks, of those that `scored` compares."""
+    best = scored(vectors, middle, linked, anchors, limit, grade)
+    rank = F.row_number().over(W.partitionBy("anchor").orderBy("d2", "path")) - 1
+    return best.withColumn("rank", rank).filter(F.col("rank") < limit).select("anchor", "path", "seq", "d2", (-F.sqrt("d2")).alias("score"), "z", strength(F.col("z")).alias("band"), "rank")
+
+
+def recheck(population: DataFrame) -> DataFrame:
+    """(anchor, n, mean, sd, largest): z worked out again from a dumped population (anchor, path, d2, z), by sums of its own, and
+    the largest difference from the z it has; null where there is none."""
+    sums = population.groupBy("anchor").agg(F.count("*").alias("n"), F.avg("d2").alias("mean"))
+    off = population.join(sums, "anchor").withColumn("off", F.col("d2") - F.col("mean"))
+    sd = F.sqrt(F.sum(F.col("off") * F.col("off")) / (F.count("*") - 1))
+    spread = off.groupBy("anchor").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.when(F.count("*") > 1, sd).alias("sd"))
+    again = population.join(spread, "anchor").withColumn("again", F.when((F.col("n") >= LEAST) & (F.col("sd") > 0), (F.col("mean") - F.col("d2")) / F.col("sd")))
+    return again.groupBy("anchor").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.max(F.abs(F.col("again") - F.col("z"))).alias("largest"))

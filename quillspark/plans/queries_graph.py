@@ -82,16 +82,6 @@ def inbound_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 inbound_rewrites_sql = x.sql(x.LINKS, select="SELECT dst_path AS path, count(*) AS links, count(DISTINCT src_path) AS notes FROM edges WHERE dst_path IS NOT NULL GROUP BY 1")
 
 
-def local_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, known, _ = _edges(spark, sf_dir)
-    anchors = known.select(F.col("path").alias("anchor"))
-    near = x.ranked(anchors.crossJoin(F.broadcast(spark.range(1, 11))).select("anchor", F.concat(F.lit("g/"), "id").alias("path")), ["anchor"], ["path"])
-    return graph.scene(edges, anchors, near)
-
-
-local_scene_sql = x.sql(x.LINKS, "a AS (SELECT path AS anchor FROM known), l AS (SELECT src_path, dst_path FROM edges WHERE dst_path IS NOT NULL AND src_path <> dst_path), b AS (SELECT src_path AS anchor, dst_path AS path FROM l UNION ALL SELECT dst_path, src_path FROM l), g AS (SELECT 'g/' || i AS path, row_number() OVER (ORDER BY 'g/' || i) - 1 AS rank FROM range(1, 11) t(i))", select="SELECT anchor, anchor AS path, 'focus' AS category, 0 AS edges FROM a UNION ALL SELECT b.anchor, b.path, 'linked', count(*) FROM b JOIN a USING (anchor) GROUP BY ALL UNION ALL SELECT anchor, path, 'ghost', 0 FROM a CROSS JOIN g WHERE rank < 6")
-
-
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hrefs of the pages: which leave the site, and what kind of thing the others name."""
     rows = x.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "target"))

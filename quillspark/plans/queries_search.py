@@ -178,21 +178,41 @@ centroids_sql = x.sql(x.GROUPS, _DISCOVER, select="SELECT note_path, i - 1 AS d,
 
 
 def similar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten near notes of every tenth; at small sizes the shortlist holds every note."""
+    """Ten near notes of every note."""
     g = x.groups(spark, sf_dir)
-    anchors = g.select(F.col("note_path").alias("anchor")).distinct().filter(F.regexp_extract("anchor", "(\\d+)", 1).cast("long") % 10 == 0)
-    found = discover.similar(g, discover.centroids(g), x.group_links(spark, sf_dir), anchors, 10)
+    found = discover.similar(g, stored(discover.centroids(g)), x.group_links(spark, sf_dir), g.select(F.col("note_path").alias("anchor")).distinct(), 10)
     return found.select("anchor", "path", "seq", R("d2"), R("z", 6), "band", "rank")
 
 
-similar_notes_sql = x.sql(x.GROUPS, x.GROUP_LINKS, _DISCOVER, f"""anchors AS (SELECT DISTINCT note_path AS anchor FROM groups WHERE CAST(regexp_extract(note_path, '([0-9]+)', 1) AS BIGINT) % 10 = 0),
+_SCORED = (x.GROUPS, x.GROUP_LINKS, _DISCOVER, f"""anchors AS (SELECT DISTINCT note_path AS anchor FROM groups),
 tied AS (SELECT a, b FROM group_links UNION SELECT b, a FROM group_links UNION SELECT anchor, anchor FROM anchors),
 coarse AS (SELECT anchor, m.note_path, {x.D2.format('m.centroid', 'o.centroid')} AS c2 FROM anchors JOIN middle o ON o.note_path = anchor CROSS JOIN middle m WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.a = anchor AND t.b = m.note_path)),
 short AS (SELECT anchor, note_path FROM coarse QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY c2, note_path) <= 200),
 exact AS (SELECT s.anchor, s.note_path AS path, g.seq, {x.D2.format('g.vector', 'o.vector')} AS d2 FROM short s JOIN groups g ON g.note_path = s.note_path JOIN groups o ON o.note_path = s.anchor),
 best AS (SELECT anchor, path, min(d2) AS d2, arg_min(seq, d2 * 1e6 + seq * 1e-9) AS seq FROM exact GROUP BY ALL),
-graded AS (SELECT *, CASE WHEN count(*) OVER w >= 12 AND stddev_samp(d2) OVER w > 0 THEN (avg(d2) OVER w - d2) / stddev_samp(d2) OVER w END AS z FROM best WINDOW w AS (PARTITION BY anchor))""",
-    select="SELECT anchor, path, seq, round(d2, 9) AS d2, round(z, 6) AS z, CASE WHEN z >= 2.52 THEN 'strong' WHEN z >= 1.96 THEN 'clear' WHEN z IS NOT NULL THEN 'near' END AS band, row_number() OVER (PARTITION BY anchor ORDER BY d2, path) - 1 AS rank FROM graded QUALIFY rank < 10")
+graded AS (SELECT *, CASE WHEN count(*) OVER w >= 12 AND stddev_samp(d2) OVER w > 0 THEN (avg(d2) OVER w - d2) / stddev_samp(d2) OVER w END AS z FROM best WINDOW w AS (PARTITION BY anchor))""")
+similar_notes_sql = x.sql(*_SCORED, select="SELECT anchor, path, seq, round(d2, 9) AS d2, round(z, 6) AS z, CASE WHEN z >= 2.52 THEN 'strong' WHEN z >= 1.96 THEN 'clear' WHEN z IS NOT NULL THEN 'near' END AS band, row_number() OVER (PARTITION BY anchor ORDER BY d2, path) - 1 AS rank FROM graded QUALIFY rank < 10")
+
+
+def score_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole population behind each note's near notes, dumped as a table, and its z worked out again from that."""
+    g = x.groups(spark, sf_dir)
+    dumped = stored(discover.scored(g, stored(discover.centroids(g)), x.group_links(spark, sf_dir), g.select(F.col("note_path").alias("anchor")).distinct(), 10))
+    return discover.recheck(dumped).select("anchor", "n", R("mean"), R("sd"), (F.col("largest") < 1e-9).alias("same"))
+
+
+score_recheck_sql = x.sql(*_SCORED, select="SELECT anchor, count(*) AS n, round(avg(d2), 9) AS mean, round(stddev_samp(d2), 9) AS sd, CASE WHEN count(*) >= 12 AND stddev_samp(d2) > 0 THEN true END AS same FROM best GROUP BY anchor")
+
+
+def local_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each note with the notes it is linked with and the first six of its near ones."""
+    g, links = x.groups(spark, sf_dir), x.group_links(spark, sf_dir)
+    anchors = g.select(F.col("note_path").alias("anchor")).distinct()
+    near = discover.similar(g, stored(discover.centroids(g)), links, anchors, 10)
+    return graph.scene(links.select(F.col("a").alias("src_path"), F.col("b").alias("dst_path")), anchors, near)
+
+
+local_scene_sql = x.sql(*_SCORED, "l AS (SELECT a, b FROM group_links WHERE a <> b), both_ways AS (SELECT a AS anchor, b AS path FROM l UNION ALL SELECT b, a FROM l), ghosts AS (SELECT anchor, path, row_number() OVER (PARTITION BY anchor ORDER BY d2, path) - 1 AS rank FROM graded)", select="SELECT anchor, anchor AS path, 'focus' AS category, 0 AS edges FROM anchors UNION ALL SELECT b.anchor, b.path, 'linked', count(*) FROM both_ways b JOIN anchors USING (anchor) GROUP BY ALL UNION ALL SELECT anchor, path, 'ghost', 0 FROM ghosts WHERE rank < 6")
 
 
 def graph_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
