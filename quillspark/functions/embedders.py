@@ -47,3 +47,20 @@ def embedded(pending: DataFrame, embedder: Embedder) -> DataFrame:
                 yield pd.DataFrame({"text_hash": some["text_hash"], "vector": list(embedder.embed(some["text"].tolist()).astype(np.float32))})
 
     return pending.dropDuplicates(["text_hash"]).select("text_hash", "text").mapInPandas(run, "text_hash string, vector array<float>")
+
+
+def slices_agree(texts: DataFrame, embedder: Embedder, sizes: tuple[int, ...] = (1, 2, 7, BATCH)) -> DataFrame:
+    """(text_hash, largest) of texts (text_hash, text): the largest difference of a text's vector, in any of its dimensions, between
+    being embedded alone and in slices of each of `sizes`. A model that pads its batches soundly has none to speak of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            told = b["text"].tolist()
+            alone = np.concatenate([embedder.embed([t]) for t in told]) if told else np.zeros((0, embedder.dim))
+            most = np.zeros(len(told))
+            for size in sizes:
+                sliced = [embedder.embed(told[k : k + size]) for k in range(0, len(told), size)]
+                most = np.maximum(most, np.abs(np.concatenate(sliced or [alone]).astype(np.float64) - alone).max(axis=1, initial=0))
+            yield pd.DataFrame({"text_hash": b["text_hash"], "largest": most})
+
+    return texts.dropDuplicates(["text_hash"]).select("text_hash", "text").mapInPandas(run, "text_hash string, largest double")

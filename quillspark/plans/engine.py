@@ -37,6 +37,7 @@ class Vault:
 
     def __init__(self, spark: SparkSession, root: str, index: str, embedder: embedders.Embedder | None = None, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True, buckets: int = 32):
         self.spark, self.root, self.catalog = spark, root, Catalog(spark, index, buckets)
+        self.recover()
         self.embedder, self.options = embedder, {"policy": policy, "relations_key": relations_key, "stem": stem}
 
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -243,14 +244,23 @@ class Vault:
     def _put(self, path: str, before: DataFrame, after: DataFrame) -> str:
         """Writes the one note that changed, projects it alone, and returns its revision."""
         row = after.filter(F.col("path") == path).select("path", "content", mutate.revision(F.col("content")).alias("revision")).first()
-        new = before.isEmpty()
-        edits.apply(self.spark, self.root, self.spark.createDataFrame([row[:2]], "path string, content binary"))
-        if new or not path.lower().endswith(".md"):
-            self.project()
-        else:
-            self.project_note(path)
+        alone = not before.isEmpty() and path.lower().endswith(".md")
+        self._apply(self.spark.createDataFrame([row[:2]], "path string, content binary"), then=(lambda: self.project_note(path)) if alone else self.project)
         return row["revision"]
 
+    def _apply(self, contents: DataFrame | None = None, renames: list[tuple[str, str]] = (), gone: list[str] = (), then: Callable[[], object] | None = None) -> list[str]:
+        """Changes the folder and brings the index up to it: both, or neither."""
+        return edits.apply(self.spark, self.root, contents, renames, gone, then or self.project, self.catalog.number())
+
+    def recover(self) -> dict[str, int]:
+        """What a process that died in the middle of a change has left is finished, if the index has it, or undone."""
+        return edits.recover(self.spark, self.root, self.catalog.number())
+
+    def _kinds(self, listed: DataFrame) -> tuple[int, int]:
+        """How many of the files are notes, and how many resources."""
+        n = listed.agg(F.count_if(vault.is_note()).alias("notes"), F.count("*").alias("all")).first()
+        return n["notes"], n["all"] - n["notes"]
+
     def project_note(self, ref: str, embed: bool = False) -> dict:
         """Projects one known note anew and leaves the rows of all others; with `embed`, its vectors too."""
         path = self.resolve(ref)
@@ -310,7 +320,7 @@ class Vault:
             raise mutate.Refused(f"there already: {new}")
         if folder:
             # only names count of the files that just move along
-            inside = vault.listing(self.spark, self.root).filter(hit(F.col("path"))).count()
+            notes, resources = self._kinds(vault.listing(self.spark, self.root).filter(hit(F.col("path"))))
             after, _ = mutate.move_folder(before, own, old, new)
         else:
             before = before.unionByName(self._files([old] if old not in sources else []))
@@ -319,16 +329,14 @@ class Vault:
         was = before.select(place.alias("path"), F.col("content").alias("_was"))
         changed = after.join(was, "path").filter(F.col("content") != F.col("_was")).select("path", "content")
         links = own.filter(hit(dst)).count()
-        rewrote = edits.apply(self.spark, self.root, changed, [(old, new)])
-        self.project()
-        return {"from": old, "to": new, "rewrote": rewrote, "links_rewritten": links} | ({"moved": inside} if folder else {})
+        rewrote = self._apply(changed, [(old, new)])
+        return {"from": old, "to": new, "rewrote": rewrote, "links_rewritten": links} | ({"moved": notes + resources, "moved_notes": notes, "moved_resources": resources} if folder else {})
 
     def delete(self, path: str, folder: bool = False) -> dict:
         """Takes a note, a resource or a whole folder away; `dangled` are the notes whose links now lead nowhere."""
         listed = vault.listing(self.spark, self.root).select("path")
         left, dangled = mutate.delete(listed, self._edges(), path, folder)
-        gone = listed.count() - left.count()
-        notes = [r["path"] for r in dangled.collect()]
-        edits.apply(self.spark, self.root, gone=[mutate.checked(path)])
-        self.project()
-        return {"path": path, "deleted": gone, "dangled": notes}
+        notes, resources = self._kinds(listed.join(left, "path", "left_anti"))
+        sources = [r["path"] for r in dangled.collect()]
+        self._apply(gone=[mutate.checked(path)])
+        return {"path": path, "deleted": notes + resources, "deleted_notes": notes, "deleted_resources": resources, "dangled": sources}

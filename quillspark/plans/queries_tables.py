@@ -185,3 +185,12 @@ SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NOT NULL THEN g.pat
   CASE WHEN c.path IS NULL THEN 'deleted' WHEN g.path IS NULL THEN 'created' ELSE 'renamed' END AS change, coalesce(c.hash, g.hash) AS hash
 FROM gone g FULL JOIN came c ON c.hash = g.hash AND c.n = g.n
 UNION ALL SELECT a.path, NULL, 'changed', b.hash FROM a JOIN b USING (path) WHERE a.hash <> b.hash"""
+
+
+def embedding_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text embedded alone and among others: no difference."""
+    texts = x.table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"), "text")
+    return embedders.slices_agree(texts, embedders.FakeEmbedder(16))
+
+
+embedding_slices_sql = "SELECT DISTINCT sha256(text) AS text_hash, 0.0::DOUBLE AS largest FROM documents"

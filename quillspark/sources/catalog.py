@@ -44,6 +44,10 @@ class Catalog:
         names = [f.getPath().getName() for f in fs.listStatus(path(self.root))]
         return max((int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", x) for x in names) if m), default=0)
 
+    def number(self) -> int:
+        """The number of the manifest that holds; each commit has a higher one."""
+        return self._latest()
+
     def manifest(self) -> dict:
         """tables (name to schema and folders by bucket), buckets, model and dim; empty without an index of this layout."""
         n = self._latest()
