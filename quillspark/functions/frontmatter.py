@@ -1,18 +1,17 @@
-"""Notes from files: the frontmatter's span by expressions, its fields by a small reader."""
+"""Notes from files: the frontmatter's span by expressions, its fields by a small reader of nested values."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import nested
 from quillspark.functions.paths import text_hash
 
 _SPAN = "(?s)^(---[ \\t]*\\r?\\n(?:.*?\\n)??---[ \\t]*(?:\\r?\\n|$))(.*)$"
-_KEY = re.compile(r"^([A-Za-z_][\w-]*):(?:\s+(.*?))?\s*$")
 _FIELDS = ("type", "title", "description", "created", "updated")
 _LISTS = ("aliases", "tags", "relations")
 
@@ -26,60 +25,24 @@ def body(text: Column) -> Column:
     return F.when(span(text) == "", text).otherwise(F.regexp_extract(text, _SPAN, 2))
 
 
-def _scalar(raw: str) -> str | int | float | bool | None:
-    """A plain or quoted scalar; numbers, true, false and null are no text."""
-    raw = raw.strip()
-    if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
-        inside = raw[1:-1]
-        return inside.replace("''", "'") if raw[0] == "'" else re.sub(r'\\(["\\])', r"\1", inside)
-    raw = re.split(r"\s#", raw)[0].strip()
-    if raw in ("", "~", "null"):
-        return None
-    if raw in ("true", "false"):
-        return raw == "true"
-    for kind in (int, float):
-        try:
-            return kind(raw)
-        except ValueError:
-            continue
-    return raw
-
-
 def fields(block: str | None) -> tuple[dict, bool]:
-    """(key to scalar or list, whether the block could be read). Deeper structure is skipped over."""
-    found: dict = {}
-    key = None
-    for line in (block or "").splitlines()[1:-1]:
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        item = re.match(r"^\s*-\s+(.*)$", line)
-        m = _KEY.match(line)
-        if item and key is not None and not isinstance(found[key], str):
-            found[key] = [*(found[key] or []), _scalar(item[1])]
-        elif m and not line[0].isspace():
-            key, raw = m[1], m[2] or ""
-            if key in found:
-                return {}, False
-            if raw[:1] == "[" and raw[-1:] == "]":
-                found[key] = [_scalar(x) for x in re.findall(r'"(?:[^"\\]|\\.)*"|\'[^\']*\'|[^,]+', raw[1:-1]) if x.strip()]
-            elif raw[:1] in ("[", "{") or raw.count('"') % 2:
-                return {}, False
-            else:
-                found[key] = _scalar(raw)
-        elif not line[0].isspace():
-            return {}, False
-    return found, True
+    """(key to scalar, list or map, whether the block could be read)."""
+    try:
+        return nested.tree((block or "").splitlines()[1:-1]), True
+    except nested.Unreadable:
+        return {}, False
 
 
 def _text(value, dates: bool = False) -> str | None:
-    return value if isinstance(value, str) else str(value) if dates and value is not None and not isinstance(value, (list, bool)) else None
+    return value if isinstance(value, str) else str(value) if dates and value is not None and not isinstance(value, (list, dict, bool)) else None
 
 
 def notes(files: DataFrame, relations_key: str = "relations") -> DataFrame:
     """The notes table of files (path, content, mtime and, where there is one, reason) and the reason of each that can't be read.
 
     Content that is no UTF-8 gives a row with a null body and reason. Fields that aren't text are
-    null, dates stay strings, and a block that can't be read leaves the fields empty.
+    null, dates stay strings, and a block that can't be read leaves the fields empty. properties is all of the block, at
+    any depth, as a variant.
     """
     why = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
     rows = files.withColumn("why", why).withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
@@ -95,7 +58,8 @@ def notes(files: DataFrame, relations_key: str = "relations") -> DataFrame:
                 key = relations_key if name == "relations" else name
                 out[name] = [[x for x in f.get(key, []) if isinstance(x, str)] if isinstance(f.get(key), list) else [f[key]] if isinstance(f.get(key), str) else [] for f, _ in own]
             out["readable"] = [ok for _, ok in own]
+            out["properties"] = [nested.as_json(f) for f, _ in own]
             yield out
 
-    schema = "path string, mtime long, body string, reason string, type string, title string, description string, created string, updated string, aliases array<string>, tags array<string>, relations array<string>, readable boolean"
-    return rows.mapInPandas(run, schema).withColumn("body_hash", text_hash(F.col("body")))
+    schema = "path string, mtime long, body string, reason string, type string, title string, description string, created string, updated string, aliases array<string>, tags array<string>, relations array<string>, readable boolean, properties string"
+    return rows.mapInPandas(run, schema).withColumn("properties", F.try_parse_json("properties")).withColumn("body_hash", text_hash(F.col("body")))

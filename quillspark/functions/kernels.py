@@ -73,7 +73,7 @@ def weighed(ids: pa.Array, query: np.ndarray, term: np.ndarray, weight: np.ndarr
         best.add(hit % len(ids), scores[hit], hit // len(ids), rows.select(["note_path", "seq"]).take(pa.array(np.flatnonzero(new))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, size, most = Best(len(ids), k, 9), [], 0, max(1024, min(POSTINGS, (64 << 20) // max(1, len(ids))))
+        best, held, size, most = Best(len(ids), k, 9), [], 0, max(64, min(POSTINGS, (8 << 20) // max(1, len(ids))))
         for b in batches:
             held.append(b)
             size += len(b)

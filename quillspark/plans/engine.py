@@ -158,14 +158,16 @@ class Vault:
         return search.vector_view(vectors, self._asked(queries, True), limit)
 
     def similar(self, refs: list[str], limit: int = 10) -> DataFrame:
-        """Near notes that aren't linked; the model that made the space decides whether they are graded."""
+        """Near notes that aren't linked, with the chunk that is nearest; the model that made the space decides whether they are graded."""
         anchors = self.spark.createDataFrame([(self.resolve(r),) for r in refs], "anchor string")
         vectors = self.catalog.table("embeddings")
         if vectors is None or limit <= 0:
-            return self.spark.createDataFrame([], "anchor string, path string, seq int, d2 double, score double, z double, band string, rank int")
+            return self.spark.createDataFrame([], "anchor string, path string, title string, seq int, excerpt string, d2 double, score double, z double, band string, rank int")
         rows = self.catalog.table("chunks").join(vectors, "text_hash").select("note_path", "seq", "vector")
         linked = self._edges().filter("dst_path is not null").select(F.col("src_path").alias("a"), F.col("dst_path").alias("b"))
-        return discover.similar(rows, self.catalog.table("note_centroids"), linked, anchors, limit, not str(self.catalog.manifest()["model"]).startswith("fake"))
+        near = discover.similar(rows, self.catalog.table("note_centroids"), linked, anchors, limit, not str(self.catalog.manifest()["model"]).startswith("fake"))
+        texts = self.catalog.table("chunks").select(F.col("note_path").alias("path"), "seq", t.head_snippet(F.col("text")).alias("excerpt"))
+        return near.join(texts, ["path", "seq"]).select("anchor", "path", t.title(F.col("path")).alias("title"), "seq", "excerpt", "d2", "score", "z", "band", "rank")
 
     def neighbors(self, ref: str) -> DataFrame:
         anchor = self.spark.createDataFrame([(self.resolve(ref),)], "anchor string")
@@ -204,7 +206,7 @@ class Vault:
         row = frontmatter.notes(file, self.options["relations_key"]).join(file.select("path", mutate.revision(F.col("content")).alias("revision"), F.nullif(frontmatter.span(F.col("content").cast("string")), F.lit("")).alias("frontmatter")), "path").drop("mtime", "relations").first()
         if row["reason"] is not None:
             raise NotFound(f"{path} {row['reason']}")
-        return {k: v for k, v in row.asDict().items() if k != "reason"}
+        return {k: v.toPython() if k == "properties" else v for k, v in row.asDict().items() if k != "reason"}
 
     def explain(self, ref: str) -> dict[str, DataFrame]:
         """What a note is tied to: connections, resources and unresolved, a frame each."""

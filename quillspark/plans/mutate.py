@@ -76,7 +76,7 @@ def relate(files: DataFrame, src: str, verb: str, dst: str, explanation: str | N
     if verb not in p.INVERSE:
         raise Refused(f"no relation: {verb}")
     target = dst.removesuffix(".md")
-    entry = f'  - "{verb} [[{target}]]' + (f" — {explanation}" if explanation else "").replace('"', '\\"') + '"\n'
+    entry = f'  - "{verb} [[{target}]]' + (f" — {explanation}" if explanation else "").replace("\\", "\\\\").replace('"', '\\"') + '"\n'
     text = F.col("content").cast("string")
     block = span(text)
     has = block.rlike(f"(?m)^\\s*-\\s*\"?{verb} \\[\\[\\Q{target}\\E(\\.md)?(\\|[^\\]]*)?\\]\\]")

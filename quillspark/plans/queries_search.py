@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
-from quillspark.operators import discover, graph, lexical, search
+from quillspark.operators import calibrate, discover, graph, lexical, search
 from quillspark.plans import tables as x
 from quillspark.sources.store import stored
 
@@ -235,3 +235,58 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query_terms_sql = x.sql(x.QUERIES, "s AS (SELECT query_id, list_filter(regexp_split_to_array(query, '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '') AS t FROM queries), w AS (SELECT query_id, i - 1 AS pos, t[i] AS word FROM (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM s))", select="SELECT query_id, lower(strip_accents(word)) AS token, arg_min(word, pos) AS word, min(pos) AS pos FROM w GROUP BY 1, 2")
+
+
+_BARS = [0.05, 0.1, 0.2, 0.4, 0.8]
+#: Words without a subject, of four languages.
+_FUNCTION_WORDS = ["the", "of", "and", "to", "in", "de", "la", "et", "les", "der", "die", "und", "ein", "el", "los", "que", "nosuchword"]
+
+
+def _titles(spark, sf_dir):
+    """The first six words of each document as its title, as the tables have none."""
+    return calibrate.title_queries(x.notes(spark, sf_dir).select("path", F.array_join(F.slice(F.split(F.regexp_replace("body", "\\s+", " "), " "), 1, 6), " ").alias("title")))
+
+
+def title_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage bars on this vault: what they cut of its titles, and what they serve of words that it lacks."""
+    postings, stats = _index(spark, sf_dir)
+    titles = _titles(spark, sf_dir)
+    found = calibrate.transfer(postings, stats, titles, calibrate.nonsense(titles, postings, 7), _BARS)
+    return found.select("bar", "cut", "served", "titles", "strangers", R("lowest"), R("highest"))
+
+
+_TITLES = f"""titled AS (SELECT path AS query_id, array_to_string(string_split(regexp_replace(body, '\\s+', ' ', 'g'), ' ')[1:6], ' ') AS query FROM notes),
+titles AS (SELECT * FROM titled WHERE trim(query) <> ''),
+made AS (SELECT query_id, translate(substr(sha256('7:' || query_id || ':' || k), 1, 12), '0123456789', 'ghijklmnop') AS term FROM titles, (SELECT unnest([1, 2, 3]) AS k)),
+asked AS (SELECT query_id, true AS positive, unnest({x.TOKENS.format('query')}) AS term FROM titles UNION ALL SELECT query_id, false, term FROM made WHERE term NOT IN (SELECT term FROM postings)),
+had AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+weights AS (SELECT DISTINCT a.query_id, a.positive, a.term, coalesce(h.df, 0) AS df, ln(((SELECT count(*) FROM stats) + 1) / (coalesce(h.df, 0) + 1)) AS idf FROM asked a LEFT JOIN had h USING (term)),
+covered AS (SELECT query_id, positive, CASE WHEN sum(idf) > 2.220446049250313e-16 THEN sum(CASE WHEN df >= 1 THEN idf ELSE 0 END) / sum(idf) END AS coverage FROM weights GROUP BY ALL),
+every AS (SELECT t.query_id, true AS positive, coalesce(c.coverage, 0) AS coverage FROM titles t LEFT JOIN covered c ON c.query_id = t.query_id AND c.positive UNION ALL SELECT query_id, false, coalesce(coverage, 0) FROM covered WHERE NOT positive)"""
+title_transfer_sql = x.sql(x.NOTES, x.CHUNKS, x.VECTORS, x.QUERIES, x.POSTINGS, _TITLES, f"bars AS (SELECT unnest({_BARS}::DOUBLE[]) AS bar)", select="SELECT bar, count(*) FILTER (positive AND coverage < bar) AS cut, count(*) FILTER (NOT positive AND coverage >= bar) AS served, count(*) FILTER (positive) AS titles, count(*) FILTER (NOT positive) AS strangers, round(min(coverage) FILTER (positive), 9) AS lowest, round(max(coverage) FILTER (NOT positive), 9) AS highest FROM every, bars GROUP BY bar")
+
+
+def function_word_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings, stats = _index(spark, sf_dir)
+    return calibrate.function_words(postings, stats, _FUNCTION_WORDS).select("term", "df", R("idf"), R("share"))
+
+
+function_word_weights_sql = x.sql(x.NOTES, x.CHUNKS, x.VECTORS, x.QUERIES, x.POSTINGS, f"w AS (SELECT unnest({_FUNCTION_WORDS}) AS term), n AS (SELECT count(*) AS n FROM stats), d AS (SELECT term, count(*) AS df FROM postings GROUP BY term), e AS (SELECT w.term, coalesce(df, 0) AS df, n, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM n, w LEFT JOIN d USING (term))", select="SELECT term, df, round(idf, 9) AS idf, round(idf / ln(n + 1), 9) AS share FROM e")
+
+
+def edge_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near linked notes are against all that were compared and aren't linked."""
+    g, links = x.groups(spark, sf_dir), x.group_links(spark, sf_dir)
+    names = g.select(F.col("note_path").alias("anchor")).distinct()
+    scored = stored(discover.scored(g, stored(discover.centroids(g)), links, names, 10))
+    tied = links.select(F.least("a", "b").alias("anchor"), F.greatest("a", "b").alias("path")).distinct()
+    linked = discover.best_pairs(g, tied.select("anchor").distinct()).join(tied, ["anchor", "path"])
+    found = calibrate.edge_bar(linked, calibrate.best_unlinked(scored))
+    return found.select("linked", "n", *[R(c, 7) for c in ("q1", "q2", "q3")])
+
+
+edge_bar_sql = x.sql(*_SCORED, f"""ties AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM group_links),
+near_ties AS (SELECT t.a, t.b, min({x.D2.format('g.vector', 'h.vector')}) AS d2 FROM ties t JOIN groups g ON g.note_path = t.a JOIN groups h ON h.note_path = t.b GROUP BY ALL),
+pairs AS (SELECT true AS linked, 1 - d2 / 2 AS cos FROM near_ties UNION ALL SELECT false, 1 - min(d2) / 2 FROM best GROUP BY least(anchor, path), greatest(anchor, path)),
+placed AS (SELECT linked, cos, row_number() OVER (PARTITION BY linked ORDER BY cos) - 1 AS k, count(*) OVER (PARTITION BY linked) AS n FROM pairs)""",
+    select="SELECT linked, count(*) AS n, " + ", ".join(f"round(max(CASE WHEN k = floor((n - 1) * {q} + 0.5) THEN cos END), 7) AS {name}" for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))) + " FROM placed GROUP BY linked")

@@ -13,10 +13,15 @@ def ranked(spark, *lists):
     return {name: spark.createDataFrame([(1, str(k), 0, n) for n, k in enumerate(own)], "query_id long, note_path string, seq int, rank int") for name, own in zip(("bm25", "vector"), lists, strict=True)}
 
 
-@pytest.mark.parametrize(("a", "b", "first", "size"), [([10, 20, 30], [20, 40, 10], "20", 4), ([1, 2], [2, 1], "2", 2), ([7], [9], "9", 2)])
-def test_fusion(spark, a, b, first, size):
-    got = search.fuse(ranked(spark, a, b)).orderBy(*search.fused_order()).collect()
-    assert got[0]["note_path"] == first and len(got) == size
+def test_fusion(spark):
+    r = random.Random(8)
+    for n in (0, 1, 6, 15):
+        a, b = (r.sample(range(100, 118), k=min(n, 15)) for _ in range(2))
+        got = search.fuse(ranked(spark, a, b)).orderBy(*search.fused_order()).collect()
+        score = lambda k: sum(1 / (60 + own.index(k) + 1) for own in (a, b) if k in own)  # noqa: E731, B023
+        want = sorted({*a, *b}, key=lambda k: (-round(score(k), 12), b.index(k) if k in b else 99, str(k)))  # noqa: B023
+        assert [r["note_path"] for r in got] == [str(k) for k in want]
+        assert [r["score"] for r in got] == pytest.approx([score(k) for k in want])
 
 
 def test_pools():
