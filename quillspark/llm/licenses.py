@@ -105,14 +105,26 @@ def hits(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(tidy(run), "row long, doc_id long, n_words long, words array<string>, places array<long>")
 
 
+def opening(own: DataFrame, index: DataFrame, votes: int) -> DataFrame:
+    """(row, template, start): places that a template's rarest words open. Of the words that a notice must have, its key phrases',
+    only the `votes` with the highest IDF are looked up, and all of these must stand in their relative places. As no notice lacks
+    one of them, none is lost."""
+    rare = F.row_number().over(W.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "place"))
+    few = cut(index.filter("key").withColumn("nth", rare).filter(F.col("nth") <= votes))
+    flat = own.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("at"))))
+    # the tables of templates are of a fixed size
+    met = flat.join(F.broadcast(few), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("start"), "keys").agg(F.count("*").alias("r"))
+    return met.filter(F.col("r") == F.least(F.lit(votes), F.col("keys"))).select("row", "template", "start")
+
+
 def scan(docs: DataFrame, votes: int = 2, share: float = 0.6) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
 
     The base phrases count at all their places, first_word and last_word being the smallest and the
     largest of these (null without any). A template counts where its whole key phrases and `share` of its
-    words stand in their relative places, whatever else the file has; `votes` of its rarest words by the
-    documents of `docs` that have them open such a place.
+    words stand in their relative places, whatever else the file has; `votes` of its key phrases' rarest words, by the
+    documents of `docs` that have them, open such a place, and the other words are looked up at open places alone.
     labels has both kinds, distinct, sorted and joined with commas; score is the largest share of a
     template's words, half of it for a base phrase alone, else 0. A null text is empty. Repeated
     rows stay; an empty table gives no rows.
@@ -120,20 +132,18 @@ def scan(docs: DataFrame, votes: int = 2, share: float = 0.6) -> DataFrame:
     spark = docs.sparkSession
     templates, entries = postings()
     own = cut(hits(docs))
-    flat = own.select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("at")))).select("row", F.col("word"), "at")
-    # the tables of templates are of a fixed size
     known = F.broadcast(spark.createDataFrame(templates, "template int, label string, base boolean, size int, keys int"))
     common = own.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    index = spark.createDataFrame(entries, "word string, template int, place int, key boolean").join(common, "word", "left").join(known, "template")
-    nth = F.row_number().over(W.partitionBy("template").orderBy(F.coalesce("df", F.lit(0)), "place"))
-    # of a text with `share` of the words, so many of the rarest can't all but `votes` - 1 be among the missing
-    index = index.select("word", "template", "place", "key", (nth <= F.col("size") - F.ceil(F.lit(share) * F.col("size")) + votes).alias("rare"))
+    index = cut(spark.createDataFrame(entries, "word string, template int, place int, key boolean").join(common, "word", "left").join(known, "template"))
+    opened = cut(opening(own, index, votes))
+    asked = opened.join(F.broadcast(index.select("template", "word", "place", "key")), "template").withColumn("at", F.col("start") + F.col("place"))
+    there = own.join(opened.select("row").distinct(), "row", "left_semi").select("row", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("at"))))
     votes_of = (
-        flat.join(F.broadcast(cut(index)), "word")
-        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.count("*").alias("n"), F.count_if("key").alias("k"), F.count_if("rare").alias("r"))
+        asked.join(there, ["row", "at", "word"])
+        .groupBy("row", "template", "start")
+        .agg(F.count("*").alias("n"), F.count_if("key").alias("k"))
         .join(known, "template")
-        .filter((F.col("k") == F.col("keys")) & (F.col("base") | ((F.col("r") >= votes) & (F.col("n") >= share * F.col("size")))))
+        .filter((F.col("k") == F.col("keys")) & (F.col("base") | ((F.col("n") >= 2) & (F.col("n") >= share * F.col("size")))))
     )
     found = votes_of.groupBy("row").agg(
         F.count_if("base").alias("n_base"),
