@@ -63,6 +63,28 @@ def test_links_are_all_pairs(spark):
     assert got == want and len(want) > 100
 
 
+def test_spanning_links_join_the_same_components(spark):
+    """Links are true ones, and components are those of all pairs, in clusters and chains of any density."""
+    for n, seed, most in ((400, 3, 5), (300, 5, 2), (300, 6, 8), (500, 8, 1)):
+        fps = near(n, seed, most)
+        rows = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
+        got = {tuple(sorted(r)) for r in simhash_dedup.spanning_links(rows, 4).collect()}
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+        assert got <= want and union_find(range(len(fps)), got) == union_find(range(len(fps)), want)
+
+
+def test_dense_cluster_makes_few_links(spark):
+    """All 2,081 fingerprints within two bits of one: 2,164,240 pairs, but links in proportion to the fingerprints."""
+    middle = 0x5DEECE66D1234567
+    fps = [middle] + [middle ^ 1 << i for i in range(64)] + [middle ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = spark.createDataFrame([(f, n) for n, f in enumerate(signed)], "fp long, rep long")
+    found = simhash_dedup.spanning_links(rows, 4)
+    got = {tuple(sorted(r)) for r in found.collect()}
+    assert len(fps) == 2081 and len(got) < 16000
+    assert set(union_find(range(2081), got).values()) == {0}
+
+
 def test_permuted_tables_are_all_pairs(spark):
     fps = near(400, 4, 4)
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
