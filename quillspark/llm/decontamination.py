@@ -7,6 +7,9 @@ the window and of the item is embedded. The CGK random walk reads a string with
 on by a random bit for each step and byte, so a few edits change few of the walk's symbols; samples
 of symbols from several walks are the keys. A window and an item are compared if a segment of one has
 a key of the other's.
+
+Items too short for that many pieces of eight bytes are cut into one piece more than the edits, so that one stands
+intact wherever the item does; each window around one is compared at once, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, tidy
 
-#: Bytes of a piece; items of fewer than two pieces are too short to tell a leak and match nothing.
+#: Bytes of a piece; shorter pieces are for items that don't have enough of these.
 PIECE = 8
 #: Walks, steps of each, samples from each walk, symbols in a sample.
 WALKS, STEPS, SAMPLES, SYMBOLS = 8, 128, 5, 5
@@ -42,8 +45,8 @@ def plain(text: str | None) -> bytes:
 
 
 def allowed(size: int, rate: float) -> int:
-    """Edits at which an item of `size` bytes still matches: `rate` of it, or what its pieces can tell."""
-    return max(0, min(int(rate * size), size // PIECE - 2))
+    """Edits at which an item of `size` bytes still matches: `rate` of it, but not all of its bytes."""
+    return max(0, min(int(rate * size), size - 1))
 
 
 def distance(item: bytes, window: bytes) -> int:
@@ -100,17 +103,22 @@ def _padded(strings: list[bytes], width: int) -> np.ndarray:
 
 
 class Pieces:
-    """Which 8-byte pieces the items have, and where."""
+    """Which pieces the items have, and where: of 8 bytes and one more than leaves two intact where the item
+    has room for them (two), else one more than the edits, of up to 8 bytes."""
 
     def __init__(self, items: list[bytes], rate: float):
         self.sizes = np.array([len(i) for i in items], np.int64)
         self.edits = np.array([allowed(len(i), rate) for i in items], np.int64)
-        grams, owner, place = [], [], []
+        self.two = (self.edits + 2) * PIECE <= self.sizes
+        grams, owner, place, widths = [], [], [], set()
         for n, item in enumerate(items):
-            count = int(self.edits[n]) + 2
+            count = int(self.edits[n]) + 1 + bool(self.two[n])
+            width = min(PIECE, len(item) // count)
+            widths.add(width)
             for k in range(count):
                 p = k * len(item) // count
-                grams.append(int.from_bytes(item[p : p + PIECE], "little"))
+                # no byte of an item is zero, so pieces of several widths are different numbers
+                grams.append(int.from_bytes(item[p : p + width], "little"))
                 owner.append(n)
                 place.append(p)
         g = np.array(grams, np.uint64)
@@ -119,6 +127,7 @@ class Pieces:
         self.owner, self.place = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
         self.flag = np.zeros(1 << 20, bool)
         self.flag[self._slot(self.grams)] = True
+        self.masks = [np.uint64((1 << 8 * w) - 1) for w in sorted(widths)]
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
@@ -126,17 +135,19 @@ class Pieces:
 
     def near(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(place, number among all pieces) of the pieces in `data` that have another piece of their item
-        near its place: no item-sized window without such pieces can be within the item's edits."""
-        x = np.frombuffer(data, np.uint8)
+        near its place, if it has two: no item-sized window without such pieces can be within the item's edits."""
+        x = np.frombuffer(data + b"\0" * PIECE, np.uint8)
         hits = []
         for off in range(PIECE):
             n = (len(x) - off) // PIECE
             if n > 0 and len(self.grams):
-                g = x[off : off + n * PIECE].view(np.uint64)
-                at = np.flatnonzero(self.flag[self._slot(g)])
-                k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
-                good = self.grams[k] == g[at]
-                hits.append(np.stack([at[good] * PIECE + off, k[good]]))
+                whole = x[off : off + n * PIECE].view(np.uint64)
+                for mask in self.masks:
+                    g = whole & mask
+                    at = np.flatnonzero(self.flag[self._slot(g)])
+                    k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+                    good = self.grams[k] == g[at]
+                    hits.append(np.stack([at[good] * PIECE + off, k[good]]))
         if not hits or not sum(h.shape[1] for h in hits):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, k = np.concatenate(hits, axis=1)
@@ -147,8 +158,8 @@ class Pieces:
         at, post = at[order], post[order]
         owner, place, diagonal = self.owner[post], self.place[post], at - self.place[post]
         # another piece of the item on a diagonal within its edits: a neighbour in this order, but for the same piece again
-        near = np.zeros(len(owner), bool)
-        step, open_ = 1, np.arange(len(owner))
+        near = ~self.two[owner]
+        step, open_ = 1, np.flatnonzero(~near)
         while len(open_):
             open_ = open_[open_ + step < len(owner)]
             other = open_ + step
@@ -216,7 +227,10 @@ class Finder:
         at, post = self.pieces.near(data)
         doc = np.searchsorted(begins, at, "right") - 1
         low, high = begins[doc], begins[doc] + np.array([len(t) for t in texts], np.int64)[doc]
-        own = np.flatnonzero(self._alike(data, at, post, low, high))
+        alike = ~self.pieces.two[self.pieces.owner[post]]
+        far = np.flatnonzero(~alike)
+        alike[far] = self._alike(data, at[far], post[far], low[far], high[far])
+        own = np.flatnonzero(alike)
         owner = self.pieces.owner[post[own]]
         start, most, size = at[own] - self.pieces.place[post[own]], self.pieces.edits[owner], self.pieces.sizes[owner]
         low, high = np.maximum(low[own], start - most), np.minimum(high[own], start + size + most)
@@ -241,8 +255,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block: int |
     """(doc_id, item_id, edits, item_size): each row of `docs` (doc_id, text) in which an item of
     `benchmark` (item_id, text) stands within `rate` of its size in edits, with the fewest edits.
 
-    Case, punctuation and white space don't count. Edits are bytes of the plain texts. Items with a
-    null id or fewer than 16 bytes match nothing; null and empty texts hold nothing. Equal items
+    Case, punctuation and white space don't count. Edits are bytes of the plain texts. A short item may
+    stand within a word. Items with a null id or without letters or digits match nothing; null and empty texts hold nothing. Equal items
     each match; repeated rows each match; an empty table gives no rows. Items are read in blocks of
     `block` bytes (BLOCK, if not given), and each block takes a pass over the documents, without a shuffle.
     """
@@ -256,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block: int |
 
     for r in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         text = plain(r["text"])
-        if len(text) >= 2 * PIECE:
+        if text:
             if size + len(text) > (block or BLOCK) and held:
                 found, held, size = add(found, False), [], 0
             size += len(text)
@@ -283,6 +297,10 @@ def _block(docs: DataFrame, item_ids: list[int], items: list[bytes], rate: float
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """`docs` without the documents that hold an item of the benchmark; a row with a null doc_id stays."""
+    """`docs` (doc_id, text, more) without the documents that hold an item of `benchmark` (item_id, text).
+
+    A row with a null doc_id stays, as do null and empty texts; all rows with a doc_id go if one of them holds
+    an item. Repeated rows stay or go alike. Without items all stay; an empty table gives no rows.
+    """
     found = cut(leaks(docs, benchmark, rate).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti")

@@ -146,3 +146,40 @@ def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a text of some words")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(docs, none).count() == 0 and d.decontaminate(docs, none).count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 5, 9, 12, 20, 28, 40, 60, 79, 80])
+def test_short_items_by_distance_alone(size):
+    """Short items are found wherever a part of the text is within a tenth of their size, and nowhere else."""
+    r = random.Random(size)
+    items = [i for i in {d.plain(words(r, size))[:size].strip() for _ in range(60)} if len(i) == size]
+    finder, texts = d.Finder(items, 0.1), []
+    for kind in ("even", "head", "tail"):
+        for item in items:
+            inside, edits = bytearray(item), int(0.1 * size)
+            where = {"even": range(size), "head": range(2 * edits), "tail": range(size - 2 * edits, size)}[kind]
+            for k in sorted(r.sample(where, edits), reverse=True):
+                if r.random() < 0.6:
+                    inside[k] = r.choice(b"uvwxyz")
+                elif r.random() < 0.5:
+                    del inside[k]
+                else:
+                    inside.insert(k, r.choice(b"uvwxyz"))
+            texts.append(d.plain(words(r, 6)) + b" " + bytes(inside) + b" " + d.plain(words(r, 6)))
+    want = {(a, b): e for a, t in enumerate(texts) for b, i in enumerate(items) if (e := d.distance(i, t)) <= int(0.1 * size)}
+    got = {(a, b): e for a, b, e in finder.find(texts)}
+    assert all((k * len(items) + n, n) in want for k in range(3) for n in range(len(items)))
+    if size < 80:
+        assert got == want
+    else:
+        assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
+def test_items_of_all_sizes_together():
+    """Short and long items in one search: pieces of several widths don't take each other's places."""
+    r = random.Random(77)
+    items = [d.plain(words(r, 60))[:n].strip() for n in (3, 7, 15, 16, 33, 47, 64, 90, 150) for _ in range(4)]
+    texts = [d.plain(words(r, 8)) + b" " + i + b" " + d.plain(words(r, 3)) for i in items] + [b"", items[0], items[-1]]
+    got = {(a, b): e for a, b, e in d.Finder(items, 0.1).find(texts)}
+    want = {(a, b): e for a, t in enumerate(texts) for b, i in enumerate(items) if t and (e := d.distance(i, t)) <= int(0.1 * len(i))}
+    assert got == want and len(want) >= len(items) + 2
