@@ -109,6 +109,8 @@ def test_near_duplicates_against_brute_force(spark, sf):
     want = union_find(fps, links)
     rows = simhash_dedup.near_duplicates(docs).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {d: (f"{fps[d]:016x}", want[d]) for d in fps}
+    dense = simhash_dedup.near_duplicates(docs, dense=True).collect()
+    assert {tuple(r) for r in dense} == {tuple(r) for r in rows}
     kept = simhash_dedup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
 
