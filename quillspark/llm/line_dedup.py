@@ -1,10 +1,10 @@
 """Line dedup by pairwise alignment.
 
 From each line of a document, a run of as few lines as make a block is hashed. A run that several documents
-have links each later holder to the earliest one; such pairs are aligned by patience diff, lines of rare runs
-first, and aligned blocks that are long enough go from the later document. Any block is made of such runs,
+have links each later holder to the earliest one; the runs of such a pair are aligned by patience diff, rare
+ones first, and what is aligned goes from the later document. Any block is made of such runs,
 each of which has an earliest holder of its own, so no block is lost where these differ.
-One alignment keeps one order, so blocks that the two documents have in another order are added to it.
+One alignment keeps one order, so what it leaves is aligned again, until nothing is left.
 Long lines are cut at sentence ends, so that a passage is found inside a longer line as well.
 """
 
@@ -69,7 +69,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def align(pairs: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     """Patience alignment of two documents from their common lines (place in the later, place in the
     earlier, rare). Rare lines are aligned first; the others only where they keep that order."""
-    rows = sorted(set(pairs))
+    rows = sorted(set(pairs), key=lambda x: (x[0], -x[1]))  # of one line's partners, one at most fits an order
     anchors = _increasing([(a, b) for a, b, rare in rows if rare])
     out, bounds, i = [], [(-1, -1), *anchors, (1 << 62, 1 << 62)], 0
     for (a0, b0), (a1, b1) in zip(bounds, bounds[1:], strict=False):
@@ -98,12 +98,35 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) ->
     return out
 
 
+def dealt(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """`pairs` as few runs in which both numbers grow, dealt as in patience sorting: each goes to the run whose
+    last second number is the largest below its own, so that neighbours stay together."""
+    runs, tops, at = [], [], []
+    for a, b in sorted(pairs, key=lambda x: (x[0], -x[1])):
+        i = bisect_left(tops, b)
+        if i:
+            tops[i - 1] = b
+            runs[at[i - 1]].append((a, b))
+        else:
+            tops.insert(0, b)
+            at.insert(0, len(runs))
+            runs.append([(a, b)])
+    return runs
+
+
+def orders(pairs: list[tuple[int, int, bool]]) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of two documents one after the other, which together hold all `pairs`: the patience alignment,
+    then alignments of what it leaves, passages that the documents have in another order."""
+    first = align(pairs)
+    if first:
+        yield first
+        yield from dealt(list({(a, b) for a, b, _ in pairs} - set(first)))
+
+
 def common_blocks(pairs: list[tuple[int, int, bool]], words: dict[int, int], least: int) -> list[int]:
-    """Places in the later document, ascending, that lie in blocks of at least `least` words which the
-    documents have in common, in whatever order: what the alignment has, and each run of common lines
-    that follow each other in both documents but that the alignment leaves or cuts for another's order."""
-    apart = sorted({(a, b) for a, b, _ in pairs}, key=lambda x: (x[1] - x[0], x[0]))
-    return sorted({*blocks(align(pairs), words, least), *blocks(apart, words, least)})
+    """Places in the later document, ascending, that lie in blocks of at least `least` words of any of the
+    documents' alignments."""
+    return sorted({place for aligned in orders(pairs) for place in blocks(aligned, words, least)})
 
 
 def with_blanks(cut: list[tuple[str, int]], gone: list[int]) -> list[int]:
@@ -145,15 +168,14 @@ def windows(words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def runs(docs: DataFrame, least: int = 8) -> DataFrame:
-    """(doc_id, t, place, words, h, g): each run of lines of `least` words or more that has no shorter one at its
-    beginning or at its end. place is the number of its first line among those that aren't blank, words has the words of
-    its lines, t is a hash of the text. h and g are a 128-bit hash of the lines, without white space at their
+    """(doc_id, t, place, lines, h, g): each run of lines of `least` words or more that has no shorter one at its
+    beginning or at its end. place is the number of its first line among those that aren't blank, t is a hash of the text. h and g are a 128-bit hash of the lines, without white space at their
     ends, and of how often the document had the run before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, texts, places, words, sizes, hashes = [], [], [], [], [], []
+            ids, texts, places, sizes, hashes = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
                 own = [x for x in cut_lines(text) if x[1]]
@@ -167,17 +189,15 @@ def runs(docs: DataFrame, least: int = 8) -> DataFrame:
                     nth = had.get(h, 0)
                     had[h] = nth + 1
                     hashes.append(digest(h + nth.to_bytes(8, "little")) if nth else h)
-                    words += counts[k : k + m]
                 ids += [doc_id] * len(spans)
                 texts += [_text_key(text)] * len(spans)
                 places += [k for k, _ in spans]
                 sizes += [m for _, m in spans]
             pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(words, pa.int32())), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "place", "words", "h", "g"])
+            columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "place", "lines", "h", "g"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, t long, place int, words array<int>, h long, g long")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, t long, place int, lines int, h long, g long")
 
 
 def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
@@ -191,19 +211,20 @@ def repeated(docs: DataFrame, least: int = 8) -> DataFrame:
     first = own.groupBy("h", "g").agg(F.min(F.struct("doc_id", "place")).alias("e"), F.count("*").alias("n")).filter("n > 1")
     first = cut(first.select("h", "g", F.col("e.doc_id").alias("early"), F.col("e.place").alias("early_place"), (F.col("n") <= RARE).alias("rare")))
     pairs = own.join(first, ["h", "g"]).filter("doc_id > early")
-    grouped = pairs.groupBy("doc_id", "t", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "words")).alias("pairs"))
+    grouped = pairs.groupBy("doc_id", "t", "early").agg(F.collect_list(F.struct("place", "early_place", "rare", "lines")).alias("pairs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             places = []
             for pairs in b["pairs"]:
-                rows, n = [], {}
+                rows, lines = [], {}
                 for p in pairs:
-                    a, e, rare, words = int(p["place"]), int(p["early_place"]), bool(p["rare"]), p["words"]
-                    for i, w in enumerate(words):
-                        rows.append((a + i, e + i, rare))
-                        n[a + i] = int(w)
-                places.append(common_blocks(rows, n, least))
+                    a = int(p["place"])
+                    rows.append((a, int(p["early_place"]), bool(p["rare"])))
+                    lines[a] = max(int(p["lines"]), lines.get(a, 0))
+                # what is aligned here are runs, each a block by itself
+                starts = common_blocks(rows, dict.fromkeys(lines, least), least)
+                places.append(sorted({a + i for a in starts for i in range(lines[a])}))
             # an object column, so that lists are lists even where all are empty
             yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "places": pd.Series(places, b.index, object)})
 

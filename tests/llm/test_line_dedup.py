@@ -161,3 +161,38 @@ def test_against_brute_force(spark):
         some += bool(gone)
         runs |= {tuple(keys[i:j]) for i, j in all_runs}
     assert some > 60
+
+
+def test_orders_hold_all_pairs():
+    """The first order is a longest one where all lines are rare, later ones have what is left, each grows in both documents."""
+    r = random.Random(17)
+    for _ in range(200):
+        pairs = {(r.randint(0, 20), r.randint(0, 20)) for _ in range(r.randint(0, 30))}
+        got = list(ld.orders([(a, b, True) for a, b in pairs]))
+        assert sorted(p for x in got for p in x) == sorted(pairs)
+        for x in got:
+            assert all(a < c and b < e for (a, b), (c, e) in zip(x, x[1:], strict=False))
+        if pairs:
+            rows, best = sorted(pairs), {}
+            for a, b in rows:
+                best[a, b] = 1 + max((best[c, e] for c, e in rows if c < a and e < b), default=0)
+            assert len(got[0]) == max(best.values())
+
+
+def test_the_alignment_decides(spark, monkeypatch):
+    """What isn't aligned stays: with alignments that find nothing, no line goes."""
+    r = random.Random(18)
+    a, b = sentences(r, 3), sentences(r, 3)
+    docs = [" ".join([*a, *b]), " ".join([*b, *a])]
+    assert probe(spark, *docs) == {1: [], 2: [0, 1, 2, 3, 4, 5]}
+    rows = [(0, 3, True), (1, 4, True), (2, 5, True), (3, 0, True), (4, 1, True), (5, 2, True)]
+    words = dict.fromkeys(range(6), 9)
+    assert ld.common_blocks(rows, words, 8) == [0, 1, 2, 3, 4, 5]
+    monkeypatch.setattr(ld, "align", lambda pairs: [])
+    assert ld.common_blocks(rows, words, 8) == []
+
+
+def test_a_line_between_two_passages_again(spark):
+    """Passages that share a line in one document go whole, though an order has the line once."""
+    p, q, s = "one two three four five six.", "seven eight nine ten eleven twelve.", "a b c d e f g."
+    assert probe(spark, f"{p} {q} {s}", f"{p} {q}\nx\n{q} {s}") == {1: [], 2: [0, 1, 3, 4]}
