@@ -62,39 +62,74 @@ def weighed(ids: pa.Array, query: np.ndarray, term: np.ndarray, weight: np.ndarr
     query, term, weight = query[by], term[by], weight[by]
 
     def block(best: Best, rows: pa.Table) -> None:
-        path, seq = rows.column("note_path").combine_chunks(), rows.column("seq").to_numpy()
-        new = np.concatenate([[True], (seq[1:] != seq[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False)])
-        chunk, tid = np.cumsum(new) - 1, rows.column("tid").to_numpy()
-        low = np.searchsorted(term, tid)
-        n = np.searchsorted(term, tid, "right") - low
-        pair = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        scores = np.bincount(np.repeat(chunk, n) * len(ids) + query[pair], weight[pair] * np.repeat(rows.column("part").to_numpy(), n), (int(chunk[-1]) + 1) * len(ids))
+        new = _new(rows)
+        chunk = np.cumsum(new) - 1
+        row, pair = _pairs(term, rows.column("tid").to_numpy())
+        scores = np.bincount(chunk[row] * len(ids) + query[pair], weight[pair] * rows.column("part").to_numpy()[row], (int(chunk[-1]) + 1) * len(ids))
         hit = np.flatnonzero(scores)
         best.add(hit % len(ids), scores[hit], hit // len(ids), rows.select(["note_path", "seq"]).take(pa.array(np.flatnonzero(new))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, held, size, most = Best(len(ids), k, 9), [], 0, max(64, min(POSTINGS, (8 << 20) // max(1, len(ids))))
-        for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= most:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                last = rows.slice(len(rows) - 1).to_pylist()[0]
-                same = pc.and_(pc.equal(rows.column("note_path"), last["note_path"]), pc.equal(rows.column("seq"), last["seq"]))
-                whole = len(rows) - pc.sum(same).as_py()  # the last chunk may go on
-                for k0, k1 in _parts(rows.slice(0, whole), most):
-                    block(best, rows.slice(k0, k1 - k0))
-                held = rows.slice(whole).to_batches()
-                size = len(rows) - whole
-        if size:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            for k0, k1 in _parts(rows, most):
-                block(best, rows.slice(k0, k1 - k0))
+        best = Best(len(ids), k, 9)
+        for rows in _whole(batches, max(64, min(POSTINGS, (8 << 20) // max(1, len(ids))))):
+            block(best, rows)
         yield from best.batches(ids, "score")
 
     return run
 
 
+def reaching(n: int, query: np.ndarray, term: np.ndarray, weight: np.ndarray, floors: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel over the largest parts of terms (note_path, seq, tid, part) in blocks, sorted by note_path and seq: the rows
+    (note_path, seq, tid) whose term belongs to one of the `n` queries whose bound in the block is its floor or more."""
+    by = np.argsort(term, kind="stable")
+    query, term, weight = query[by], term[by], weight[by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, max(64, min(POSTINGS, (8 << 20) // max(1, n)))):
+            chunk, tid = np.cumsum(_new(rows)) - 1, rows.column("tid").to_numpy()
+            row, pair = _pairs(term, tid)
+            cell = chunk[row] * n + query[pair]
+            bounds = np.bincount(cell, weight[pair] * rows.column("part").to_numpy()[row])
+            alive = np.unique(row[bounds[cell] >= floors[query[pair]]])
+            yield from rows.select(["note_path", "seq", "tid"]).take(pa.array(alive)).combine_chunks().to_batches()
+
+    return run
+
+
+def _new(rows: pa.Table) -> np.ndarray:
+    """Whether each row begins a chunk."""
+    path, seq = rows.column("note_path").combine_chunks(), rows.column("seq").to_numpy()
+    return np.concatenate([[True], (seq[1:] != seq[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False)])
+
+
+def _pairs(term: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the sorted `term`) of each row of `tid` and each query with its term."""
+    low = np.searchsorted(term, tid)
+    n = np.searchsorted(term, tid, "right") - low
+    return np.repeat(np.arange(len(tid)), n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole chunks, of about `most` rows, from rows sorted by chunk."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += len(b)
+        if size >= most:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = rows.slice(len(rows) - 1).to_pylist()[0]
+            same = pc.and_(pc.equal(rows.column("note_path"), last["note_path"]), pc.equal(rows.column("seq"), last["seq"]))
+            whole = len(rows) - pc.sum(same).as_py()  # the last chunk may go on
+            for k0, k1 in _parts(rows.slice(0, whole), most):
+                yield rows.slice(k0, k1 - k0)
+            held = rows.slice(whole).to_batches()
+            size = len(rows) - whole
+    if size:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        for k0, k1 in _parts(rows, most):
+            yield rows.slice(k0, k1 - k0)
+
+
 def _parts(rows: pa.Table, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole chunks of about `most` postings."""
     if not len(rows):

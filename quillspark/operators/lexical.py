@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillspark.functions import kernels
 from quillspark.functions import text as t
+from quillspark.sources.store import stored
 
 KEYS = ["note_path", "seq"]
 #: Distinct terms of a query set that are broadcast at most.
 TERMS = 65_536
+#: Blocks of chunks, or terms of these, that are broadcast at most.
+BLOCKS = 1 << 20
 
 
 def index(chunks: DataFrame, stem: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -76,17 +83,22 @@ def top(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
 
 
-def best(postings: DataFrame, stats: DataFrame, words: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """`top` of `bm25`, from postings with dl, without a row for each query and chunk that share a word.
+class Asked(NamedTuple):
+    """A block of queries and the postings of its terms: numbers of query and term with their weight, own
+    (note_path, seq, tid, part), a chunk's part of term number tid."""
 
-    The queries' words, a stated set, come in blocks of about TERMS; a block's weights go to all tasks. Its terms'
-    postings are shuffled once, by chunk, and each task scores its chunks for all queries of the block and keeps
-    `limit` of them a query.
-    """
+    ids: pa.Array
+    query: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    own: DataFrame
+
+
+def asked(postings: DataFrame, stats: DataFrame, words: DataFrame, k1: float = 1.2, b: float = 0.75) -> Iterator[Asked]:
+    """The queries' words, a stated set, in blocks of about TERMS; a block's terms go to all tasks."""
     total, avgdl = stats.agg(F.count("*"), F.avg("dl")).first()
     wanted = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     parts = max(1, -(-wanted.count() // TERMS))
-    schema, found = StructType([words.schema["query_id"], *[postings.schema[c] for c in KEYS], StructField("score", DoubleType())]), None
     for part in range(parts):
         some = wanted.filter(F.pmod(F.xxhash64("query_id"), parts) == part) if parts > 1 else wanted
         n = of_terms(postings, some).groupBy("term").agg(F.count("*").alias("n"))
@@ -95,11 +107,59 @@ def best(postings: DataFrame, stats: DataFrame, words: DataFrame, limit: int, k1
         holders = rows["n"].to_numpy()
         odds = (total - holders + 0.5) / (holders + 0.5)
         weight = rows["times"].to_numpy() * np.where(odds > 1, np.log(odds), 1e-6)
-        kernel = kernels.weighed(ids, pc.index_in(rows["query_id"], ids).to_numpy(), pc.index_in(rows["term"], terms).to_numpy(), weight, limit)
         known = postings.sparkSession.createDataFrame(list(zip(terms.to_pylist(), range(len(terms)), strict=True)), "term string, tid int")
         length = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
         own = postings.join(F.broadcast(known), "term").select(*KEYS, "tid", (F.col("tf") * (k1 + 1) / length).alias("part"))
-        kept = own.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(kernel, schema)
+        yield Asked(ids, pc.index_in(rows["query_id"], ids).to_numpy(), pc.index_in(rows["term"], terms).to_numpy(), weight, own)
+
+
+def _scored(a: Asked, own: DataFrame, schema: StructType, limit: int) -> DataFrame:
+    """Each task's `limit` best chunks of each query, from postings shuffled by chunk."""
+    return own.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(kernels.weighed(a.ids, a.query, a.term, a.weight, limit), schema)
+
+
+def _schema(postings: DataFrame, words: DataFrame) -> StructType:
+    return StructType([words.schema["query_id"], *[postings.schema[c] for c in KEYS], StructField("score", DoubleType())])
+
+
+def reaching(a: Asked, schema: StructType, limit: int, run: int = 8) -> DataFrame:
+    """a.own without postings that no query's `limit` best chunks need.
+
+    `run` successive chunks of a note are a block. The largest part of each term in each block is summed where the
+    postings lie; a query's weights times these bound its chunks there. The blocks of the `limit` largest bounds are
+    scored, which gives each query a score that its last chunk has at least, and a block whose bound is below that of each query with
+    the term gives none of the term's postings. What a chunk then lacks can't lift it to that score.
+    """
+    own = a.own.withColumn("block", F.struct("note_path", F.floor(F.col("seq") / run).cast(schema["seq"].dataType).alias("seq")))
+    tops = stored(own.groupBy("block", "tid").agg(F.max("part").alias("part")).select("block.*", "tid", "part"))
+    best_blocks = top(_scored(a, tops, schema, limit), limit).select(F.struct(*KEYS).alias("block")).distinct()
+    first = stored(best_blocks)
+    sure = top(_scored(a, own.join(_small(first), "block", "left_semi").drop("block"), schema, limit), limit)
+    last = sure.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == limit).toArrow().combine_chunks()
+    floors = np.full(len(a.ids), -np.inf)
+    # scores are told apart at nine digits
+    floors[pc.index_in(last["query_id"], a.ids).to_numpy().astype(np.int64)] = last["score"].to_numpy() - 1e-8
+    kernel = kernels.reaching(len(a.ids), a.query, a.term, a.weight, floors)
+    alive = tops.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(kernel, StructType([*[schema[c] for c in KEYS], StructField("tid", IntegerType())]))
+    alive = stored(alive.select(F.struct(*KEYS).alias("block"), "tid"))
+    return own.join(_small(alive), ["block", "tid"], "left_semi").drop("block")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has BLOCKS rows at most; a longer one is joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BLOCKS else rows
+
+
+def best(postings: DataFrame, stats: DataFrame, words: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, bounded: bool = False) -> DataFrame:
+    """`top` of `bm25`, from postings with dl, without a row for each query and chunk that share a word.
+
+    Postings are shuffled once, by chunk, and each task scores its chunks for all queries of a block and keeps
+    `limit` of them a query. `bounded` leaves out those that `reaching` proves idle: two more passes over the asked
+    terms' postings, for a shuffle of few of them. The rows are the same.
+    """
+    schema, found = _schema(postings, words), None
+    for a in asked(postings, stats, words, k1, b):
+        kept = _scored(a, reaching(a, schema, limit) if bounded else a.own, schema, limit)
         found = kept if found is None else found.unionByName(kept)
     return top(found, limit)
 

@@ -97,6 +97,16 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 keyword_search_sql = x.sql(*_ALL, select="SELECT query_id, note_path, seq, round(score, 7) AS score, rank FROM sparse WHERE rank < 10")
 
 
+def bounded_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search that shuffles the postings of blocks alone that can reach a query's last place."""
+    postings, stats = _index(spark, sf_dir)
+    found = lexical.best(postings, stats, lexical.query_words(x.queries(spark, sf_dir)), 10, bounded=True)
+    return found.select("query_id", "note_path", "seq", R("score", 7), "rank")
+
+
+bounded_keyword_search_sql = keyword_search_sql
+
+
 def keyword_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search over stems, as a vault has it by default; SQL has no stemmer, so a test holds it against brute force."""
     postings, stats = _index(spark, sf_dir, True)

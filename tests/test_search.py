@@ -49,6 +49,26 @@ def test_bm25_against_fts5(spark):
         assert all(abs(got[n][k] - v) < 1e-9 for k, v in want.items())
 
 
+def test_bounded_search_moves_few_postings(spark):
+    """The same rows as without bounds, ties and queries of few hits included; common words' postings mostly stay."""
+    r = random.Random(23)
+    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(300)]
+    text = lambda: " ".join([*r.choices(common, k=r.randint(5, 40)), *r.sample(rare, k=r.choice((0, 0, 0, 1, 2)))])
+    rows = [(f"n{n}", k, text()) for n in range(250) for k in range(16)]
+    rows += [("same", k, "c1 r1 r2") for k in range(30)] + [("empty", 0, ""), ("once", 0, "seldom c2")]
+    postings, stats = lexical.index(spark.createDataFrame(rows, "note_path string, seq int, text string").repartition(4))
+    postings = postings.cache()
+    asked = [*(f"{rare[n]} {rare[n + 40]} " + " ".join(common[:12]) for n in range(20)), "seldom c2", "missing", "", "c1 r1 c1", "c3"]
+    words = lexical.query_words(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    for limit in (1, 7):
+        rows = [[tuple(x)[:3] + (round(x["score"], 8), x["rank"]) for x in lexical.best(postings, stats, words, limit, bounded=b).orderBy("query_id", "rank").collect()] for b in (False, True)]
+        assert rows[0] == rows[1] and len(rows[0]) > 20 * limit
+    some = words.filter("query_id < 5")
+    (a,) = lexical.asked(postings, stats, some)
+    moved = lexical.reaching(a, lexical._schema(postings, some), 7).count()
+    assert 0 < moved < a.own.count() / 5
+
+
 def coverage(spark, total, dfs):
     terms = [f"t{k}" for k in range(len(dfs))]
     postings = spark.createDataFrame([(x, "n", k, 1) for x, df in zip(terms, dfs, strict=True) for k in range(df)] or [("other", "n", 0, 1)], "term string, note_path string, seq int, tf int")
