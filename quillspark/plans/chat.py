@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,51 @@ from quillspark.functions import text as t
 PASSAGES = 10
 
 
+class FakeModel:
+    """Answers that follow from the prompt alone: every passage cited once, one marker a token; for tests."""
+
+    #: What it says where there is no passage.
+    NOTHING = "The notes have nothing on this."
+
+    def __call__(self, prompt: str, question: str) -> Iterator[str]:
+        marks = re.findall(r"(?m)^\[\d+\](?= )", prompt)
+        yield "As the notes say:" if marks else self.NOTHING
+        yield from (f" {m}" for m in marks)
+
+
+def event_tokens(lines: Iterable[bytes]) -> Iterator[str]:
+    """Tokens of a streamed chat answer (server-sent events, as a model's HTTP client hands on its lines), to be the
+    iterator that `answers` asks for. Comments and other fields are passed over, data lines of one event belong together.
+    A stream that ends before it says so, an error in it and data that isn't JSON are a ConnectionError."""
+    done, data = False, []
+    for line in _closed(lines):
+        if line.startswith(b"data:"):
+            data.append(line[5:].removeprefix(b" "))
+        elif not line and data:
+            told, data = b"\n".join(data), []
+            if told.strip() == b"[DONE]":
+                return
+            try:
+                event = json.loads(told)
+            except ValueError:
+                raise ConnectionError(f"not JSON: {told[:80]!r}") from None
+            if not isinstance(event, dict) or event.get("error"):
+                raise ConnectionError(f"the model says: {event!r}")
+            for choice in (event.get("choices") or [])[:1]:
+                if token := (choice.get("delta") or {}).get("content"):
+                    yield token
+                done = done or choice.get("finish_reason") is not None
+    if not done:
+        raise ConnectionError("the answer was cut off")
+
+
+def _closed(lines: Iterable[bytes]) -> Iterator[bytes]:
+    """Lines without their ends, and a blank one that closes the last event."""
+    for line in lines:
+        yield line.rstrip(b"\r\n")
+    yield b""
+
+
 def questions(turns: DataFrame, rewrite: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
     """(query_id, question, query) of each conversation in turns (conv_id, turn, role, text): the last
     user turn, and what to search for. A conversation of one turn is its own query; of others,

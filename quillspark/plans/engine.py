@@ -36,6 +36,8 @@ class Vault:
     MODELS = {"BAAI/bge-base-en-v1.5": 768, "BAAI/bge-small-en-v1.5": 384}
 
     def __init__(self, spark: SparkSession, root: str, index: str, embedder: embedders.Embedder | None = None, policy: chunking.Policy = chunking.Policy(), relations_key: str = "relations", stem: bool = True, buckets: int = 32):
+        if embedder is not None and self.MODELS.get(embedder.model_id, embedder.dim) != embedder.dim:
+            raise ModelMismatch(f"{embedder.model_id} has vectors of {self.MODELS[embedder.model_id]}, not of {embedder.dim}")
         self.spark, self.root, self.catalog = spark, root, Catalog(spark, index, buckets)
         self.recover()
         self.embedder, self.options = embedder, {"policy": policy, "relations_key": relations_key, "stem": stem}
@@ -307,9 +309,13 @@ class Vault:
             self._put(a, before, after)
         return {"src_path": a, "dst_path": b, "relation": verb, "created": created}
 
-    def move(self, old: str, new: str, folder: bool = False) -> dict:
-        """A note, a resource or a whole folder to another place, links to it with it. The report has the
-        notes that were rewritten, by the places they have now, and how many links that took."""
+    def move(self, old: str, new: str, folder: bool | None = None) -> dict:
+        """A note, a resource or a whole folder to another place, links to it with it; unless `folder` says which, what stands
+        at the place decides. The report has the notes that were rewritten, by the places they have now, how many links that
+        took, and the notes that link to it without having moved (`touched`)."""
+        if folder is None:
+            folder = edits.is_folder(self.spark, self.root, old)
+            old, new = (old.rstrip("/"), new.rstrip("/")) if folder else (old, new)
         mutate.checked(old), mutate.checked(new)
         hit = (lambda c: c.startswith(f"{old}/")) if folder else (lambda c: c == old)
         dst = F.coalesce("dst_path", "dst_resource_path")
@@ -331,11 +337,16 @@ class Vault:
         was = before.select(place.alias("path"), F.col("content").alias("_was"))
         changed = after.join(was, "path").filter(F.col("content") != F.col("_was")).select("path", "content")
         links = own.filter(hit(dst)).count()
+        touched = [r["src_path"] for r in own.filter(hit(dst) & ~hit(F.col("src_path"))).select("src_path").distinct().orderBy("src_path").collect()]
         rewrote = self._apply(changed, [(old, new)])
-        return {"from": old, "to": new, "rewrote": rewrote, "links_rewritten": links} | ({"moved": notes + resources, "moved_notes": notes, "moved_resources": resources} if folder else {})
-
-    def delete(self, path: str, folder: bool = False) -> dict:
-        """Takes a note, a resource or a whole folder away; `dangled` are the notes whose links now lead nowhere."""
+        return {"from": old, "to": new, "rewrote": rewrote, "links_rewritten": links, "touched": touched} | ({"moved": notes + resources, "moved_notes": notes, "moved_resources": resources} if folder else {})
+
+    def delete(self, path: str, folder: bool | None = None) -> dict:
+        """Takes a note, a resource or a whole folder away; unless `folder` says which, what stands at the place decides.
+        `dangled` are the notes whose links now lead nowhere."""
+        if folder is None:
+            folder = edits.is_folder(self.spark, self.root, path)
+            path = path.rstrip("/") if folder else path
         listed = vault.listing(self.spark, self.root).select("path")
         left, dangled = mutate.delete(listed, self._edges(), path, folder)
         notes, resources = self._kinds(listed.join(left, "path", "left_anti"))

@@ -76,10 +76,12 @@ def relate(files: DataFrame, src: str, verb: str, dst: str, explanation: str | N
     if verb not in p.INVERSE:
         raise Refused(f"no relation: {verb}")
     target = dst.removesuffix(".md")
-    entry = f'  - "{verb} [[{target}]]' + (f" — {explanation}" if explanation else "").replace("\\", "\\\\").replace('"', '\\"') + '"\n'
+    quoted = lambda x: x.replace("\\", "\\\\").replace('"', '\\"')
+    entry = '  - "' + quoted(f"{verb} [[{target}]]" + (f" — {explanation}" if explanation else "")) + '"\n'
     text = F.col("content").cast("string")
     block = span(text)
-    has = block.rlike(f"(?m)^\\s*-\\s*\"?{verb} \\[\\[\\Q{target}\\E(\\.md)?(\\|[^\\]]*)?\\]\\]")
+    there = f"(\\Q{target}\\E|\\Q{quoted(target)}\\E)"  # plain, or as quotes have it
+    has = block.rlike(f"(?m)^\\s*-\\s*\"?{verb} \\[\\[{there}(\\.md)?(\\|[^\\]]*)?\\]\\]")
     line = f"(?m)^{relations_key}:[ \\t]*$\\n"
     rest = F.substring(text, F.length(block) + 1, F.length(text))
     into = F.when(block.rlike(line), F.concat(F.regexp_extract(block, f"(?s)^(.*?{line})", 1), F.lit(entry), F.regexp_replace(block, f"(?s)^.*?{line}", ""))).when(block == "", F.lit(f"---\n{relations_key}:\n{entry}---\n")).otherwise(F.concat(F.regexp_replace(block, "---[ \\t]*\\r?\\n?$", ""), F.lit(f"{relations_key}:\n{entry}---\n")))

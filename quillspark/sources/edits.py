@@ -39,6 +39,12 @@ def exists(spark: SparkSession, root: str, at: str) -> bool:
     return fs.exists(path(f"{root}/{at}"))
 
 
+def is_folder(spark: SparkSession, root: str, at: str) -> bool:
+    fs, path = _store(spark, root)
+    at = path(f"{root}/{at}")
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
 def make_folder(spark: SparkSession, root: str, at: str) -> bool:
     """Makes a folder and those above it; False where there is one."""
     fs, path = _store(spark, root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 
@@ -249,6 +250,72 @@ def test_ask(made):
     assert (cut["answer"], cut["cancelled"]) == ("", True)
 
 
+def test_event_tokens():
+    """Tokens of a stream of events; one that is cut off, in error or garbled leaves what there was and fails."""
+    piece = lambda x, end=None: {"choices": [{"delta": {"content": x}, "finish_reason": end}]}
+
+    def said(lines):
+        out, whole = [], True
+        try:
+            for x in chat.event_tokens(lines):
+                out.append(x)
+        except ConnectionError:
+            whole = False
+        return "".join(out), whole
+
+    stream = lambda *xs: [line for x in xs for line in (b": still here\n", b"event: m\n", x if isinstance(x, bytes) else b"data: " + json.dumps(x).encode() + b"\r\n", b"\r\n")]
+    assert said(stream(piece("It "), piece("is."), b"data: [DONE]\n", piece("late"))) == ("It is.", True)
+    assert said(stream(piece("It "), piece("is.", "stop"))) == ("It is.", True)
+    assert said(stream(piece("It "), piece("is."))) == ("It is.", False)
+    assert said([]) == ("", False)
+    assert said(stream(piece("It "), {"error": {"message": "busy"}}, piece("is."))) == ("It ", False)
+    assert said(stream(piece("It "), b"data: {nothing\n", piece("is."))) == ("It ", False)
+    assert said(stream(piece("It", "stop"))[:-1]) == ("It", True)  # the last event needs no blank line
+    halves = [b'data: {"choices": [{"delta":\n', b'data: {"content": "one"}}]}\n', b"\n", b"data:[DONE]\n"]
+    assert said(halves) == ("one", True)
+    assert said(stream({"choices": []}, {"usage": 3}, piece(None), piece("x"), b"data: [DONE]")) == ("x", True)
+
+
+def test_fake_model_cites_all_passages(spark, made):
+    _, v = made
+    v.reindex()
+    got = v.ask("spaced reviews", chat.FakeModel()).first()
+    assert not got["cancelled"] and [c["marker"] for c in got["citations"]] == list(range(1, len(got["citations"]) + 1)) != []
+    none = chat.FakeModel()("no passage at all", "q")
+    assert list(none) == [chat.FakeModel.NOTHING]
+
+
+def test_what_stands_there_decides(spark, made, tmp_path):
+    """A folder, a note and a resource move and go by their places alone; links from outside are named."""
+    root, v = made
+    v.reindex()
+    moved = v.move("concepts/", "ideas/")
+    assert (moved["moved_notes"], moved["moved_resources"], moved["touched"]) == (1, 0, ["notes/other.md", "notes/repetition.md"])
+    assert (root / "ideas/memory.md").exists() and v.resolve("ideas/memory") == "ideas/memory.md"
+    one = v.move("files/curve.png", "files/line.png")
+    assert "moved" not in one and one["touched"] == ["notes/repetition.md"]
+    gone = v.delete("files")
+    assert (gone["deleted_notes"], gone["deleted_resources"], gone["dangled"]) == (0, 2, ["notes/repetition.md"])
+    assert v.delete("notes/other.md")["deleted_notes"] == 1
+
+
+def test_known_models_have_their_size(spark, tmp_path):
+    small = embedders.FakeEmbedder(8)
+    small.model_id = next(iter(engine.Vault.MODELS))
+    with pytest.raises(engine.ModelMismatch):
+        engine.Vault(spark, str(tmp_path), f"file://{tmp_path}/index", small)
+
+
+def test_relations_to_quoted_places(spark):
+    """Quotes and backslashes in a place and in what is said are written so that they are read back."""
+    files = spark.createDataFrame([("a.md", b"body\n")], "path string, content binary")
+    once = mutate.relate(files, "a.md", "supports", 'x "y" \\z.md', 'so "it" \\ is')
+    twice = mutate.relate(once, "a.md", "supports", 'x "y" \\z.md', "again")
+    text = once.first()["content"].decode()
+    assert twice.first()["content"].decode() == text
+    assert '  - "supports [[x \\"y\\" \\\\z]] — so \\"it\\" \\\\ is"\n' in text
+
+
 def test_facade_changes(spark, made, tmp_path):
     root, v = made
     v.reindex()
