@@ -4,7 +4,6 @@ found, the weight of its function words, and how near its authored links lie."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.vectors import cosine
@@ -70,4 +69,4 @@ def self_ranks(hits: DataFrame, titles: DataFrame) -> DataFrame:
 def best_unlinked(scored: DataFrame) -> DataFrame:
     """(a, b, d2): of a scored population (anchor, path, d2) each two notes once."""
     pair = scored.select(F.least("anchor", "path").alias("a"), F.greatest("anchor", "path").alias("b"), "d2")
-    return pair.withColumn("n", F.row_number().over(W.partitionBy("a", "b").orderBy("d2"))).filter("n = 1").drop("n")
+    return pair.groupBy("a", "b").agg(F.min("d2").alias("d2"))

@@ -289,9 +289,9 @@ def edge_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, links = x.groups(spark, sf_dir), x.group_links(spark, sf_dir)
     names = g.select(F.col("note_path").alias("anchor")).distinct()
     scored = stored(discover.scored(g, stored(discover.centroids(g)), links, names, 10))
-    tied = links.select(F.least("a", "b").alias("anchor"), F.greatest("a", "b").alias("path")).distinct()
-    linked = discover.best_pairs(g, tied.select("anchor").distinct()).join(tied, ["anchor", "path"])
-    found = calibrate.edge_bar(linked, calibrate.best_unlinked(scored))
+    tied = links.select(F.least("a", "b").alias("anchor"), F.greatest("a", "b").alias("note_path")).distinct()
+    linked = stored(discover.pair_distances(g, tied))
+    found = calibrate.edge_bar(linked, stored(calibrate.best_unlinked(scored)))
     return found.select("linked", "n", *[R(c, 7) for c in ("q1", "q2", "q3")])
 
 
