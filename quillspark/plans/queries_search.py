@@ -40,11 +40,12 @@ _indexes: dict[tuple[str, str, bool], tuple] = {}
 
 
 def _index(spark, sf_dir, stem=False):
-    """The index is a table before it is asked, as in a vault: one for each folder of data and session."""
+    """The index is a table before it is asked, as in a vault: one for each folder of data and session. Postings are written
+    where their chunks were read: what asks for terms reads all of them and keeps its own, so no order by term pays for a shuffle."""
     key = (spark.sparkContext.applicationId, sf_dir, stem)
     if key not in _indexes:
         postings, stats = lexical.index(x.chunks(spark, sf_dir), stem)
-        _indexes[key] = stored(postings.repartition("term").sortWithinPartitions("term")), stored(stats)
+        _indexes[key] = stored(postings), stored(stats)
     return _indexes[key]
 
 
