@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ _BREAK = "[^\\p{IsAlphabetic}\\p{N}]+"
 
 def query_terms(query: Column) -> Column:
     """The words of a query, in order, duplicates kept: runs of letters and digits."""
-    return F.filter(F.split(query, _BREAK), lambda t: t != "")
+    return F.array_remove(F.split(query, _BREAK), "")
 
 
 @cache
@@ -34,15 +34,20 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens of a text, unstemmed: folded runs of letters and digits."""
-    return query_terms(fold(text))
+    """Index tokens of a text, unstemmed: folded runs of letters and digits. A text of ASCII alone has a class of characters that is
+    faster to match."""
+    plain = F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    return F.when(F.length(text) == F.octet_length(text), plain).otherwise(query_terms(fold(text)))
 
 
 _VOWELS = "aeiou"
+_KINDS = {ord(c): "v" if c in _VOWELS else "c" for c in "abcdefghijklmnopqrstuvwxyz"}
 
 
 def _shape(word: str) -> str:
     """c or v for each letter; y is a vowel after a consonant."""
+    if "y" not in word:
+        return word.translate(_KINDS)
     out = ""
     for i, c in enumerate(word):
         out += "v" if c in _VOWELS or (c == "y" and i and out[-1] == "c") else "c"
@@ -65,13 +70,14 @@ _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous
 
 
 def _longest(word: str, rules: dict[str, str]) -> str | None:
-    return max((s for s in rules if word.endswith(s)), key=len, default=None)
+    return next((word[-n:] for n in range(7, 1, -1) if word[-n:] in rules), None)  # no suffix is longer than 7 or shorter than 2
 
 
 _RULES = [dict(r.split(" ") for r in s.split(",")) for s in (_STEP2, _STEP3)]
 _LAST = dict.fromkeys(_STEP4.split(), "")
 
 
+@lru_cache(1 << 18)
 def porter(word: str) -> str:
     """Porter's stem of a lower-case word; words of other than a-z, or of one or two letters, stay."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):

@@ -40,18 +40,18 @@ _indexes: dict[tuple[str, str, bool], tuple] = {}
 
 
 def _index(spark, sf_dir, stem=False):
-    """The index is a table before it is asked, as in a vault: one for each folder of data and session. Postings are written
-    where their chunks were read: what asks for terms reads all of them and keeps its own, so no order by term pays for a shuffle."""
+    """The index is a table before it is asked, as in a vault: one for each folder of data and session. A chunk's postings are one
+    row, written where the chunk was read: what asks reads all of them and keeps its own, so no posting is shuffled."""
     key = (spark.sparkContext.applicationId, sf_dir, stem)
     if key not in _indexes:
-        postings, stats = lexical.index(x.chunks(spark, sf_dir), stem)
-        _indexes[key] = stored(postings), stored(stats)
+        rows = stored(lexical.gathered(x.chunks(spark, sf_dir), stem))
+        _indexes[key] = rows, rows.select("note_path", "seq", "dl")
     return _indexes[key]
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index built anew: how often each term occurs, and in how many chunks."""
-    postings, _ = (stored(df) for df in lexical.index(x.chunks(spark, sf_dir)))
+    postings = lexical.opened(stored(lexical.gathered(x.chunks(spark, sf_dir))))
     return postings.groupBy("term").agg(F.sum("tf").cast("long").alias("times"), F.count("*").alias("df"), F.sum("dl").cast("long").alias("lengths"))
 
 
@@ -99,7 +99,7 @@ keyword_search_sql = x.sql(*_ALL, select="SELECT query_id, note_path, seq, round
 
 
 def bounded_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword search that shuffles the postings of blocks alone that can reach a query's last place."""
+    """Keyword search that scores the blocks of chunks alone that can reach a query's last place."""
     postings, stats = _index(spark, sf_dir)
     found = lexical.best(postings, stats, lexical.query_words(x.queries(spark, sf_dir)), 10, bounded=True)
     return found.select("query_id", "note_path", "seq", R("score", 7), "rank")
