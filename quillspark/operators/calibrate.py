@@ -21,7 +21,7 @@ def nonsense(queries: DataFrame, postings: DataFrame, seed: int = 0, words: int
     name = F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("k").cast("string"))
     word = F.translate(F.substring(F.sha2(name, 256), 1, 12), "0123456789", "ghijklmnop")
     each = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(words))).alias("k")).withColumn("term", word)
-    each = each.join(postings.select("term").distinct(), "term", "left_anti")
+    each = each.join(lexical.holders(postings, each).select("term"), "term", "left_anti")
     return each.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), " ").alias("query"))
 
 
@@ -46,7 +46,7 @@ def function_words(postings: DataFrame, stats: DataFrame, words: list[str]) -> D
     lacks. Coverage reads subjects where the shares are small."""
     total = stats.agg(F.count("*").alias("total"))
     asked = stats.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "term string")
-    df = lexical.of_terms(postings, asked).groupBy("term").agg(F.count("*").alias("df"))
+    df = lexical.holders(postings, asked, "df")
     rows = asked.join(df, "term", "left").crossJoin(F.broadcast(total)).withColumn("df", F.coalesce("df", F.lit(0)))
     idf, absent = F.log((F.col("total") + 1) / (F.col("df") + 1)), F.log(F.col("total") + 1)
     return rows.select("term", "df", idf.alias("idf"), F.when(F.col("total") > 0, idf / absent).alias("share"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import kernels, text
-from quillspark.operators import lexical
+from quillspark.operators import calibrate, lexical
 
 
 def plan(df) -> str:
@@ -72,3 +72,10 @@ def test_tokens_of_ascii_and_other_texts(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "text string")
     fast, plain = rows.select(text.tokens(F.col("text")), text.query_terms(text.fold(F.col("text")))).toPandas().T.values.tolist()
     assert [None if x is None else list(x) for x in fast] == [None if x is None else list(x) for x in plain]
+
+
+def test_calibration_reads_rows_as_postings(spark, chunks):
+    rows, (postings, stats) = lexical.gathered(chunks), lexical.index(chunks)
+    asked = spark.createDataFrame([(1, "alpha r1"), (2, "notes")], "query_id long, query string")
+    for found in (lambda p: calibrate.nonsense(asked, p, 7), lambda p: calibrate.function_words(p, stats, ["alpha", "the"])):
+        assert sorted(map(tuple, found(rows).collect())) == sorted(map(tuple, found(postings).collect()))
