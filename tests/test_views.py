@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import search
 
 
-@pytest.mark.parametrize("view", ["passages"])
+@pytest.mark.parametrize("view", ["notes", "passages"])
 def test_texts_stay_where_they_are(spark, view):
     """Hits go to the chunks, not the chunks' texts to the hits."""
     hits = spark.createDataFrame([(1, "n1", 3, 0.5, 0, None, None, None, 0), (1, "gone", 0, 0.4, 1, None, None, None, 1), (1, "n1", 4, 0.3, 2, None, None, None, 2), (1, "same", 4, 0.2, 2, None, None, None, 3)], "query_id long, note_path string, seq int, score double, bm25_rank int, vector_rank int, cos double, best_cos double, rank int")
