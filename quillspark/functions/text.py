@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,22 @@ def tokens(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), plain).otherwise(query_terms(fold(text)))
 
 
+def spelled(text: Column) -> Column:
+    """A text that `letters` cuts into its `tokens`: the text itself, or the tokens in a row where it has other characters than `letters` knows."""
+    plain = (F.length(text) == F.octet_length(text)) | ~text.rlike("[^\\x00-\\x{24F}\\x{2000}-\\x{206F}]")
+    return F.when(plain, text).otherwise(F.array_join(tokens(text), " "))
+
+
+@cache
+def letters() -> np.ndarray:
+    """What `tokens` makes of each Latin character and mark of punctuation: a folded letter, a digit, or 0 between words. Others stay."""
+    fold, out = dict(zip(*_accents(), strict=True)), np.arange(0x2070, dtype=np.uint32)
+    for cp in (*range(0x250), *range(0x2000, 0x2070)):
+        c = fold.get(chr(cp), chr(cp)).lower()
+        out[cp] = ord(c) if c.isalpha() or unicodedata.category(c)[0] == "N" else 0
+    return out
+
+
 _VOWELS = "aeiou"
 _KINDS = {ord(c): "v" if c in _VOWELS else "c" for c in "abcdefghijklmnopqrstuvwxyz"}
 

@@ -79,3 +79,26 @@ def test_calibration_reads_rows_as_postings(spark, chunks):
     asked = spark.createDataFrame([(1, "alpha r1"), (2, "notes")], "query_id long, query string")
     for found in (lambda p: calibrate.nonsense(asked, p, 7), lambda p: calibrate.function_words(p, stats, ["alpha", "the"])):
         assert sorted(map(tuple, found(rows).collect())) == sorted(map(tuple, found(postings).collect()))
+
+
+def test_words_as_the_plain_way_has_them(spark):
+    """Each Latin character and mark of punctuation within words, between rows, and rows that only the plain way knows."""
+    latin = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070)]]
+    texts = ["", None, "--", "ab", "cd", "Ünïcode ß x", *(f"a{c}b {c}" for c in latin), "İstanbul", "ΣΑΣ σας", "c٣d", "日本 x", "𝔘 é—𝟘 Ünd", "x x y", "last"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq int, text string").withColumn("note_path", F.lit("n")).coalesce(1)
+    assert rows.filter(text.spelled(F.col("text")) == F.col("text")).count() >= len(latin) + 8
+    want = {x["seq"]: x["t"] for x in rows.select("seq", text.tokens(F.col("text")).alias("t")).collect()}
+    counts = lambda t: (None, None) if t is None else (len(t), {w: t.count(w) for w in t})
+    for x in lexical.gathered(rows).collect():
+        assert (x["dl"], None if x["terms"] is None else dict(zip(x["terms"], x["tfs"], strict=True))) == counts(want[x["seq"]]), texts[x["seq"]]
+
+
+def test_texts_in_many_slices(spark, chunks, monkeypatch):
+    rows = chunks.toPandas()
+    b = pa.RecordBatch.from_pandas(rows, schema=pa.schema([("note_path", pa.string()), ("seq", pa.int32()), ("text", pa.string())]))
+    out = []
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(kernels, "TEXTS", size)
+        made = list(kernels.counted(text.letters(), None)(iter([b, b.slice(7, 30)])))
+        out.append([(x["dl"], x["terms"] and sorted(zip(x["terms"], x["tfs"]))) for x in pa.Table.from_batches(made).to_pylist()])
+    assert out[0] == out[1] and len(out[0]) == len(rows) + 30 and len(made) > 100
