@@ -44,14 +44,14 @@ def _index(spark, sf_dir, stem=False):
     row, written where the chunk was read: what asks reads all of them and keeps its own, so no posting is shuffled."""
     key = (spark.sparkContext.applicationId, sf_dir, stem)
     if key not in _indexes:
-        rows = stored(lexical.gathered(x.chunks(spark, sf_dir), stem))
+        rows = stored(lexical.gathered(x.chunks(spark, sf_dir), stem, packed=True))
         _indexes[key] = rows, rows.select("note_path", "seq", "dl")
     return _indexes[key]
 
 
 def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index built anew: how often each term occurs, and in how many chunks."""
-    postings = lexical.opened(stored(lexical.gathered(x.chunks(spark, sf_dir))))
+    postings = lexical.opened(stored(lexical.gathered(x.chunks(spark, sf_dir), packed=True)))
     return postings.groupBy("term").agg(F.sum("tf").cast("long").alias("times"), F.count("*").alias("df"), F.sum("dl").cast("long").alias("lengths"))
 
 

@@ -102,3 +102,16 @@ def test_texts_in_many_slices(spark, chunks, monkeypatch):
         made = list(kernels.counted(text.letters(), None)(iter([b, b.slice(7, 30)])))
         out.append([(x["dl"], x["terms"] and sorted(zip(x["terms"], x["tfs"]))) for x in pa.Table.from_batches(made).to_pylist()])
     assert out[0] == out[1] and len(out[0]) == len(rows) + 30 and len(made) > 100
+
+
+def test_packed_rows_answer_as_lists_do(spark, chunks):
+    rows, packed = lexical.gathered(chunks).cache(), lexical.gathered(chunks, packed=True).cache()
+    assert dict(packed.dtypes)["terms"] == "string" and dict(packed.dtypes)["tfs"] == "binary"
+    assert sorted(map(tuple, lexical.opened(rows).collect())) == sorted(map(tuple, lexical.opened(packed).collect()))
+    words = lexical.query_words(spark.createDataFrame([(1, "alpha r1 r2 r3"), (2, "missing"), (3, "eclair notes r9")], "query_id long, query string"))
+    stats = rows.select("note_path", "seq", "dl")
+    assert sorted(map(str, stats.collect())) == sorted(map(str, packed.select("note_path", "seq", "dl").collect()))
+    for bounded in (False, True):
+        want, got = (sorted((*tuple(x)[:3], round(x["score"], 8), x["rank"]) for x in lexical.best(p, stats, words, 9, bounded=bounded).collect()) for p in (rows, packed))
+        assert want == got and len(got) == 18
+    assert sorted(map(tuple, lexical.holders(rows, words).collect())) == sorted(map(tuple, lexical.holders(packed, words).collect()))
